@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import byte_bpe, token_tables
+from storyloom.llm import byte_bpe, near_dedup, token_tables
 from storyloom.llm.common import fresh_path
 
 
@@ -22,6 +22,10 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.read_summary(spark, path)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +36,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_token_tables": op7_token_tables,
+        "op9_minhash_dedup": op9_minhash_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
