@@ -1,12 +1,13 @@
 """Toxicity by a learned lexicon that also catches misspelled terms.
 
 Learning, from at most MAX_LABELLED labelled rows (those with the smallest hashed identifiers): words and word beginnings
-that are in MIN_SHARE of the toxic texts or more and at least MIN_RATIO times as likely there as in the others form the
-lexicon; a logistic regression weighs how often and how a text uses it.
+that are in MIN_SHARE of the toxic texts or more, at least MIN_RATIO times as likely there as in the others, and so by more
+than chance among as many terms, form the lexicon, each with the logarithm of its ratio. A term may be misspelled by 1 or 2
+letters by its length, unless words that near are usual in clean texts. A logistic regression weighs how a text uses it.
 
-Matching: the lexicon is a trie, whose walk is intersected with a Levenshtein automaton of 0, 1 or 2 edits by the length
-of the term; the product is made deterministic as words are read, so a word costs a table lookup a letter, and most words
-leave it after a few. Around each hit a window of WINDOW words decides whether the term is quoted (it stands between
+Matching: the lexicon is a trie, whose walk is intersected with a Levenshtein automaton of as many edits as the term
+allows; the product is made deterministic as words are read, so a word costs a table lookup a letter, and most words leave
+it after a few. Around each hit a window of WINDOW words decides whether the term is quoted (it stands between
 quotation marks, or words for quoting are near) or used; both are counted apart.
 
 Edge cases: null text is empty, and an empty text gets the score of a text without hits; all rows are kept, repeated ones
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import forget, written
 
 MAX_LABELLED = 30_000
-MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.004, 3, 20.0
+MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.004, 3, 6.0
+#: Share of the clean texts in which misspellings of a term may be found.
+MAX_CLEAN = 0.0005
 STEM_LETTERS = range(4, 9)
 WINDOW = 6
 #: Words that a worker remembers before it starts over.
@@ -42,49 +46,49 @@ _QUOTING = frozenset("quote quoted quotes quoting said says word words term term
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 9 else 2
 
 
 @dataclass
 class Model:
-    """words and stems: the lexicon; weights: of bias, used hits, quoted hits and their share of words."""
+    """terms: weight and edits of each word, and of each word beginning (with a star); weights: of bias and features."""
 
-    words: list[str]
-    stems: list[str]
+    terms: dict[str, tuple[float, int]]
     weights: list[float] | None
 
 
 class LexiconAutomaton:
     """The product of the lexicon's trie and Levenshtein automata, made deterministic as it is used."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, terms: dict[str, tuple[float, int]]):
+        self.weight = {t: w for t, (w, _) in terms.items()}
         self._next: list[dict[str, int]] = [{}]
         self._room: list[int] = [0]  # edits that some term below allows
-        self._word: dict[int, int] = {}  # node of a whole term -> edits it allows
-        self._stem: set[int] = set()
-        for term, stem in [(w, False) for w in words] + [(s, True) for s in stems]:
-            at, room = 0, 0 if stem else allowed_edits(term)
+        self._word: dict[int, tuple[int, str]] = {}  # node of a whole term: edits it allows, the term
+        self._stem: dict[int, str] = {}
+        for term, (_, room) in sorted(terms.items()):
+            at = 0
             self._room[0] = max(self._room[0], room)
-            for c in term:
+            for c in term.rstrip("*"):
                 if c not in self._next[at]:
                     self._next[at][c] = len(self._next)
                     self._next.append({})
                     self._room.append(0)
                 at = self._next[at][c]
                 self._room[at] = max(self._room[at], room)
-            if stem:
-                self._stem.add(at)
+            if term.endswith("*"):
+                self._stem[at] = term
             else:
-                self._word[at] = room
+                self._word[at] = (room, term)
         self._forget()
 
     def _forget(self) -> None:
         self._states: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._moves: list[dict[str, int]] = []
-        self._ends: list[int] = []
+        self._ends: list[tuple[int, str]] = []
         self._start = self._state({0: 0})
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, str]] = {}
 
     def _state(self, reached: dict[int, int]) -> int:
         todo = list(reached)
@@ -100,8 +104,9 @@ class LexiconAutomaton:
             self._states[key] = len(self._sets)
             self._sets.append(key)
             self._moves.append({})
-            ends = [e for n, e in reached.items() if e <= self._word.get(n, -1)] + [0 for n, e in reached.items() if n in self._stem and not e]
-            self._ends.append(min(ends, default=-1))
+            ends = [(e, self._word[n][1]) for n, e in reached.items() if n in self._word and e <= self._word[n][0]]
+            ends += [(0, self._stem[n]) for n, e in reached.items() if n in self._stem and not e]
+            self._ends.append(min(ends, default=(-1, "")))
         return self._states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -119,8 +124,8 @@ class LexiconAutomaton:
                 put(child, e + (letter != c))
         return self._state(reached)
 
-    def edits(self, word: str) -> int:
-        """The edits between the word and the nearest term; -1 if no term is near."""
+    def match(self, word: str) -> tuple[int, str]:
+        """The edits between the word and the nearest term, and the term; -1 if no term is near."""
         got = self.known.get(word)
         if got is None:
             if len(self.known) > _CACHE_WORDS or len(self._sets) > _CACHE_WORDS // 10:
@@ -137,39 +142,41 @@ class LexiconAutomaton:
         return got
 
 
-def hits(text: str, automaton: LexiconAutomaton) -> tuple[int, list[tuple[int, int, int, bool]]]:
-    """The number of words; start, end, edits and whether it is quoted of each term in the text."""
+def hits(text: str, automaton: LexiconAutomaton) -> tuple[int, list[tuple[str, int, int, int, bool]]]:
+    """The number of words; term, start, end, edits and whether it is quoted of each hit in the text."""
     low = text.lower()
     words = _WORD.findall(low)
-    if all(automaton.edits(w) < 0 for w in set(words)):
+    if all(automaton.match(w)[0] < 0 for w in set(words)):
         return len(words), []
     spans = [m.span() for m in _WORD.finditer(low)]
     same = len(low) == len(text)  # lower-casing may change lengths
     marks = [i for i, c in enumerate(low) if c in _QUOTES]
     out = []
     for i, w in enumerate(words):
-        e = automaton.edits(w)
+        e, term = automaton.match(w)
         if e >= 0:
             a, b = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-            left, right = spans[a][0], spans[b - 1][1]
-            before = sum(left <= m < spans[i][0] for m in marks)
-            after = sum(spans[i][1] <= m < right + 1 for m in marks)
+            before = bisect_left(marks, spans[i][0]) - bisect_left(marks, spans[a][0])
+            after = bisect_right(marks, spans[b - 1][1]) - bisect_left(marks, spans[i][1])
             quoted = bool(before % 2 and after) or not _QUOTING.isdisjoint(words[a:b])
-            out.append((*(spans[i] if same else (-1, -1)), e, quoted))
+            out.append((term, *(spans[i] if same else (-1, -1)), e, quoted))
     return len(words), out
 
 
-def features(n_words: int, found: list[tuple[int, int, int, bool]]) -> tuple[float, float, float]:
-    """Used and quoted hits, on a scale that saturates, and the used ones' share of the words; an edit halves a hit."""
-    used = sum(0.5 ** min(e, 1) for _, _, e, quoted in found if not quoted)
-    quoted = sum(0.5 ** min(e, 1) for _, _, e, quoted in found if quoted)
-    return math.log1p(used), math.log1p(quoted), math.log1p(1000 * used / max(50, n_words))
+def features(n_words: int, found: list[tuple[str, int, int, int, bool]], weight: dict[str, float]) -> tuple[float, float, float]:
+    """Weight of used and of quoted hits, on a scale that saturates, and the used ones' share of the words; a misspelled
+    hit counts half."""
+    used = quoted = 0.0
+    for term, _, _, e, said in found:
+        value = weight[term] * (0.5 if e else 1.0)
+        used, quoted = used + value * (not said), quoted + value * said
+    return math.log1p(used), math.log1p(quoted), math.log1p(300 * used / max(50, n_words))
 
 
-def score(n_words: int, found: list, weights: list[float] | None) -> float:
-    if weights is None:
+def score(n_words: int, found: list, model: Model, weight: dict[str, float]) -> float:
+    if model.weights is None:
         return 0.0
-    z = weights[0] + sum(w * x for w, x in zip(weights[1:], features(n_words, found), strict=True))
+    z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], features(n_words, found, weight), strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -201,24 +208,25 @@ def _count_rows(wanted: frozenset | None):
     return run
 
 
-def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
+def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, tuple[float, int]]:
     """Terms that tell toxic texts; of terms in the same texts the longest, and none that a stem covers."""
-
-    def ratio(t: str) -> float:
-        return (toxic[t] / n_toxic) / ((clean.get(t, 0) + 0.5) / (n_clean + 1))
-
-    good = {t for t in toxic if ratio(t) >= MIN_RATIO}
-    longest = {t for t in good if t[-1] == "*"}
+    base, surprise = n_toxic / (n_toxic + n_clean), math.log(max(2, len(toxic))) + 3
+    good: dict[str, float] = {}
+    for t, n in toxic.items():
+        c = clean.get(t, 0)
+        ratio = (n / n_toxic) / ((c + 0.5) / (n_clean + 1))
+        told = n * math.log(n / ((n + c) * base)) + (c * math.log(c / ((n + c) * (1 - base))) if c else 0)
+        if ratio >= MIN_RATIO and told >= surprise:
+            good[t] = min(2.0, math.log(ratio) / math.log(50))
+    stems = {t for t in good if t[-1] == "*"}
     for t in good:
         stem = t.rstrip("*")
         for n in range(1, len(stem) + (t[-1] != "*")):
             shorter = stem[:n] + "*"
-            if shorter in longest and shorter != t and toxic[t] >= 0.98 * toxic[shorter]:
-                longest.discard(shorter)
-    stems = sorted(t[:-1] for t in longest)
-    stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
-    words = sorted(t for t in good if t[-1] != "*" and not any(t.startswith(s) for s in stems))
-    return words, stems
+            if shorter in stems and shorter != t and toxic[t] >= 0.98 * toxic[shorter]:
+                stems.discard(shorter)
+    covered = lambda t: any(t != s and t.startswith(s[:-1]) for s in stems)
+    return {t: (w, allowed_edits(t)) for t, w in good.items() if (t in stems or t[-1] != "*") and not covered(t)}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -245,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         forget(sample)
-        return Model([], [], None)
+        return Model({}, None)
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_toxic))
 
     def counted(kind: int, wanted: frozenset | None, at_least: int) -> dict[str, int]:
@@ -254,42 +262,61 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {r[0]: r[1] for r in rows.toLocalIterator()}  # of toxic terms, those in a fixed share of at most max_labelled texts
 
     toxic = counted(1, None, least)
-    words, stems = _lexicon(toxic, counted(0, frozenset(toxic), 1), n_toxic, n_clean)
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(_feature_rows(words, stems), "toxic int, used double, quoted double, share double")
+    terms = _lexicon(toxic, counted(0, frozenset(toxic), 1), n_toxic, n_clean)
+    near = sample.filter("toxic = 0").select("text").mapInArrow(_near_rows(terms), "term string, edits int, n bigint")
+    usual = near.groupBy("term", "edits").agg(F.sum("n").alias("n")).filter(F.col("n") > MAX_CLEAN * n_clean).collect()  # two rows a term at most
+    for term, edits, _ in usual:
+        terms[term] = (terms[term][0], min(terms[term][1], edits - 1))
+    rows = sample.select("text", "toxic").mapInArrow(_feature_rows(terms), "toxic int, used double, quoted double, share double")
     got = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 4)  # four numbers for each of the labelled rows
     got = got[np.lexsort(got.T)]
     forget(sample)
-    return Model(words, stems, _fit(got[:, 1:], got[:, 0]))
+    return Model(terms, _fit(got[:, 1:], got[:, 0]))
+
+
+def _near_rows(terms: dict[str, tuple[float, int]]):
+    """Texts that have misspellings of each term, by the number of edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, counts = LexiconAutomaton(terms), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update({(term, e) for w in set(_WORD.findall((text or "").lower())) for e, term in [automaton.match(w)] if e > 0})
+        cols = [pa.array([t for t, _ in counts], pa.string()), pa.array([e for _, e in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["term", "edits", "n"])
+
+    return run
 
 
-def _feature_rows(words: list[str], stems: list[str]):
+def _feature_rows(terms: dict[str, tuple[float, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LexiconAutomaton(words, stems)
+        automaton = LexiconAutomaton(terms)
         for batch in batches:
-            x = np.array([features(*hits(t or "", automaton)) for t in batch.column(1).to_pylist()], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(x[:, i]) for i in range(3))], names=["toxic", "used", "quoted", "share"])
+            x = [features(*hits(t or "", automaton), automaton.weight) for t in batch.column(0).to_pylist()]
+            x = np.array(x, float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, i]) for i in range(3))], names=["toxic", "used", "quoted", "share"])
 
     return run
 
 
 def _score_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LexiconAutomaton(model.words, model.stems)
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
+        automaton = LexiconAutomaton(model.terms)
+        span = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
         for batch in batches:
             found = [hits(t or "", automaton) for t in batch.column(1).to_pylist()]
-            scores = pa.array([score(n, h, model.weights) for n, h in found], pa.float64())
-            spans = pa.array([[{"start": a, "end": b, "edits": e, "quoted": q} for a, b, e, q in h] for _, h in found], span)
+            scores = pa.array([score(n, h, model, automaton.weight) for n, h in found], pa.float64())
+            spans = pa.array([[{"term": t, "start": a, "end": b, "edits": e, "quoted": q} for t, a, b, e, q in h] for _, h in found], span)
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, spans], names=["doc_id", "score", "terms"])
 
     return run
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), terms (start, end, edits and quoted of each hit; -1 where lower-casing moves characters)."""
+    """doc_id, score (0 to 1), terms (term, start, end, edits, quoted; -1 where lower-casing moves characters)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_score_rows(model), f"doc_id {kind}, score double, terms array<struct<start:int,end:int,edits:int,quoted:boolean>>")
+    return texts.mapInArrow(_score_rows(model), f"doc_id {kind}, score double, terms array<struct<term:string,start:int,end:int,edits:int,quoted:boolean>>")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -303,9 +330,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, at = LexiconAutomaton(model.words, model.stems), names.index(text_col)
+        automaton, at = LexiconAutomaton(model.terms), names.index(text_col)
         for batch in batches:
-            keep = [score(*hits(t or "", automaton), model.weights) < 0.5 for t in batch.column(at).to_pylist()]
+            keep = [score(*hits(t or "", automaton), model, automaton.weight) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
