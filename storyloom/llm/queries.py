@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import byte_bpe, near_dedup, pii, token_tables, toxicity
+from storyloom.llm import byte_bpe, mixing, near_dedup, pii, token_tables, toxicity
 from storyloom.llm.common import fresh_path
 
 
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_table(spark, sf_dir, "documents"), weights=(3, 1, 2))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_spans(_table(spark, sf_dir, "documents")))
 
@@ -48,6 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op5_mixing": op5_mixing,
         "op6_pii": op6_pii,
         "op7_token_tables": op7_token_tables,
         "op9_minhash_dedup": op9_minhash_dedup,
