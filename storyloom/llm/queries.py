@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import byte_bpe, mixing, near_dedup, pii, token_tables, toxicity
+from storyloom.llm import ann_forest, byte_bpe, exact_topk, mixing, near_dedup, pii, token_tables, toxicity
 from storyloom.llm.common import fresh_path
 
 
@@ -22,6 +22,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents"), weights=(3, 1, 2))
 
@@ -52,6 +60,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ann_forest": op2_ann_forest,
+        "op4_exact_topk": op4_exact_topk,
         "op5_mixing": op5_mixing,
         "op6_pii": op6_pii,
         "op7_token_tables": op7_token_tables,
