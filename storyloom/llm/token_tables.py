@@ -24,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from bisect import bisect_right
@@ -162,8 +163,14 @@ class Table:
 
 
 class _Encoder:
-    """Ids of texts as bytes. Words between spaces and line ends are encoded once while they are remembered: white space
-    parts the tokenizer's words, so a text's ids are those of its words one after the other."""
+    """Ids of texts as bytes. Words between spaces and line ends are encoded once while a worker remembers them: white
+    space parts the tokenizer's words, so a text's ids are those of its words one after the other.
+
+    New words of letters alone are given to the tokenizer many at a time, and told apart by the tokens that end a word;
+    if their number isn't that of the words, or the vocabulary has no such tokens, each is encoded by itself.
+    """
+
+    _last: _Encoder | None = None
 
     def __init__(self, tokenizer: str, width: int):
         import os
@@ -171,17 +178,45 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_str(tokenizer), f"<u{width}", {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        self.source, self.tokenizer, self.kind, self.known = tokenizer, Tokenizer.from_str(tokenizer), f"<u{width}", {}
+        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool) if suffix else None
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    @classmethod
+    def of(cls, tokenizer: str, width: int) -> _Encoder:
+        """The encoder that this worker has from an earlier task, with the words it remembers, or a new one."""
+        if cls._last is None or cls._last.source != tokenizer or cls._last.kind != f"<u{width}":
+            cls._last = cls(tokenizer, width)
+        return cls._last
+
+    def _apart(self, words: list[str]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(got.ids, self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        self._apart([w for w in words if not w.isalpha()] if letters else words)
+        groups = [letters[i : i + 100] for i in range(0, len(letters), 100)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                self._apart(group)
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            self.known.update(zip(group, [raw[a * size : b * size] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def __call__(self, texts: Iterator[str]) -> Iterator[bytes]:
         for text in texts:
             words = text.replace("\n", " ").split(" ")
-            new = list(set(words).difference(self.known))
+            new = set(words).difference(self.known)
             if new:
                 if len(self.known) + len(new) > _CACHE_WORDS:
-                    self.known, new = {}, list(set(words))
-                for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(got.ids, self.kind).tobytes()
+                    self.known, new = {}, set(words)
+                self._learn(list(new))
             yield b"".join(map(self.known.__getitem__, words))
 
 
@@ -189,7 +224,7 @@ def _write_rows(tokenizer, width: int, end_id: int | None) -> Callable:
     tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _Encoder(tokenizer.value, width), TaskContext.get().partitionId()
+        encoder, part = _Encoder.of(tokenizer.value, width), TaskContext.get().partitionId()
         held, size, n = [], 0, 0
 
         def row() -> pa.RecordBatch:
