@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import ann_forest, byte_bpe, exact_topk, mixing, near_dedup, pii, token_tables, toxicity
+from storyloom.llm import ann_forest, byte_bpe, exact_topk, mixing, near_dedup, pii, token_tables, toxicity, url_filter
 from storyloom.llm.common import fresh_path
 
 
@@ -26,6 +26,14 @@ def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+#: The rules of the registered query, host/path and verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -61,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_ann_forest": op2_ann_forest,
+        "op3_url_filter": op3_url_filter,
         "op4_exact_topk": op4_exact_topk,
         "op5_mixing": op5_mixing,
         "op6_pii": op6_pii,
