@@ -5,10 +5,12 @@
 2. The forest: TREES orders, each by DEPTH minima of its own. Rows are sorted by (tree, minima); rows that share at least
    the first minimum form a region, and their neighbours by longest common prefix are candidates. A region of more than
    REGION_ROWS goes down to the depth at which its parts are smaller, so copies in any number cost a bounded buffer.
-3. In a region, pairs whose signatures agree enough (five standard deviations below the threshold) are candidates. The
-   first round takes a maximum spanning forest and each row's nearest others, not all pairs; the second takes what is
-   left between rows that the first hasn't put into one component. So no pair is given up that could join components.
-4. Candidates are confirmed by the exact Jaccard similarity of the whole sets; links give components.
+3. In a region, rows whose signatures agree enough (SIGMAS standard deviations below the threshold) are candidates: a
+   maximum spanning forest and each row's nearest others, not all pairs. Their components are the clusters, outside of
+   which no two texts can be linked.
+4. A cluster that fits a task is settled there by the whole sets: each text's intersections with all others come from an
+   inverted list. In a larger one, the candidates are confirmed first; then the rows outside its largest component meet
+   all of its rows, in tiles of bounded size. Links are exact, and none that could join components is left out.
 
 A pair of similarity s shares no first minimum in any tree with a chance of (1 - s) ** TREES: at 0.8, 3 in a million.
 
@@ -32,8 +34,12 @@ from storyloom.llm.common import components, forget, written
 
 TREES, DEPTH, MINIMA = 8, 8, 128
 REGION_ROWS = 4096
-#: Beside the spanning forest, each row's nearest others that the first round takes.
-NEAREST = 2
+#: Beside the spanning forest, each row's nearest others that are candidates.
+NEAREST, SIGMAS = 2, 4
+#: A cluster of up to so many texts and shingles is settled in one task; a tile of a larger one has so many rows.
+CLUSTER_TEXTS, CLUSTER_SHINGLES, TILE_ROWS = 1024, 2_000_000, 512
+#: Bits that say which texts are read again: a broadcast of this size at most, whatever the corpus.
+FILTER_BITS = 1 << 25
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 20
 
@@ -135,149 +141,219 @@ def _signature_rows(words: int):
     return run
 
 
-class _Region:
-    """Rows that share a prefix: their identifiers, marks and, in the second round, components."""
-
-    def __init__(self, least: float):
-        self.least = least
-
-    def first(self, ids: np.ndarray, marks: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
-        """The maximum spanning forest and the nearest others of each row; whether pairs are left."""
-        n = len(ids)
-        best, source, left = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
-        pairs, found, at = set(), 0, 0
-        for _ in range(n):
-            left[at] = False
-            like = (marks == marks[at]).mean(axis=1, dtype=np.float32)
-            like[at] = -1
-            near = np.flatnonzero(like >= self.least)
-            found += len(near)
-            if len(near) > NEAREST:
-                near = near[np.lexsort((ids[near], -like[near]))[:NEAREST]]
-            pairs.update((min(at, j), max(at, j)) for j in near.tolist())
-            closer = left & (like > best)
-            best[closer], source[closer] = like[closer], at
-            if not left.any():
-                break
-            at = int(np.argmax(np.where(left, best, -2.0)))
-            if best[at] >= self.least:
-                pairs.add((min(at, int(source[at])), max(at, int(source[at]))))
-        return [(int(ids[a]), int(ids[b])) for a, b in pairs], found > 2 * len(pairs)
-
-    def second(self, ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
-        """All like pairs between components."""
-        out = []
-        if (labels != labels[0]).any():
-            for i in range(len(ids) - 1):
-                other = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
-                like = (marks[other] == marks[i]).mean(axis=1, dtype=np.float32)
-                out += [(int(ids[i]), int(ids[j])) for j in other[like >= self.least].tolist()]
-        return out
-
-
-def _region_rows(least: float, labelled: bool):
-    """Rows sorted by tree and order: candidates a < b; in the first round also (a, null), rows with pairs left."""
-    region = _Region(least)
-
-    def pairs(ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> tuple[list, list]:
-        if labelled:
-            got, rest = region.second(ids, marks, labels), []
-        else:
-            got, more = region.first(ids, marks)
-            rest = ids.tolist() if more else []
-        return [(min(p), max(p)) for p in got], rest
+def _near_pairs(ids: np.ndarray, marks: np.ndarray, least: float) -> set[tuple[int, int]]:
+    """Of rows that share a prefix: the maximum spanning forest of like pairs and the nearest others of each row."""
+    n = len(ids)
+    best, source, left = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
+    pairs, at = set(), 0
+    for _ in range(n):
+        left[at] = False
+        like = (marks == marks[at]).mean(axis=1, dtype=np.float32)
+        like[at] = -1
+        near = np.flatnonzero(like >= least)
+        if len(near) > NEAREST:
+            near = near[np.lexsort((ids[near], -like[near]))[:NEAREST]]
+        pairs.update((at, j) for j in near.tolist())
+        closer = left & (like > best)
+        best[closer], source[closer] = like[closer], at
+        if not left.any():
+            break
+        at = int(np.argmax(np.where(left, best, -2.0)))
+        if best[at] >= least:
+            pairs.add((at, int(source[at])))
+    names = ids.tolist()
+    return {(min(names[a], names[b]), max(names[a], names[b])) for a, b in pairs}
+
+
+def _region_rows(least: float):
+    """Rows sorted by tree and order: the candidates a < b of each region."""
+
+    def cut(rows: tuple[np.ndarray, ...], final: bool) -> tuple[list, tuple[np.ndarray, ...]]:
+        """Pairs of the regions that have ended, and the rows of the one that may go on."""
+        key, ids, marks = rows
+        found: list[tuple[int, int]] = []
+        starts = np.concatenate([[0], np.flatnonzero((key[1:, :2] != key[:-1, :2]).any(axis=1)) + 1, [len(ids)]]).tolist()
+        for a, b in zip(starts, starts[1:], strict=False):
+            while b - a > REGION_ROWS:  # go down to the depth at which the part that is still open is shorter
+                c = a + REGION_ROWS
+                width = next((d for d in range(3, key.shape[1] + 1) if (key[a, :d] != key[c, :d]).any()), 0)
+                if width:
+                    c = a + int(np.flatnonzero((key[a : c + 1, :width] != key[c, :width]).any(axis=1))[-1]) + 1
+                found += _near_pairs(ids[a:c], marks[a:c], least)
+                found.append((int(min(ids[c - 1], ids[c])), int(max(ids[c - 1], ids[c]))))
+                a = c
+            if b == len(ids) and not final:
+                return found, tuple(x[a:] for x in rows)
+            if b - a > 1:
+                found += _near_pairs(ids[a:b], marks[a:b], least)
+        return found, tuple(x[:0] for x in rows)
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # rows of the last region so far
-
-        def cut(rows: tuple[np.ndarray, ...], final: bool) -> tuple[list, list, tuple[np.ndarray, ...]]:
-            key, ids, marks, labels = rows
-            found, rest = [], []
-            if not len(ids):
-                return found, rest, rows
-            starts = np.concatenate([[0], np.flatnonzero((key[1:, :2] != key[:-1, :2]).any(axis=1)) + 1, [len(ids)]])
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if b == len(ids) and not final and b - a <= REGION_ROWS:
-                    return found, rest, tuple(x[a:] for x in rows)
-                while b - a > REGION_ROWS:  # go down to the depth at which the part that is still open is shorter
-                    width = next((d for d in range(3, key.shape[1] + 1) if (key[a, :d] != key[a + REGION_ROWS, :d]).any()), 0)
-                    c = a + REGION_ROWS
-                    if width:
-                        c = a + int(np.flatnonzero((key[a : c + 1, :width] != key[c, :width]).any(axis=1))[-1]) + 1
-                    x, y = pairs(ids[a:c], marks[a:c], labels[a:c])
-                    found, rest = found + x + [(int(min(ids[c - 1], ids[c])), int(max(ids[c - 1], ids[c])))] * (not labelled), rest + y
-                    a = c
-                if b == len(ids) and not final:
-                    return found, rest, tuple(x[a:] for x in rows)
-                if b - a > 1:
-                    x, y = pairs(ids[a:b], marks[a:b], labels[a:b])
-                    found, rest = found + x, rest + y
-            return found, rest, tuple(x[:0] for x in rows)
-
-        def batch_of(found: list, rest: list) -> pa.RecordBatch:
-            a, b = [x for x, _ in found] + rest, [x for _, x in found] + [None] * len(rest)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+        rows: tuple[np.ndarray, ...] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             order = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH)
             key = np.column_stack([batch.column(0).to_numpy(zero_copy_only=False), order.astype(np.int64)])
             marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, MINIMA)
-            now = (key, batch.column(3).to_numpy(zero_copy_only=False), marks, batch.column(4).to_numpy(zero_copy_only=False))
-            rows = tuple(np.concatenate(x) for x in zip(*held, now, strict=True)) if held else now
-            found, rest, left = cut(rows, False)
-            held = [left]
-            if found or rest:
-                yield batch_of(found, rest)
-        if held:
-            found, rest, _ = cut(held[0], True)
-            if found or rest:
-                yield batch_of(found, rest)
+            now = (key, batch.column(3).to_numpy(zero_copy_only=False), marks)
+            rows = now if rows is None else tuple(np.concatenate(x) for x in zip(rows, now, strict=True))
+            found, rows = cut(rows, False)
+            if found:
+                yield batch_of(found)
+        if rows is not None and len(rows[1]):
+            found, _ = cut(rows, True)
+            if found:
+                yield batch_of(found)
 
     return run
 
 
 def _set_rows(words: int):
+    """doc_id, cluster, text -> doc_id, cluster, digest, hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)]
+                sets = [s.tobytes() for s in shingle_sets(part.column(2).to_pylist(), words)]
                 digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "cluster", "digest", "hashes"])
 
     return run
 
 
+class _Lists:
+    """The inverted lists of some sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        by = np.argsort(flat, kind="stable")
+        self.owner = owner[by]
+        self.hashes, self.starts = np.unique(flat[by], return_index=True)
+        self.ends = np.append(self.starts[1:], len(flat))
+
+    def like(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the sets whose similarity to `one` is enough."""
+        at = np.searchsorted(self.hashes, one).clip(max=len(self.hashes) - 1)
+        at = at[self.hashes[at] == one]
+        counts = self.ends[at] - self.starts[at]
+        total = np.cumsum(counts)
+        places = np.repeat(self.starts[at] - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
+        both = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(one) - both)))
+
+
+def _cluster_rows(percent: int):
+    """Rows sorted by cluster: for each text the smallest number that it reaches in its cluster, as a link."""
+
+    def settle(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        above = list(range(len(ids)))
+
+        def top(i: int) -> int:
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return i
+
+        if len(ids) > 1:
+            lists = _Lists(sets)
+            for i, s in enumerate(sets):
+                for j in lists.like(s, percent).tolist():
+                    a, b = top(i), top(j)
+                    if a != b:
+                        above[max(a, b)] = min(a, b)
+        return [(ids[i], ids[top(i)]) for i in range(len(ids)) if top(i) != i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+        for batch in batches:
+            links = []
+            for doc, cluster, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if cluster != at:
+                    links += settle(ids, sets)
+                    at, ids, sets = cluster, [], []
+                ids.append(doc)
+                sets.append(np.frombuffer(blob, np.uint64))
+            yield _links(links)
+        yield _links(settle(ids, sets))
+
+    return run
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _link_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, once: DataFrame | None) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are similar enough. once: the digest that counts, if identifiers repeat."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = texts.join(ends, "doc_id", "left_semi").mapInArrow(_set_rows(words), "doc_id bigint, digest binary, hashes binary")
-    if once is not None:
-        sets = sets.join(once, ["doc_id", "digest"], "left_semi").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
-    sets = written(sets.select("doc_id", "hashes"), "sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    links = written(both.mapInArrow(_link_rows(percent), "a bigint, b bigint"), "confirmed")
-    forget(sets)
-    return links
+def _tile_rows(percent: int):
+    """A tile of rows outside the largest component and rows of the cluster: links between components."""
+
+    def run(few: pa.Table, many: pa.Table) -> pa.Table:
+        links = []
+        if few.num_rows and many.num_rows:
+            lists = _Lists([np.frombuffer(x, np.uint64) for x in many["hashes"].to_pylist()])
+            ids, labels = many["doc_id"].to_pylist(), many["label"].to_pylist()
+            for doc, label, blob in zip(few["doc_id"].to_pylist(), few["label"].to_pylist(), few["hashes"].to_pylist(), strict=True):
+                reached = set()
+                for j in lists.like(np.frombuffer(blob, np.uint64), percent).tolist():
+                    if labels[j] != label and labels[j] not in reached:  # one link to a component is enough
+                        reached.add(labels[j])
+                        links.append((doc, ids[j]))
+        return pa.Table.from_batches([_links(links)])
+
+    return run
+
+
+def _read_again(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts joined with wanted (doc_id, cluster, ...); a filter of bounded size spares most other texts the shuffle."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = wanted.select(F.bitmap_bucket_number(place).alias("_part"), F.bitmap_bit_position(place).alias("_bit"))
+    bits = F.broadcast(bits.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    asked = texts.withColumn("_part", F.bitmap_bucket_number(place)).withColumn("_at", F.bitmap_bit_position(place)).join(bits, "_part")
+    byte = "cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)"
+    asked = asked.filter(F.expr(f"(shiftright({byte}, cast(_at % 8 as int)) & 1) = 1"))
+    return asked.select("doc_id", "text").join(wanted, "doc_id")
+
+
+def _large_links(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in clusters that don't fit a task. clusters: doc_id, cluster; sets: doc_id, hashes of their texts."""
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+    own = pairs.join(clusters.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    both = own.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    first = written(both.mapInArrow(_link_rows(percent), "a bigint, b bigint"), "links")
+    labels = clusters.join(components(first).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    labels = written(labels.select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("label")), "labels")
+    parts = labels.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("main_n"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    sizes = sizes.filter("main_n < n")
+    per = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+    sizes = sizes.select("cluster", "main", per("n").alias("n_many"), F.ceil((F.col("n") - F.col("main_n")) / TILE_ROWS).cast("int").alias("n_few"))
+    rows = labels.join(sizes, "cluster").join(sets, "doc_id")
+    part = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    few = rows.filter("label <> main").select("doc_id", "label", "hashes", "cluster", part("n_few").alias("i"), every("n_many").alias("j"))
+    many = rows.select("doc_id", "label", "hashes", "cluster", every("n_few").alias("i"), part("n_many").alias("j"))
+    few, many = few.toDF("doc_id", "label", "hashes", "of", "at_i", "at_j"), many.toDF("doc_id", "label", "hashes", "in", "to_i", "to_j")
+    more = few.groupBy("of", "at_i", "at_j").cogroup(many.groupBy("in", "to_i", "to_j")).applyInArrow(_tile_rows(percent), "a bigint, b bigint")
+    return first.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,33 +363,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     signed = written(texts.mapInArrow(_signature_rows(words), "doc_id bigint, n_shingles bigint, digest binary, orders binary, marks binary"), "signatures")
-    of = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("s")).select("doc_id", "s.digest", "s.n_shingles")
-    members = written(of, "members")
-    classes = written(members.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
-    firsts = signed.join(classes, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    one = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("s"))
+    members = written(one.select("doc_id", "s.digest", "s.n_shingles"), "members")
+    classes = members.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles")).alias("s"))
+    classes = written(classes.select("digest", "s.doc_id", "s.n_shingles"), "classes")
+    repeats = signed.count() != members.count()
+    firsts = signed.join(classes, ["doc_id", "digest"] if repeats else ["doc_id"], "left_semi")
+    firsts = firsts.dropDuplicates(["doc_id"]) if repeats else firsts
     tree = firsts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
     tree = tree.select("tree", F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("order"), "marks", "doc_id")
-
+    tree = tree.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "doc_id")
     share = percent / 100
-    least = share - 5 * (share * (1 - share) / MINIMA) ** 0.5
-
-    def regions(rows: DataFrame, labelled: bool) -> DataFrame:
-        rows = rows.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "doc_id")
-        return rows.mapInArrow(_region_rows(least, labelled), "a bigint, b bigint")
-
-    found = written(regions(tree.withColumn("label", F.lit(0).cast("long")), False), "candidates")
-    pairs = written(found.filter("b is not null").distinct(), "pairs")
-    once = None if signed.count() == members.count() else classes
-    links = _confirmed(pairs, texts, words, percent, once)
+    least = share - SIGMAS * (share * (1 - share) / MINIMA) ** 0.5
+    pairs = written(tree.mapInArrow(_region_rows(least), "a bigint, b bigint"), "candidates").distinct()
+
+    clusters = components(pairs).select(F.col("doc").alias("doc_id"), F.col("component").alias("cluster"))
+    clusters = clusters.join(classes, "doc_id").select("doc_id", "cluster", F.col("digest").alias("right"), "n_shingles")
+    sizes = clusters.groupBy("cluster").agg((F.count("*") > CLUSTER_TEXTS).alias("n"), (F.sum("n_shingles") > CLUSTER_SHINGLES).alias("s"))
+    clusters = written(clusters.join(sizes.select("cluster", (F.col("n") | F.col("s")).alias("large")), "cluster"), "clusters")
+
+    def sets(large: bool) -> DataFrame:
+        wanted = clusters.filter(F.col("large") == large).select("doc_id", "cluster", "right")
+        out = _read_again(texts, wanted).select("doc_id", "cluster", "text", "right")
+        if repeats:  # of an identifier's texts, the one whose digest counts, and that once
+            made = out.select("doc_id", "cluster", "text").mapInArrow(_set_rows(words), "doc_id bigint, cluster bigint, digest binary, hashes binary")
+            made = made.join(wanted.select("doc_id", F.col("right").alias("digest")), ["doc_id", "digest"], "left_semi")
+            return made.groupBy("doc_id", "cluster").agg(F.min("hashes").alias("hashes"))
+        made = out.select("doc_id", "cluster", "text").mapInArrow(_set_rows(words), "doc_id bigint, cluster bigint, digest binary, hashes binary")
+        return made.select("doc_id", "cluster", "hashes")
+
+    small = sets(False).repartition("cluster").sortWithinPartitions("cluster", "doc_id")
+    links = written(small.mapInArrow(_cluster_rows(percent), "a bigint, b bigint"), "links")
+    large = clusters.filter("large")
+    if not large.isEmpty():
+        whole = written(sets(True).select("doc_id", "hashes"), "sets")
+        links = links.unionByName(_large_links(pairs, whole, large.select("doc_id", "cluster"), percent))
     labels = components(links)
-
-    left = found.filter("b is null").select(F.col("a").alias("doc_id")).distinct()
-    rest = tree.join(left, "doc_id", "left_semi").join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    rest = rest.select("tree", "order", "marks", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    more = written(regions(rest, True).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, texts, words, percent, once))
-        labels = components(links)
     of = classes.withColumnRenamed("doc_id", "doc").join(labels, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = members.join(of, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     forget(signed)
