@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import ann_forest, byte_bpe, exact_topk, mixing, near_dedup, pii, token_tables, toxicity, url_filter
+from storyloom.llm import ann_forest, byte_bpe, exact_topk, licenses, mixing, near_dedup, pii, token_tables, toxicity, url_filter
 from storyloom.llm.common import fresh_path
 
 
@@ -54,6 +54,10 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.read_summary(spark, path)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_path(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -74,10 +78,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_pii": op6_pii,
         "op7_token_tables": op7_token_tables,
+        "op8_licenses": op8_licenses,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_licenses": licenses.oracle(),
+    }
