@@ -403,3 +403,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = members.join(of, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     forget(signed)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near-duplicates that near_duplicates() doesn't keep; all columns as they are.
+
+    Rows that repeat an identifier and its text stay once; rows with a null identifier stay.
+    """
+    found = written(near_duplicates(docs, words, percent, id_col, text_col), "found")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    if docs.filter(F.col(id_col).isNotNull()).count() > found.count():
+        null = out.filter(F.col(id_col).isNull())
+        once = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+        out = once.unionByName(null)
+    return out
