@@ -1,7 +1,410 @@
-"""SQL for DuckDB that gives the same rows as the queries of the same names."""
+"""SQL for DuckDB that gives the same rows as the queries of the same names, written on its own.
+
+Left out is what SQL can't express (Arrow functions over learned weights) or what it is too slow for on whole tables
+(greedy folds over long documents, word subsequences); the tests hold those against brute force.
+"""
 
 from __future__ import annotations
 
+from storyloom.operators.align import CONTRADICTIONS
+from storyloom.operators.annotate import LEMMAS, STATES
+from storyloom.operators.consolidate import EDGE_TYPES
+from storyloom.operators.segments import DAYS
+from storyloom.functions.text import NEGATIVE, SEPARATORS, TAGS
+from storyloom.functions.timex import DURATIONS, HOURS, SIGNALS
+from storyloom.plans import fixtures as fx
+
+W = r"[\p{L}\p{N}_]+"
+
+
+def _lit(v: object) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows)
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(map(_lit, words)) + "]"
+
+
+def words(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '{W}')"
+
+
+def entities(c: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all({c}, '{W}'), lambda w: regexp_full_match(w, '[A-Z][a-z]+')))"
+
+
+def spaced(c: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda w: w <> ''))"
+
+
+def overlap(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END"
+
+
+def strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def sentences(c: str, least: int = 1) -> str:
+    cut = rf"string_split(regexp_replace({c}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: {strip('s')}), lambda s: length(s) >= {least})"
+
+
+def polarity(c: str) -> str:
+    return f"CASE WHEN list_has_any({words(c)}, {_list(NEGATIVE)}) THEN 'NEG' ELSE 'POS' END"
+
+
+def bucket(w: str, width: int = 300) -> str:
+    part = lambda i: f"CAST(concat('0x', substr(md5({w}), {8 * i + 1}, 8)) AS BIGINT)"
+    out = f"({part(0)} % {width})"
+    for i in (1, 2, 3):
+        out = f"(({out} * 4294967296 + {part(i)}) % {width})"
+    return out
+
+
+def slice_part(t: str, part: str) -> str:
+    n = f"length({t}) // 2"
+    return f"CASE WHEN {part} IS NULL OR length({t}) < 20 THEN {t} WHEN {part} = 'a' THEN {strip(f'left({t}, CAST({n} AS BIGINT))')} ELSE {strip(f'substr({t}, CAST({n} AS BIGINT) + 1)')} END"
+
+
+# Verses of turns; the fixture's verses; both; events
+TURNS = """turns AS (
+  SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS verse_idx, text FROM conversations),
+verses AS (SELECT doc_id, verse_idx, CAST(verse_idx // 10 + 1 AS INT) AS chapter, CAST(verse_idx % 10 + 1 AS INT) AS verse, text FROM turns)"""
+FIXED = f"fixed(doc_id, verse_idx, chapter, verse, text) AS ({_values(fx.VERSES)})"
+ALL = f"{TURNS}, {FIXED}, whole AS (SELECT * FROM verses UNION ALL SELECT * FROM fixed)"
+
+
+def events(of: str) -> str:
+    return f"""events AS (
+  SELECT doc_id || '_e' || verse_idx AS id, doc_id, verse_idx AS seq, {strip('text')} AS text, verse_idx, chapter, verse, chapter || ':' || verse AS verse_ref,
+    'OCCURRENCE' AS event_class, 'PAST' AS tense, 'PERFECTIVE' AS aspect, {polarity('text')} AS polarity FROM {of})"""
+
+
+_CLASS = "CASE " + " ".join(f"WHEN list_has_any(w, {_list(v)}) THEN '{k}'" for k, v in LEMMAS.items()) + f" WHEN list_has_any(w, {_list(STATES)}) THEN 'STATE' ELSE 'OCCURRENCE' END"
+
+
+def lexicon(of: str) -> str:
+    """Events by sentence. The first of equal sentences of a verse counts."""
+    return f"""cut AS (
+  SELECT doc_id, verse_idx, chapter, verse, unnest(s) AS t, generate_subscripts(s, 1) AS p FROM (SELECT *, {sentences('text')} AS s FROM {of})),
+firsts AS (SELECT doc_id, verse_idx, chapter, verse, t, min(p) AS p FROM cut GROUP BY ALL),
+levents AS (
+  SELECT doc_id || '_e' || n AS id, doc_id, n AS seq, t AS text, verse_idx, {_CLASS} AS event_class, {polarity('t')} AS polarity
+  FROM (SELECT *, {words('t')} AS w, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY verse_idx, p) - 1 AS INT) AS n FROM firsts))"""
+
+
+def marks(pattern: str, of: str, name: str, tail: str = "") -> str:
+    """Matches with their places, by cutting at a sentinel that is put around each match; `tail` may not belong to a word."""
+    return rf"""{name} AS (
+  SELECT doc_id, verse_idx, part AS text, CAST(pos - length(part) AS INT) AS start_char, CAST(pos AS INT) AS end_char FROM (
+    SELECT doc_id, verse_idx, i, part, sum(length(part)) OVER (PARTITION BY doc_id, verse_idx ORDER BY i) AS pos FROM (
+      SELECT doc_id, verse_idx, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM (
+        SELECT doc_id, verse_idx, string_split(regexp_replace(text, '{pattern}', chr(1) || '\0' || chr(1), 'gi'), chr(1)) AS s FROM {of})))
+  WHERE i % 2 = 0)"""
+
+
+# Words of signals stand between other letters in these texts only in ASCII or not at all: RE2's word boundary is checked
+# by hand on the neighbours below
+_NOT_IN_WORD = rf"""WHERE NOT regexp_matches(substr(v.text, CAST(m.start_char AS BIGINT), 1), '[\p{{L}}\p{{N}}_]') OR m.start_char = 0"""
+_SIGNAL = r"\b(?:before|after|during|while|when|until|since|then|later|earlier|meanwhile|immediately|following|next|afterwards|previously|prior\s+to|as\s+soon\s+as)\b"
+SIGNAL = (
+    marks(_SIGNAL, "whole", "smarks")
+    + r""",
+signals AS (
+  SELECT doc_id || '_s' || seq AS id, * FROM (
+    SELECT m.doc_id, CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY m.verse_idx, m.start_char) - 1 AS INT) AS seq, m.text, m.verse_idx, m.start_char, m.end_char
+    FROM smarks m JOIN whole v ON m.doc_id = v.doc_id AND m.verse_idx = v.verse_idx
+    WHERE (m.start_char = 0 OR NOT regexp_matches(substr(v.text, m.start_char, 1), '[\p{L}\p{N}_]')) AND NOT regexp_matches(substr(v.text, m.end_char + 1, 1), '[\p{L}\p{N}_]')))"""
+)
+_DAYS = r"\bthe\s+(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|next|following|previous)\s+day\b"
+_HOURS = r"\b(?:about\s+)?the\s+(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth)\s+hour\b"
+_SPANS = r"\b(?:\d+|two|three|four|five|six|seven|eight|nine|ten|forty|twelve)\s+(?:days?|nights?|hours?|years?|weeks?|months?)\b"
+_NAMES = r"\b(?:Passover|Sabbath|Feast\s+of\s+\w+|Pentecost|Day\s+of\s+Preparation|evening|morning|dawn|sunset|midnight|noon)\b"
+
+
+def normal(t: str) -> str:
+    t = f"lower({strip(t)})"
+    rules = [f"WHEN contains({t}, '{k}') THEN '{v}'" for k, v in DURATIONS.items()]
+    rules += [f"WHEN contains({t}, '{k}') AND contains({t}, 'hour') THEN '{v}'" for k, v in HOURS.items()]
+    rules += [f"WHEN contains({t}, 'third day') THEN '+P3D' WHEN contains({t}, 'next day') OR contains({t}, 'following day') THEN '+P1D' WHEN contains({t}, 'sabbath') THEN 'XXXX-WXX-6'"]
+    return "CASE " + " ".join(rules) + " END"
+
+
+_MEETS = "a.doc_id = {x}.doc_id AND a.verse_idx = {x}.verse_idx AND a.start_char < {x}.end_char AND {x}.start_char < a.end_char"
+TIMES = (
+    ", ".join(marks(p, "whole", f"t{i}") for i, p in enumerate((_DAYS, _HOURS, _SPANS, _NAMES)))
+    + ", k0 AS (SELECT *, 0 AS p, 'DATE' AS kind FROM t0)"
+    + "".join(
+        f", k{i} AS (SELECT * FROM k{i - 1} UNION ALL SELECT x.*, {i}, '{kind}' FROM t{i} x WHERE NOT EXISTS (SELECT 1 FROM k{i - 1} a WHERE {_MEETS.format(x='x')}))"
+        for i, kind in ((1, "TIME"), (2, "DURATION"), (3, "DATE"))
+    )
+    + f""",
+times AS (
+  SELECT doc_id || '_t' || seq AS id, doc_id, seq, text, verse_idx, kind AS timex3_type, {normal('text')} AS value, start_char, end_char
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY verse_idx, p, start_char) - 1 AS INT) AS seq FROM k3))"""
+)
+TOLD = f"told AS (SELECT s.*, r.rel AS rel_type FROM signals s JOIN ({_values(list(SIGNALS.items()))}) r(word, rel) ON lower(s.text) = r.word)"
+NARRATIVE = """narr AS (
+  SELECT doc_id, seq, id AS event_id, lead(id) OVER (PARTITION BY doc_id ORDER BY seq) AS related_to_event, 'BEFORE' AS rel_type, 'narrative_order' AS source FROM events)"""
+
+
+def ends(of: str) -> str:
+    return f"ends AS (SELECT doc_id, verse_idx, count(*) AS n, min_by(id, seq) AS event_id, max_by(id, seq) AS related_to_event FROM {of} GROUP BY 1, 2)"
+
+
+LINKS = f"""{ends('events')}, {TOLD}, {NARRATIVE},
+parts AS (
+  SELECT doc_id, 0 AS rule, seq, 0 AS seq2, rel_type, event_id, related_to_event, NULL AS related_to_time, NULL AS signal_id, source FROM narr WHERE related_to_event IS NOT NULL
+  UNION ALL SELECT t.doc_id, 1, t.seq, 0, t.rel_type, e.event_id, e.related_to_event, NULL, t.id, 'signal' FROM told t JOIN ends e USING (doc_id, verse_idx) WHERE e.n >= 2
+  UNION ALL SELECT e.doc_id, 2, t.seq, e.seq, 'IS_INCLUDED', e.id, NULL, t.id, NULL, 'temporal_anchor' FROM events e JOIN times t USING (doc_id, verse_idx)),
+tlinks AS (
+  SELECT doc_id || '_tl' || (row_number() OVER (PARTITION BY doc_id ORDER BY rule, seq, seq2) - 1) AS id, doc_id, rel_type, event_id, related_to_event, related_to_time, signal_id, source FROM parts)"""
+SUBORDINATE = """nexts AS (
+  SELECT *, lead(id) OVER w AS nid, lead(verse_idx) OVER w AS nverse FROM {of} WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+kinds AS (
+  SELECT *, CASE WHEN event_class = 'REPORTING' THEN 'EVIDENTIAL' WHEN event_class = 'I_ACTION' THEN 'MODAL'
+    WHEN polarity = 'NEG' AND event_class IN ('I_STATE', 'PERCEPTION') THEN 'COUNTER_FACTIVE' END AS rel_type FROM nexts WHERE nverse = verse_idx),
+slinks AS (
+  SELECT doc_id || '_sl' || (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) AS id, doc_id, rel_type, id AS event_id, nid AS subordinated_event FROM kinds WHERE rel_type IS NOT NULL)"""
+NEIGHBOURS = "near AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL)"
+CENTRE = """cells AS (SELECT label, vec_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+centre AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM cells GROUP BY 1, 2) GROUP BY 1),
+rel AS (SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], c.c), 6) AS relevance FROM embeddings e JOIN centre c USING (label))"""
+
+# A role is a document, a conversation a chapter
+ROLES = f"""rverses AS (
+  SELECT role AS doc_id, CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS INT) AS verse_idx, CAST(conv_id + 1 AS INT) AS chapter, CAST(turn + 1 AS INT) AS verse, text FROM conversations),
+{events('rverses')}"""
+MATCH = f"""{ROLES},
+bag AS (SELECT id, doc_id, b, count(*) AS c FROM (SELECT id, doc_id, {bucket('w')} AS b FROM (SELECT id, doc_id, unnest({words('text')}) AS w FROM events)) GROUP BY 1, 2, 3),
+sq AS (SELECT id, sum(c * c)::bigint AS n FROM bag GROUP BY 1),
+dots AS (SELECT x.doc_id AS doc_a, x.id AS ev_a, y.doc_id AS doc_b, y.id AS ev_b, sum(x.c * y.c)::bigint AS d FROM bag x JOIN bag y ON x.b = y.b AND x.doc_id < y.doc_id GROUP BY 1, 2, 3, 4),
+ents AS (SELECT id, seq, {entities('text')} AS e FROM events),
+scored AS (
+  SELECT doc_a, ev_a, doc_b, ev_b, eb.seq, round(0.45::double * (d / sqrt((na.n * nb.n)::double)) + 0.3::double * ({overlap('ea.e', 'eb.e')})::double + 0.25::double * 0.5::double, 9) AS score
+  FROM dots JOIN sq na ON na.id = ev_a JOIN sq nb ON nb.id = ev_b JOIN ents ea ON ea.id = ev_a JOIN ents eb ON eb.id = ev_b),
+best AS (
+  SELECT doc_a, ev_a, doc_b, ev_b, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_a, ev_a, doc_b ORDER BY score DESC, seq) AS r FROM scored WHERE score > 0.35) WHERE r = 1),
+groups AS (
+  SELECT 'align_' || (row_number() OVER (ORDER BY doc_a, doc_b, e.seq) - 1) AS group_id, b.* FROM best b JOIN events e ON e.id = b.ev_a)"""
+_DAYLIST = _list(fx.DAY_CYCLE)
+TABLE = f"""talk AS (SELECT conv_id, max(turn) AS last, list(DISTINCT role) AS who FROM conversations GROUP BY 1),
+tt AS (SELECT CAST(conv_id AS INT) AS k, 'Conversation ' || conv_id AS description, {_DAYLIST}[CAST(conv_id % {len(fx.DAY_CYCLE)} AS INT) + 1] AS day FROM talk)"""
+MACRO = f"""{ROLES}, {TABLE},
+order_of(doc_id, o) AS (VALUES ('user', 0), ('assistant', 1), ('system', 2)),
+acc AS (
+  SELECT chapter - 1 AS k, doc_id, o, string_agg(id, '|' ORDER BY verse) AS ids, string_agg(text, ' ' ORDER BY verse) FILTER (text <> '') AS text
+  FROM events JOIN order_of USING (doc_id) GROUP BY 1, 2, 3),
+macro AS (
+  SELECT 'macro_' || k AS id, string_agg(text, ' <doc-sep> ' ORDER BY o) AS text, any_value(description) AS description, string_agg(ids, '|' ORDER BY o) AS original_events, k AS chronology_index,
+    CAST(count(text) AS INT) AS num_source_texts, string_agg(doc_id, '|' ORDER BY o) AS source_docs, any_value(day) AS day, arg_max(doc_id, [length(text), -o]) AS chosen_doc
+  FROM acc JOIN tt USING (k) WHERE text IS NOT NULL GROUP BY k)"""
+_STEMS = ", ".join(f"CASE WHEN starts_with(lower(day_key), {_lit(d.lower().split(' (')[0])}) THEN {i} END" for i, d in enumerate(DAYS))
+TIMELINE = """line AS (
+  SELECT event_id, lead(event_id) OVER w AS n, event_type, CASE WHEN value <= lead(value) OVER w THEN 'BEFORE' ELSE 'AFTER' END AS rel
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+pred AS (SELECT event_id, n, 'BEFORE' AS rel, CASE WHEN event_type = 'purchase' THEN 'signal' ELSE 'narrative_order' END AS source FROM line WHERE n IS NOT NULL),
+gold AS (SELECT event_id, n, rel FROM line WHERE n IS NOT NULL AND event_type <> 'error')"""
+TALKS = """talks AS (
+  SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS output, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS reference
+  FROM conversations GROUP BY 1)"""
+
+
+def grams(c: str, n: int) -> str:
+    return f"list_transform(range(1, len(w_{c}) - {n} + 2), lambda i: array_to_string(w_{c}[i:i + {n} - 1], ' '))"
+
+
+def rouge(n: int) -> str:
+    return f"""WITH {TALKS}, toks AS (SELECT conv_id, {words('output')} AS w_output, {words('reference')} AS w_reference FROM talks),
+o AS (SELECT conv_id, g, count(*) AS c FROM (SELECT conv_id, unnest({grams('output', n)}) AS g FROM toks) GROUP BY 1, 2),
+r AS (SELECT conv_id, g, count(*) AS c FROM (SELECT conv_id, unnest({grams('reference', n)}) AS g FROM toks) GROUP BY 1, 2),
+h AS (SELECT conv_id, sum(least(o.c, r.c))::bigint AS hits FROM o JOIN r USING (conv_id, g) GROUP BY 1),
+s AS (SELECT conv_id, coalesce(hits, 0) AS hits, greatest(len(w_output) - {n - 1}, 0) AS n_out, greatest(len(w_reference) - {n - 1}, 0) AS n_ref FROM toks LEFT JOIN h USING (conv_id)),
+f AS (SELECT *, CASE WHEN n_out > 0 THEN hits / n_out::double ELSE 0 END AS precision, CASE WHEN n_ref > 0 THEN hits / n_ref::double ELSE 0 END AS recall FROM s)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM f"""
+
+
+RING = """ring AS (
+  SELECT vec_id AS dst_no, unnest([lead(vec_id, 1) OVER w, lead(vec_id, 2) OVER w]) AS src_no, unnest([0, 1]) AS type_no FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+edges AS (SELECT CAST(src_no AS INT) AS src_no, CAST(dst_no AS INT) AS dst_no, type_no FROM ring WHERE src_no IS NOT NULL)"""
+
+
+def softmax(score: str) -> str:
+    return f"""s AS (SELECT *, {score} AS score FROM edges),
+t AS (SELECT *, exp(score - greatest(max(score) OVER (PARTITION BY dst_no), 0)) AS e FROM s),
+w AS (SELECT *, e / (sum(e) OVER (PARTITION BY dst_no) + 1e-12::double) AS weight FROM t)"""
+
+
+def clean_final(c: str) -> str:
+    steps = [(r"<[^>]*>", " "), (r"[.]{2,}", "."), (r"[,]{2,}", ",")]
+    for a, b in steps:
+        c = f"regexp_replace({c}, '{a}', '{b}', 'g')"
+    c = rf"regexp_replace({c}, '(^|[^\p{{L}}\p{{N}}_])[a-zA-Z](?:\s[a-zA-Z])+([^\p{{L}}\p{{N}}_]|$)', '\1 \2', 'g')"
+    c = rf"regexp_replace({c}, '\s+', ' ', 'g')"
+    c = f"regexp_replace({c}, '[“”]', '\"', 'g')"
+    c = f"regexp_replace({c}, '[‘’]', '''', 'g')"
+    return strip(rf"regexp_replace({c}, '([.!?])\s*([a-z])', '\1 \2', 'g')")
+
+
+def clean_separators(c: str) -> str:
+    for p in SEPARATORS:
+        c = f"regexp_replace({c}, '{p}', ' <doc-sep> ', 'gi')"
+    c = f"regexp_replace({c}, '{TAGS}', ' ', 'gi')"
+    return strip(rf"regexp_replace({c}, '\s+', ' ', 'g')")
+
+
+_CROSS, _ONE, _WITHIN = r"^(\d+):(\d+)([ab]?)-(\d+):(\d+)([ab]?)$", r"^\s*(\d+)\s*:(\d+)([ab]?)$", r"^\s*(\d+)\s*:\s*(\d+)([ab]?)\s*-\s*(\d+)([ab]?)\s*$"
+
+
+def _groups(p: str, gs: tuple[int, ...]) -> str:
+    g = [f"nullif(regexp_extract(t, '{p}', {i}), '')" for i in gs]
+    return ", ".join([*(f"CAST({x} AS INT) AS {n}" for x, n in zip(g[:4], ("sc", "sv", "ec", "ev"), strict=True)), f"{g[4]} AS sp", f"{g[5]} AS ep"])
+
+
+PARSED = f"""refs(ref) AS ({_values([(r,) for r in fx.REFERENCES])}), r AS (SELECT ref, {strip('ref')} AS t FROM refs),
+parsed AS (
+  SELECT ref, {_groups(_CROSS, (1, 2, 4, 5, 3, 6))} FROM r WHERE regexp_matches(t, '{_CROSS}')
+  UNION ALL SELECT ref, {_groups(_ONE, (1, 2, 1, 2, 3, 3))} FROM r WHERE regexp_matches(t, '{_ONE}')
+  UNION ALL SELECT ref, {_groups(_WITHIN, (1, 2, 1, 4, 3, 5))} FROM r WHERE regexp_matches(t, '{_WITHIN}')
+  UNION ALL SELECT ref, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE NOT regexp_matches(t, '{_CROSS}') AND NOT regexp_matches(t, '{_ONE}') AND NOT regexp_matches(t, '{_WITHIN}'))"""
+
+
+def dedup(c: str, threshold: float) -> str:
+    like = f"({overlap(spaced('s'), spaced('k'))}) >= {threshold}"
+    return f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({sentences(c)}, lambda z: [z])), lambda acc, one: CASE WHEN len(list_filter(acc, lambda k: list_contains(list_transform(one, lambda s: {like}), true))) > 0 THEN acc ELSE list_concat(acc, one) END)"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {
+        "verses_from_conversations": f"WITH {TURNS} SELECT * FROM verses",
+        "verses_from_documents": f"SELECT doc_id, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS seq FROM (SELECT doc_id, {sentences('text')} AS s FROM documents)",
+        "sentence_split": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, len({sentences('text', 11)}) AS n_long FROM documents",
+        "word_tokens": f"SELECT doc_id, len({words('text')}) AS n_words, len(list_distinct({words('text')})) AS n_distinct, len({spaced('text')}) AS n_spaced FROM documents",
+        "token_offsets": rf"""WITH p AS (SELECT doc_id, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({W})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)),
+a AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM p)
+SELECT doc_id, count(*) FILTER (i % 2 = 0) AS n, coalesce(sum(pos - length(part)) FILTER (i % 2 = 0), 0)::bigint AS sum_start, coalesce(sum(pos) FILTER (i % 2 = 0), 0)::bigint AS sum_end FROM a GROUP BY 1""",
+        "text_projections": f"SELECT doc_id, left(text, 2000) AS head, length(text) AS n_chars, length({slice_part('text', _lit('a'))}) AS n_first, length({slice_part('text', _lit('b'))}) AS n_second, upper(left(lang, 1)) || substr(lower(lang), 2) AS lang FROM documents",
+        "entity_set": f"SELECT doc_id, len(e) AS n, array_to_string(list_sort(e), '|') AS entities FROM (SELECT doc_id, {entities('text')} AS e FROM documents)",
+        "jaccard_pairs": f"WITH {NEIGHBOURS} SELECT conv_id, turn, {overlap('a', 'b')} AS jaccard FROM (SELECT *, {spaced('before')} AS a, {spaced('text')} AS b FROM near)",
+        "entity_overlap_pairs": f"WITH {NEIGHBOURS} SELECT conv_id, turn, {overlap('a', 'b')} AS overlap FROM (SELECT *, {entities('before')} AS a, {entities('text')} AS b FROM near)",
+        "clean_separators": f"SELECT page_id, {clean_separators('text')} AS text FROM (SELECT page_id, html AS text FROM pages UNION ALL SELECT * FROM ({_values(fx.MARKUP)}))",
+        "clean_final": f"SELECT doc_id, {clean_final('text')} AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({_values(fx.DIRTY)}))",
+        "greedy_dedup": f"SELECT conv_id, turn, {clean_final('t')} AS text FROM (SELECT conv_id, turn, CASE WHEN t = '' OR ends_with(t, '.') THEN t ELSE t || '.' END AS t FROM (SELECT conv_id, turn, array_to_string({dedup('text', 0.65)}, ' ') AS t FROM conversations))",
+        "polarity": f"SELECT conv_id, turn, {polarity('text')} AS polarity FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT c0, c1, c3 FROM ({_values(fx.TURNS)}) f(c0, c1, c2, c3))",
+        "event_fallback": f"WITH {TURNS}, {events('verses')} SELECT * FROM events",
+        "event_class_lexicon": f"WITH {ALL}, {lexicon('whole')} SELECT id, doc_id, verse_idx, text, event_class, polarity FROM levents",
+        "signal_extract": f"WITH {ALL}, {SIGNAL} SELECT id, doc_id, text, verse_idx, start_char, end_char FROM signals",
+        "signal_relation_join": f"WITH {ALL}, {SIGNAL}, {TOLD} SELECT rel_type, count(*) AS n FROM told GROUP BY 1",
+        "timex_extract": f"WITH {ALL}, {TIMES} SELECT id, doc_id, text, verse_idx, timex3_type, value, start_char, end_char FROM times",
+        "timex_normalise": f"SELECT text, {normal('text')} AS value FROM ({_values([(t,) for t in fx.TIMES])}) t(text)",
+        "tlink_narrative": f"WITH {TURNS}, {events('verses')}, {NARRATIVE} SELECT doc_id, event_id, related_to_event, rel_type, source FROM narr WHERE related_to_event IS NOT NULL",
+        "tlink_signal": f"WITH {ALL}, {lexicon('whole')}, {SIGNAL}, {TOLD}, {ends('levents')} SELECT t.doc_id, e.event_id, e.related_to_event, t.rel_type, t.id AS signal_id, 'signal' AS source FROM told t JOIN ends e USING (doc_id, verse_idx) WHERE e.n >= 2",
+        "tlink_anchor": f"WITH {ALL}, {lexicon('whole')}, {TIMES} SELECT e.doc_id, e.id AS event_id, t.id AS related_to_time, 'IS_INCLUDED' AS rel_type, 'temporal_anchor' AS source FROM levents e JOIN times t USING (doc_id, verse_idx)",
+        "tlinks": f"WITH {ALL}, {events('whole')}, {SIGNAL}, {TIMES}, {LINKS} SELECT * FROM tlinks",
+        "slinks": f"WITH {ALL}, {lexicon('whole')}, {SUBORDINATE.format(of='levents')} SELECT * FROM slinks",
+        "annotation_type_counts": f"""WITH {ALL}, {events('whole')}, {SIGNAL}, {TIMES}, {LINKS}, {SUBORDINATE.format(of='events')},
+u AS (SELECT doc_id, 'EVENT' AS type FROM events UNION ALL SELECT doc_id, 'TIMEX3' FROM times UNION ALL SELECT doc_id, 'SIGNAL' FROM signals UNION ALL SELECT doc_id, 'TLINK' FROM tlinks UNION ALL SELECT doc_id, 'SLINK' FROM slinks)
+SELECT doc_id, type, count(*) AS n FROM u GROUP BY ROLLUP (doc_id, type)""",
+        "hash_buckets": f"SELECT conv_id, turn, {bucket('w')} AS bucket, count(*) AS cnt FROM (SELECT conv_id, turn, unnest({words('text')}) AS w FROM conversations) GROUP BY 1, 2, 3",
+        "hash_cosine_pairs": f"""WITH {TURNS}, {events('verses')}, {NARRATIVE},
+bag AS (SELECT id, b, count(*) AS c FROM (SELECT id, {bucket('w')} AS b FROM (SELECT id, unnest({words('text')}) AS w FROM events)) GROUP BY 1, 2),
+sq AS (SELECT id, sum(c * c)::bigint AS n FROM bag GROUP BY 1),
+dots AS (SELECT event_id, related_to_event, sum(x.c * y.c)::bigint AS d FROM narr JOIN bag x ON x.id = event_id JOIN bag y ON y.id = related_to_event AND x.b = y.b GROUP BY 1, 2)
+SELECT event_id AS a, related_to_event AS b, round(coalesce(d / sqrt((p.n * q.n)::double), 0), 9) AS cosine FROM narr LEFT JOIN dots USING (event_id, related_to_event) LEFT JOIN sq p ON p.id = event_id LEFT JOIN sq q ON q.id = related_to_event WHERE related_to_event IS NOT NULL""",
+        "centroid_relevance": f"WITH {CENTRE} SELECT vec_id, label, relevance FROM rel",
+        "dense_cosine_topk": f"WITH {CENTRE} SELECT label, vec_id, relevance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY relevance DESC, vec_id) AS rank FROM rel) WHERE rank <= 5",
+        "vector_pad": "SELECT vec_id, 96::bigint AS width, embedding[64]::double AS last, 0::double AS end FROM embeddings",
+        "doc_pairs": "SELECT a.source AS doc_a, b.source AS doc_b FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON a.source < b.source",
+        "parallel_pericopes": f"""WITH tt(k, name, day, matthew, mark, luke) AS ({_values(fx.TIMETABLE)}),
+cells AS (SELECT k, name, doc, trim(ref) AS ref FROM (SELECT k, name, unnest(['matthew', 'mark', 'luke']) AS doc, unnest([matthew, mark, luke]) AS ref FROM tt) WHERE trim(ref) <> ''),
+p AS (SELECT k, name, string_agg(doc || '=' || ref, ';' ORDER BY doc) AS refs FROM cells GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT max(k) AS chrono_idx, name AS event_name, arg_max(refs, k) AS refs FROM p GROUP BY name""",
+        "align_best_match": f"WITH {MATCH} SELECT * FROM best",
+        "align_inverted_index": f"WITH {MATCH} SELECT * FROM best",
+        "alignment_groups": f"WITH {MATCH} SELECT * FROM groups",
+        "tlink_gather": f"""WITH {MATCH}, {NARRATIVE},
+links AS (SELECT doc_id || '_tl' || seq AS id, doc_id, rel_type, event_id, related_to_event FROM narr WHERE related_to_event IS NOT NULL),
+e AS (SELECT group_id, ev_a AS ev FROM groups UNION ALL SELECT group_id, ev_b FROM groups)
+SELECT DISTINCT group_id, l.* FROM e JOIN links l ON ev = event_id OR ev = related_to_event""",
+        "conflicts": f"""WITH l(group_id, a, b, rel, doc, ord) AS ({_values(fx.GROUP_LINKS)}),
+t AS (SELECT group_id, a, b, doc, arg_max(rel, ord) AS rel, min(ord) AS at FROM l GROUP BY 1, 2, 3, 4)
+SELECT x.group_id, x.a AS event_a, x.b AS event_b, x.rel AS rel_a, y.rel AS rel_b, x.doc AS doc_1, y.doc AS doc_2 FROM t x JOIN t y ON x.group_id = y.group_id AND x.a = y.a AND x.b = y.b AND x.at < y.at
+WHERE (x.rel, y.rel) IN ({", ".join(f"('{p}', '{q}')" for p, q in CONTRADICTIONS)})""",
+        "verse_ref_parse": f"WITH {PARSED} SELECT * FROM parsed",
+        "verse_range_expand": f"""WITH {PARSED},
+x AS (
+  SELECT ref, 0 AS range_no, sc AS chapter, sv AS v_start, CASE WHEN sc = ec THEN ev ELSE 999 END AS v_end FROM parsed WHERE ec <= sc + 3
+  UNION ALL SELECT ref, CAST(c - sc AS INT), CAST(c AS INT), 1, 999 FROM (SELECT *, unnest(range(sc + 1, ec)) AS c FROM parsed WHERE ec <= sc + 3)
+  UNION ALL SELECT ref, greatest(ec - sc, 1), ec, 1, ev FROM parsed WHERE ec <= sc + 3 AND sc <> ec)
+SELECT * FROM x""",
+        "verse_range_join": "SELECT CAST(o_orderkey AS INT) AS chronology_index, count(*) AS n_verses, sum(l_quantity) AS sum_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN 2 AND 5 GROUP BY 1",
+        "part_slice": f"SELECT conv_id, turn, {slice_part('text', 'part')} AS text FROM (SELECT *, CASE turn % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS part FROM conversations)",
+        "macro_events": f"WITH {MACRO} SELECT id, text, description, original_events, chronology_index, num_source_texts, source_docs, day FROM macro",
+        "account_argmax": f"WITH {MACRO} SELECT chronology_index, chosen_doc FROM macro",
+        "chain_edges": f"WITH {MACRO} SELECT * FROM (SELECT id AS src, lead(id) OVER (ORDER BY chronology_index) AS dst, 'BEFORE' AS etype FROM macro) WHERE dst IS NOT NULL",
+        "detail_edges": f"""WITH {MATCH}, {NARRATIVE},
+p AS (SELECT ev_a AS e, ev_b AS o FROM best UNION ALL SELECT ev_b, ev_a FROM best),
+x AS (
+  SELECT DISTINCT event_id AS src, related_to_event AS dst, 'INTRA_BEFORE' AS etype FROM narr WHERE related_to_event IS NOT NULL
+  UNION ALL SELECT DISTINCT ev_a, ev_b, 'SAME_EVENT' FROM best
+  UNION ALL SELECT DISTINCT o, related_to_event, 'INTER_BEFORE' FROM narr JOIN p ON e = event_id WHERE related_to_event IS NOT NULL AND o <> related_to_event)
+SELECT etype, count(*) AS n FROM x GROUP BY 1""",
+        "segment_events": f"""WITH {MACRO},
+k AS (SELECT id, chronology_index, {strip("coalesce(nullif(day, ''), 'Unknown')")} AS day_key FROM macro),
+g AS (SELECT day_key, min(chronology_index) AS f, coalesce(list_min(list_filter([{_STEMS}], lambda i: i IS NOT NULL)), 100) AS r FROM k GROUP BY 1),
+s AS (SELECT day_key, CAST(row_number() OVER (ORDER BY r, f) AS INT) AS seg_rank, CASE WHEN r < 100 THEN {_list(DAYS)}[r + 1] ELSE day_key END AS label FROM g)
+SELECT id, seg_rank, label, day_key, chronology_index FROM k JOIN s USING (day_key)""",
+        "segment_runs": f"""WITH {TABLE}, k AS (SELECT k, {strip("coalesce(nullif(day, ''), 'Unknown')")} AS label FROM tt),
+n AS (SELECT *, CASE WHEN label = lag(label) OVER (ORDER BY k) THEN 0 ELSE 1 END AS new FROM k)
+SELECT k AS chronology_index, CAST(sum(new) OVER (ORDER BY k) AS INT) AS seg_rank, label FROM n""",
+        "topo_order": f"""WITH RECURSIVE nodes(id, no) AS ({_values(fx.NODES)}), edges(src, dst) AS ({_values(fx.EDGES)}),
+walk AS (SELECT id, 0 AS level FROM nodes UNION ALL SELECT dst, level + 1 FROM walk JOIN edges ON src = id),
+l AS (SELECT id, max(level) AS level FROM walk GROUP BY 1)
+SELECT id, CAST(row_number() OVER (ORDER BY level, no) AS INT) AS position FROM l JOIN nodes USING (id)""",
+        "temporal_ordering_accuracy": f"WITH {TIMELINE} SELECT *, CASE WHEN evaluated > 0 THEN correct / evaluated::double ELSE 0 END AS accuracy FROM (SELECT count(*) AS evaluated, count(*) FILTER (p.rel = g.rel) AS correct FROM pred p JOIN gold g USING (event_id, n))",
+        "adjacent_pair_accuracy": f"WITH {TIMELINE} SELECT *, CASE WHEN evaluated > 0 THEN correct / evaluated::double ELSE 0 END AS accuracy FROM (SELECT count(*) AS evaluated, count(*) FILTER (p.rel = g.rel) AS correct FROM pred p JOIN gold g USING (event_id, n) WHERE source = 'narrative_order')",
+        "temporal_f1": f"""WITH {TIMELINE}, a AS (SELECT DISTINCT event_id, n, rel FROM pred), b AS (SELECT DISTINCT event_id, n, rel FROM gold),
+c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS tp, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS fp, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS fn),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::double ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::double ELSE 0 END AS recall FROM c)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r""",
+        "entity_coverage": f"""WITH {TALKS}, e AS (SELECT conv_id, {entities('reference')} AS g, {entities('output')} AS o FROM talks)
+SELECT conv_id, len(g) AS n_entities, len(list_intersect(g, o)) AS n_covered, CASE WHEN len(g) > 0 THEN len(list_intersect(g, o)) / len(g)::double ELSE 1 END AS coverage FROM e""",
+        "coherence": f"""WITH s AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {sentences('text', 11)} AS s FROM documents)),
+bag AS (SELECT doc_id, i, b, count(*) AS c FROM (SELECT doc_id, i, {bucket('w')} AS b FROM (SELECT doc_id, i, unnest({words('t')}) AS w FROM s)) GROUP BY 1, 2, 3),
+sq AS (SELECT doc_id, i, sum(c * c)::bigint AS n FROM bag GROUP BY 1, 2),
+d AS (SELECT x.doc_id, x.i, sum(x.c * y.c)::bigint AS d FROM bag x JOIN bag y ON x.doc_id = y.doc_id AND y.i = x.i + 1 AND x.b = y.b GROUP BY 1, 2),
+c AS (SELECT d.doc_id, sum(d / sqrt((p.n * q.n)::double)) AS total FROM d JOIN sq p ON p.doc_id = d.doc_id AND p.i = d.i JOIN sq q ON q.doc_id = d.doc_id AND q.i = d.i + 1 GROUP BY 1),
+n AS (SELECT doc_id, len({sentences('text', 11)}) AS n FROM documents)
+SELECT doc_id, round(CASE WHEN n >= 2 THEN coalesce(total, 0) / (n - 1) ELSE 0 END, 9) AS coherence FROM n LEFT JOIN c USING (doc_id)""",
+        "redundancy_ratio": f"""WITH s AS (SELECT conv_id, turn, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM (SELECT conv_id, turn, {sentences('text', 11)} AS s FROM conversations)),
+bag AS (SELECT conv_id, turn, i, b, count(*) AS c FROM (SELECT conv_id, turn, i, {bucket('w')} AS b FROM (SELECT conv_id, turn, i, unnest({words('t')}) AS w FROM s)) GROUP BY 1, 2, 3, 4),
+sq AS (SELECT conv_id, turn, i, sum(c * c)::bigint AS n FROM bag GROUP BY 1, 2, 3),
+d AS (SELECT x.conv_id, x.turn, x.i, y.i AS j, sum(x.c * y.c)::bigint AS d FROM bag x JOIN bag y ON x.conv_id = y.conv_id AND x.turn = y.turn AND y.i < x.i AND x.b = y.b GROUP BY 1, 2, 3, 4),
+r AS (SELECT DISTINCT d.conv_id, d.turn, d.i FROM d JOIN sq p ON p.conv_id = d.conv_id AND p.turn = d.turn AND p.i = d.i JOIN sq q ON q.conv_id = d.conv_id AND q.turn = d.turn AND q.i = d.j WHERE round(d / sqrt((p.n * q.n)::double), 9) >= 0.85),
+n AS (SELECT conv_id, turn, len({sentences('text', 11)}) AS n_sentences FROM conversations), k AS (SELECT conv_id, turn, count(*) AS n_repeated FROM r GROUP BY 1, 2)
+SELECT conv_id, turn, n_sentences, coalesce(n_repeated, 0) AS n_repeated, CASE WHEN n_sentences >= 2 THEN coalesce(n_repeated, 0) / n_sentences::double ELSE 0 END AS ratio FROM n LEFT JOIN k USING (conv_id, turn)""",
+        "ngram_redundancy": f"""WITH t AS (SELECT doc_id, {words('text')} AS w_text FROM documents), g AS (SELECT doc_id, {grams('text', 3)} AS g FROM t)
+SELECT doc_id, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct, CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g)::double ELSE 0 END AS ratio FROM g""",
+        "rouge_1": rouge(1),
+        "rouge_2": rouge(2),
+        "kendall_tau": """WITH p AS (SELECT x.user_id, count(*) FILTER (x.value > y.value) AS concordant, count(*) FILTER (x.value < y.value) AS discordant FROM events x JOIN events y ON x.user_id = y.user_id AND x.ts > y.ts GROUP BY 1),
+n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT user_id, n, coalesce(concordant, 0) AS concordant, coalesce(discordant, 0) AS discordant, CASE WHEN n > 1 THEN (concordant - discordant) / (n::double * (n::double - 1) / 2) ELSE 0 END AS tau FROM n LEFT JOIN p USING (user_id)""",
+        "rank_pair_accuracy": "SELECT user_id, count(*) AS total_pairs, count(*) FILTER (b < value) AS correct_pairs, count(*) FILTER (b < value) / count(*)::double AS accuracy FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NOT NULL GROUP BY 1",
+        "greedy_matching": """WITH v AS (SELECT label, vec_id, embedding::double[] AS e FROM embeddings),
+c AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+p AS (SELECT label, avg(m) AS precision FROM (SELECT label, i, max(c) AS m FROM c GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT label, avg(m) AS recall FROM (SELECT label, j, max(c) AS m FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p JOIN r USING (label)""",
+        "rgat_softmax": f"WITH {RING}, {softmax('(SELECT round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) FROM embeddings a, embeddings b WHERE a.vec_id = src_no AND b.vec_id = dst_no)')} SELECT dst_no, src_no, round(weight, 6) AS weight FROM w",
+        "rgat_message": f"""WITH {RING}, {softmax('0.5::double * type_no')},
+m AS (SELECT dst_no, sum(weight * embedding[1]) AS f, sum(weight * embedding[64]) AS l FROM w JOIN embeddings ON vec_id = src_no GROUP BY 1)
+SELECT CAST(vec_id AS INT) AS no, round(f, 6) AS first, round(l, 6) AS last FROM embeddings LEFT JOIN m ON dst_no = vec_id""",
+        "index_edges": f"WITH {MACRO}, n AS (SELECT CAST(row_number() OVER (ORDER BY chronology_index) - 1 AS INT) AS no FROM macro) SELECT no AS src_no, CAST(no + 1 AS INT) AS dst_no, {EDGE_TYPES.index('BEFORE')} AS type_no FROM n WHERE no < (SELECT max(no) FROM n)",
+    }
+    return out
