@@ -77,6 +77,32 @@ def running_before(df: DataFrame, key: str, order: str, value: str, out: str, bu
     return joined.withColumn(out, F.col("_base") + F.col("_within")).drop("_bucket", "_base", "_within")
 
 
+#: Bits of a filter, in parts of 512 longs: 4 MB are broadcast, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def _place(key) -> tuple:
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return F.shiftright(at, 15).cast("int"), (F.shiftright(at, 6) % 512).cast("int"), (at % 64).cast("int")
+
+
+def maybe_in(rows: DataFrame, key, keys: DataFrame, flag: str) -> DataFrame:
+    """rows with a column `flag`: false where `key` isn't in the only column of `keys`; true where it may be.
+
+    key: a column or expression of the same type as that of keys. A broadcast of bounded size spares a join the shuffle of
+    rows that have no partner; it lets more through as keys get many, but never loses one.
+    """
+    part, word, bit = _place(F.col(keys.columns[0]))
+    words = keys.select(part.alias("_part"), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_mask"))
+    words = words.groupBy("_part", "_word").agg(F.bit_or("_mask").alias("_mask"))
+    parts = words.groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_m"))  # 512 entries at most
+    filled = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long")))
+    parts = F.broadcast(parts.select("_part", filled.alias("_words")))
+    part, word, bit = _place(key)
+    joined = rows.withColumn("_part", part).join(parts, "_part", "left")
+    return joined.withColumn(flag, F.coalesce(F.getbit(F.get("_words", word), bit) == 1, F.lit(False))).drop("_part", "_words")
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc, component: the smallest identifier that each end of `links` (a, b; longs) reaches.
 

@@ -4,17 +4,18 @@ Base spans are those of four patterns: e-mail addresses, IP addresses, card numb
 numbers. A pattern's matches and the pieces between them come from one regular expression, and running sums of their
 lengths give the places; patterns are possessive and start only where a run starts, so long runs cost linear time.
 
-Further terms are found by their information. A term that stands within WINDOW words of a protected value, in two
-different surroundings or more, tells of it
+Further terms are found by their information. A term that stands within WINDOW words of a protected value, in
+LEAST_CONTEXTS different surroundings or more, tells of it
 
     pointwise mutual information = log2(N * n(term, value) / (n(term) * n(value)))
 
-with N and n() counted in different texts over the whole corpus. If that is GENERALISE or more of the value's own
+with N and n() counted in texts over the whole corpus. If that is GENERALISE or more of the value's own
 information log2(N / n(value)), the term is generalised to the kind of value; if REMOVE or more, it is removed, wherever
 it stands.
 
 Edge cases: null text is empty and has no spans; all rows are kept, repeated ones and those with a null identifier too;
-counts are over different texts, so copies don't make a term tell more; an empty table gives an empty result; other
+copies count as often as they are there, but are one surrounding, as near copies mostly are (surroundings are told apart
+by the least hash of their words), so they alone don't make a term tell; an empty table gives an empty result; other
 columns are ignored by find_spans() and kept by sanitise().
 """
 
@@ -23,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import written
+from storyloom.llm.common import maybe_in, written
 
 #: Fixed values, in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, LEAST_CONTEXTS = 5, 2
+WINDOW, LEAST_CONTEXTS = 5, 3
 GENERALISE, REMOVE = 0.75, 0.9
 #: Characters on either side of a value that are looked at for words.
 _REACH = 120
@@ -114,31 +115,38 @@ def _near(text: Column, span: Column) -> Column:
     return F.array_distinct(F.concat(left, F.slice(words(after), 1, WINDOW)))
 
 
+def _typed(column: str, kind_no: int) -> Column:
+    return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"), _near(F.col("text"), s).alias("near")))
+
+
+def _count(kind_no: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind_no"] == kind_no)).cast("long")
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (digest of the text), spans: kind_no, start, end, value and near (the words next to it) of base spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.md5("text"))
     for kind in PATTERNS:
         out = out.withColumn(kind, _found(F.col("text"), kind))
-    parts = [F.transform(k, lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"), _near(F.col("text"), s).alias("near"))) for n, k in enumerate(PATTERNS)]
-    return out.select("doc_id", "key", F.concat(*parts).alias("spans"))
+    return out.select("doc_id", "key", F.concat(*(_typed(k, n) for n, k in enumerate(PATTERNS))).alias("spans"))
 
 
 def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
     """term, share (the largest share of a value's information that it tells), kind_no (of that value), action."""
-    spark = docs.sparkSession
-    seen = base.filter(F.size("spans") > 0).select("key", F.explode("spans").alias("s"))
-    seen = seen.select("key", F.col("s.kind_no"), F.col("s.value"), F.col("s.near")).distinct()
+    seen = base.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
+    seen = seen.select("row", F.col("s.kind_no"), F.col("s.value"), F.col("s.near")).distinct()
     value = ["kind_no", "value"]
-    n_value = seen.select("key", *value).distinct().groupBy(*value).agg(F.count("*").alias("n_value"))
-    contexts = seen.select(*value, "near").distinct().select(*value, F.explode("near").alias("term"))
+    n_value = seen.select("row", *value).distinct().groupBy(*value).agg(F.count("*").alias("n_value"))
+    contexts = seen.select(*value, "near").distinct().select(*value, "near", F.explode("near").alias("term"))
+    other = F.array_min(F.transform(F.array_remove("near", F.col("term")), lambda w: F.xxhash64(w)))  # near copies mostly agree on it
+    contexts = contexts.withColumn("other", F.coalesce(other, F.lit(0).cast("long"))).select(*value, "term", "other").distinct()
     contexts = contexts.groupBy(*value, "term").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") >= LEAST_CONTEXTS)
-    together = seen.select("key", *value, F.explode("near").alias("term")).distinct().groupBy(*value, "term").agg(F.count("*").alias("n_both"))
+    together = seen.select("row", *value, F.explode("near").alias("term")).distinct().groupBy(*value, "term").agg(F.count("*").alias("n_both"))
     pairs = written(contexts.join(together, [*value, "term"]).join(n_value, value), "pairs")
-    terms = pairs.select("term").distinct()
-    n_all = base.agg(F.count_distinct("key")).first()[0]
-    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.md5("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    n_term = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    n_all = base.count()
+    words = maybe_in(_words(docs.select(_text(text_col))), F.col("term"), pairs.select("term").distinct(), "_maybe").filter("_maybe")
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(n_term, "term").withColumn("own", F.log2(F.lit(n_all) / F.col("n_value")))
     scored = scored.withColumn("told", F.log2(F.lit(n_all) * F.col("n_both") / (F.col("n_term") * F.col("n_value"))))
     scored = scored.filter("own > 0").withColumn("share", F.col("told") / F.col("own"))
@@ -147,11 +155,20 @@ def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> D
     return written(best.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")), "terms")
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit("")).alias("text")
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """texts with a row for each different lower-case word of column text."""
+    return texts.withColumn("term", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))))
+
+
 def _term_spans(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """key, terms (start, kind_no, end, value, action): where telling terms stand in each text that has some."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    words = texts.select("key", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    has = words.join(terms, "term").groupBy("key").agg(F.first("text").alias("text"), F.map_from_entries(F.collect_set(F.struct("term", F.struct("action", "kind_no")))).alias("of"))
+    """key, terms (start, kind_no, end, why): where telling terms stand in each text that has some."""
+    words = maybe_in(_words(docs.select(_text(text_col))), F.col("term"), terms.select("term"), "_maybe").filter("_maybe")
+    has = words.withColumn("key", F.md5("text")).join(terms, "term").groupBy("key")
+    has = has.agg(F.first("text").alias("text"), F.map_from_entries(F.collect_set(F.struct("term", F.struct("action", "kind_no")))).alias("of"))
     pattern = r"\p{L}+"
     at = places(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     at = F.filter(at, lambda s: F.map_contains_key("of", F.lower(s["value"])))
@@ -164,7 +181,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Terms inside a base span belong to it and aren't listed. label is what takes a span's place.
     """
-    base = written(base_spans(docs, id_col, text_col), "base")
+    base = written(base_spans(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "base")
     terms = _term_spans(docs, telling_terms(docs, base, text_col), text_col)
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     own = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), F.get(kinds, s["kind_no"]).alias("label")))
@@ -180,13 +197,14 @@ def digests(found: DataFrame) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     term = KINDS.index("term")
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind_no"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(PATTERNS)]
+    counts = [_count(n).alias(f"n_{k}") for n, k in enumerate(PATTERNS)]
     return found.select("doc_id", *counts, F.sha2(say(F.filter("spans", lambda s: s["kind_no"] < term)), 256).alias("base_sha256"), say(F.col("spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of its texts replaced by its label (of spans that overlap, the first), all columns kept."""
     found = find_spans(docs, id_col, text_col).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
+    found = written(found.withColumnRenamed("key", "_key"), "found")
     text = F.col(text_col)
 
     def put(acc: Column, s: Column) -> Column:
@@ -196,5 +214,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put)
     new = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_key", F.md5(F.coalesce(text, F.lit("")))).join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    keyed = maybe_in(docs.withColumn("_key", F.md5(F.coalesce(text, F.lit("")))), F.col("_key"), found.select("_key"), "_maybe")
+    changed = keyed.filter("_maybe").join(found, "_key", "left")
+    changed = changed.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return keyed.filter("not _maybe").select(*docs.columns).unionByName(changed)
