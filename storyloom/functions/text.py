@@ -6,6 +6,8 @@ written out as WORD and word boundaries are asked for with the flag (?U).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,24 +136,29 @@ def places(c: Column | str, pattern: str) -> Column:
     """Array of (start, end, text) of a pattern's matches, in code points from 0, end exclusive.
 
     Matches and the pieces between them come from one pattern; running sums of their lengths are the places. Sums run in
-    chunks of 512 matches and then over the chunks, so that many matches don't cost their square.
+    chunks of 64 matches and then over the chunks, so that many matches don't cost their square.
     """
     c = _col(c)
-    found, pieces = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    n = F.size(found)
-    steps = F.zip_with(F.slice(pieces, F.lit(1), n), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("text")))
     span = "struct<start:int,end:int,text:string>"
     none, chunks = F.expr(f"cast(array() as array<{span}>)"), F.expr(f"cast(array() as array<array<{span}>>)")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
+        end = start + x["size"]
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
 
-    def chunk(acc: Column, k: Column) -> Column:
-        got = F.aggregate(F.slice(steps, k * 512 + 1, F.lit(512)), F.struct(acc["at"].alias("at"), none.alias("out")), add)
-        return F.struct(got["at"].alias("at"), F.array_append(acc["out"], got["out"]).alias("out"))
+    def chunk(acc: Column, part: Column) -> Column:
+        got = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return bind(got, lambda g: F.struct(g["at"].alias("at"), F.array_append(acc["out"], g["out"]).alias("out")))
+
+    def run(both: Column) -> Column:
+        steps = F.zip_with(both["pieces"], both["found"], lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+        parts = bind(F.filter(steps, lambda x: x["text"].isNotNull()), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / 64).cast("int")), lambda k: F.slice(s, k * 64 + 1, F.lit(64))))
+        return F.when(F.size(both["found"]) > 0, F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), chunks.alias("out")), chunk)["out"])).otherwise(none)
+
+    return bind(F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(c, pattern, -1).alias("pieces")), run)
+
 
-    ks = F.sequence(F.lit(0), F.floor((n - 1) / 512).cast("int"))
-    got = F.aggregate(ks, F.struct(F.lit(0).alias("at"), chunks.alias("out")), chunk)
-    return F.when(n > 0, F.flatten(got["out"])).otherwise(none)
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
