@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import components, forget, written
+from storyloom.llm.common import components, forget, maybe_in, written
 
 TREES, DEPTH, MINIMA = 8, 8, 128
 REGION_ROWS = 4096
@@ -38,8 +38,7 @@ REGION_ROWS = 4096
 NEAREST, SIGMAS = 2, 4
 #: A cluster of up to so many texts and shingles is settled in one task; a tile of a larger one has so many rows.
 CLUSTER_TEXTS, CLUSTER_SHINGLES, TILE_ROWS = 1024, 2_000_000, 512
-#: Bits that say which texts are read again: a broadcast of this size at most, whatever the corpus.
-FILTER_BITS = 1 << 25
+
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 20
 
@@ -324,12 +323,7 @@ def _tile_rows(percent: int):
 
 def _read_again(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """texts joined with wanted (doc_id, cluster, ...); a filter of bounded size spares most other texts the shuffle."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = wanted.select(F.bitmap_bucket_number(place).alias("_part"), F.bitmap_bit_position(place).alias("_bit"))
-    bits = F.broadcast(bits.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
-    asked = texts.withColumn("_part", F.bitmap_bucket_number(place)).withColumn("_at", F.bitmap_bit_position(place)).join(bits, "_part")
-    byte = "cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)"
-    asked = asked.filter(F.expr(f"(shiftright({byte}, cast(_at % 8 as int)) & 1) = 1"))
+    asked = maybe_in(texts, F.col("doc_id"), wanted.select("doc_id"), "_maybe").filter("_maybe")
     return asked.select("doc_id", "text").join(wanted, "doc_id")
 
 

@@ -11,7 +11,8 @@ it after a few. Around each hit a window of WINDOW words decides whether the ter
 quotation marks, or words for quoting are near) or used; both are counted apart.
 
 Edge cases: null text is empty, and an empty text gets the score of a text without hits; all rows are kept, repeated ones
-and those with a null identifier too; without labelled rows of both kinds every score is 0; labels that repeat an
+and those with a null identifier too; without labelled rows of both kinds, or terms that tell
+them apart, every score is 0; labels that repeat an
 identifier count as toxic if one of them is; other columns are ignored.
 """
 
@@ -263,6 +264,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     toxic = counted(1, None, least)
     terms = _lexicon(toxic, counted(0, frozenset(toxic), 1), n_toxic, n_clean)
+    if not terms:
+        forget(sample)
+        return Model({}, None)
     near = sample.filter("toxic = 0").select("text").mapInArrow(_near_rows(terms), "term string, edits int, n bigint")
     usual = near.groupBy("term", "edits").agg(F.sum("n").alias("n")).filter(F.col("n") > MAX_CLEAN * n_clean).collect()  # two rows a term at most
     for term, edits, _ in usual:

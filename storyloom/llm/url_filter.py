@@ -8,8 +8,8 @@ is trained by averaged adaptive gradient steps on a small table of labelled urls
 made of words for spam, gambling, tracking and the like against hosts of ordinary and of made-up words, with the same
 domains, languages and paths on either side, so that these tell nothing.
 
-Edge cases: a url that is null or has no `://` has an empty host and path, which no rule fits, and its verdict comes from
-the regression's bias; empty host or path give no n-grams; all rows are kept, repeated ones and null identifiers too;
+Edge cases: a url that is null or has no `://` has an empty host and path, which no rule fits and which give nothing to
+judge by: P(block) is 0; a host or a path alone may be empty; all rows are kept, repeated ones and null identifiers too;
 without labelled urls of both kinds the verdict is that of the only kind, or allow; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -117,8 +117,9 @@ def _score_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value.weights, model.value.bias
         for batch in batches:
-            z = [bias + float(weights[np.unique(buckets(h, p))].sum()) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+            found = [np.unique(buckets(h, p)) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            z = np.array([bias + weights[x].sum() for x in found], float)
+            p = np.where([len(x) > 0 for x in found], 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p_block"])
 
     return run
