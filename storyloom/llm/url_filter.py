@@ -105,11 +105,12 @@ def labelled_urls(seed: int = 3) -> list[tuple[str, str, bool]]:
     pick = lambda words: words[int(rng.integers(len(words)))]
     hosts = [(f"{pick(BAD)}-{pick(BAD)}", True) for _ in range(150)] + [(w, True) for w in BAD] + [(pick(BAD) + pick(BAD), True) for _ in range(60)]
     hosts += [(f"{pick(GOOD)}-{pick(GOOD)}", False) for _ in range(150)] + [(w, False) for w in GOOD]
-    hosts += [("".join(pick(_SYLLABLES) for _ in range(int(rng.integers(2, 5)))), False) for _ in range(600)]
+    hosts += [("".join(pick(_SYLLABLES) for _ in range(int(rng.integers(1, 5)))), False) for _ in range(900)]
     out = []
     for name, bad in hosts:
-        host = pick(["", "www.", "m.", "blog."]) + name + pick([".example.com", ".example.org", ".example.net", ".com", ".org", ".net"])
-        out.append((host, f"/{pick(['en', 'de', 'fr', 'es'])}/{int(rng.integers(100000))}{pick(['', '/', '.html'])}", bad))
+        host = pick(["", "www.", "m.", "blog."]) + name + pick([".example.com", ".example.org", ".example.net", ".com", ".org", ".net", ""])
+        path = f"/{pick(['en', 'de', 'fr', 'es'])}/{int(rng.integers(100000))}{pick(['', '/', '.html'])}"
+        out.append((host, pick([path, path, path, ""]), bad))
     return out
 
 
