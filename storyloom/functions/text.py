@@ -114,13 +114,10 @@ def slice_part(c: Column | str, part: Column) -> Column:
 def drop_prompt(c: Column | str) -> Column:
     """Without leading sentences on merging, where the text shows that it repeats its instruction."""
     c = _col(c)
-    parts = F.split(c, r"\.", -1)
-    about = lambda s: F.exists(F.array(*(F.lit(w) for w in ("merge", "gospel", "version", "story"))), lambda w: F.contains(F.lower(s), w))
-    kept = F.transform(parts, lambda s, i: F.when(~about(s), i))
-    first = F.array_min(F.filter(kept, lambda i: i.isNotNull()))
-    rest = strip(F.array_join(F.slice(parts, first + 1, F.size(parts)), "."))
+    about = r"[^.]*(?:merge|gospel|version|story)[^.]*"
+    rest = F.regexp_replace(c, rf"(?i)^(?:{about}\.)++", "")
     told = F.contains(c, F.lit("Merge")) | F.contains(c, F.lit("different gospel"))
-    return F.when(told & first.isNotNull(), rest).otherwise(c)
+    return F.when(told & ~rest.rlike(rf"(?i)^{about}"), strip(rest)).otherwise(c)
 
 
 def capitalise(c: Column | str) -> Column:

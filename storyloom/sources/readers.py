@@ -16,8 +16,8 @@ _CHAPTER = "_number string, verse array<struct<_number: string, _VALUE: array<st
 def read_verses(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """doc_id, verse_idx, chapter, verse, text of each document's file: verses below chapters at any depth.
 
-    A verse without a number has 0; one without text is left out, one of white space stays, empty; of mixed content the
-    text before the first element counts.
+    A verse without a number has 0; one without text, or of white space alone (which Spark's reader doesn't tell from
+    none), is left out; of mixed content the text before the first element counts.
     """
     out = None
     for doc, path in paths.items():
