@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +18,7 @@ from storyloom.functions import vectors as vx
 
 LEAST, REPEATED = 11, 0.85
 _PAIR = ["event_id", "related_to_event"]
+_WORD = re.compile(r"\w+")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -70,20 +75,38 @@ def numbered_sentences(texts: DataFrame, id_cols: list[str], text_col: str = "te
 
 
 def coherence(texts: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols, coherence: the mean cosine of neighbouring sentences; 0 with fewer than two."""
-    rows = numbered_sentences(texts, id_cols, text_col)
-    counts = vx.bucket_counts(rows, [*id_cols, "seq"])
-    norms = vx.squared_norms(counts, [*id_cols, "seq"]).withColumnRenamed("sq", "n1")
-    after = counts.select(*id_cols, (F.col("seq") - 1).alias("seq"), "bucket", F.col("cnt").alias("_y"))
-    dots = counts.join(after, [*id_cols, "seq", "bucket"]).groupBy(*id_cols, "seq").agg(F.sum(F.col("cnt") * F.col("_y")).alias("dot"))
-    behind = norms.select(*id_cols, (F.col("seq") - 1).alias("seq"), F.col("n1").alias("n2"))
-    like = dots.join(norms, [*id_cols, "seq"]).join(behind, [*id_cols, "seq"])
-    like = like.select(*id_cols, (F.col("dot") / F.sqrt((F.col("n1") * F.col("n2")).cast("double"))).alias("c"))
-    sums = like.groupBy(*id_cols).agg(F.sum("c").alias("total"))
-    sizes = texts.select(*id_cols, F.size(tx.sentences(text_col, LEAST)).alias("n"))
-    rows = sizes.join(sums, id_cols, "left")
-    value = F.when(F.col("n") >= 2, F.coalesce("total", F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0)
-    return rows.select(*id_cols, F.round(value, 9).alias("coherence"))
+    """id_cols, coherence: the mean cosine of neighbouring sentences; 0 with fewer than two.
+
+    A text's sentences are compared in its task: nothing is shuffled.
+    """
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets: dict[str, int] = {}
+
+        def bag(sentence: str) -> tuple[Counter, int]:
+            words = _WORD.findall(sentence.lower())
+            if len(buckets) > 500_000:
+                buckets.clear()
+            for w in set(words).difference(buckets):
+                buckets[w] = int(hashlib.md5(w.encode()).hexdigest(), 16) % vx.WIDTH
+            counts = Counter(map(buckets.__getitem__, words))
+            return counts, sum(n * n for n in counts.values())
+
+        for arrays in batches:
+            out = []
+            for found in arrays:
+                total, last = 0.0, None
+                for sentence in [] if found is None else found:
+                    now = bag(sentence)
+                    if last and last[1] and now[1]:
+                        small, large = sorted((last[0], now[0]), key=len)
+                        total += sum(n * large[b] for b, n in small.items() if b in large) / math.sqrt(last[1] * now[1])
+                    last = now
+                out.append(total / (len(found) - 1) if found is not None and len(found) > 1 else 0.0)
+            yield pd.Series(out)
+
+    return texts.select(*id_cols, F.round(run(tx.sentences(text_col, LEAST)), 9).alias("coherence"))
 
 
 def redundancy_ratio(texts: DataFrame, id_cols: list[str], text_col: str = "text", threshold: float = REPEATED) -> DataFrame:
@@ -121,9 +144,11 @@ def ngrams(rows: DataFrame, id_cols: list[str], n: int, text_col: str = "text")
 
 
 def ngram_redundancy(texts: DataFrame, id_cols: list[str], n: int = 3, text_col: str = "text") -> DataFrame:
-    """id_cols, n_grams, n_distinct, ratio: 1 - different n-grams / n-grams; 0 without any."""
-    sums = ngrams(texts, id_cols, n, text_col).groupBy(*id_cols).agg(F.sum("cnt").alias("n_grams"), F.count("*").alias("n_distinct"))
-    rows = texts.select(*id_cols).join(sums, id_cols, "left").na.fill(0, ["n_grams", "n_distinct"])
+    """id_cols, n_grams, n_distinct, ratio: 1 - different n-grams / n-grams; 0 without any. Nothing is shuffled."""
+    rows = texts.select(*id_cols, tx.words(text_col).alias("_w"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    long = F.size("_w") >= n
+    rows = rows.select(*id_cols, F.when(long, F.size("_w") - n + 1).otherwise(0).cast("long").alias("n_grams"), F.when(long, F.size(F.array_distinct(grams))).otherwise(0).cast("long").alias("n_distinct"))
     return rows.withColumn("ratio", F.when(F.col("n_grams") > 0, 1 - F.col("n_distinct") / F.col("n_grams")).otherwise(0.0))
 
 
