@@ -125,6 +125,11 @@ def capitalise(c: Column | str) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2), F.length(c)))
 
 
+def document_of(c: Column | str) -> Column:
+    """The document that an annotation's identifier begins with, in small letters."""
+    return F.lower(F.substring_index(_col(c), "_", 1))
+
+
 def or_unknown(c: Column | str) -> Column:
     return strip(F.coalesce(F.nullif(_col(c), F.lit("")), F.lit("Unknown")))
 

@@ -7,8 +7,12 @@ one division at the end, the same on any engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions import text as tx
 
@@ -78,3 +82,23 @@ def hashed_dense(rows: DataFrame, id_cols: list[str], text_col: str = "text", wi
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("n"))
     out = rows.select(*id_cols).distinct().join(maps, id_cols, "left")
     return out.select(*id_cols, F.coalesce(dense, F.array_repeat(F.lit(0.0), width)).alias("vec"))
+
+
+def embed(rows: DataFrame, id_cols: list[str], load: Callable[[], Callable[[list[str]], list]] | None = None, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """id_cols, vec: by a model that each worker loads once, else hashed bags.
+
+    load: returns a function from texts to vectors. Texts that the model gives no vector for get their hashed bag.
+    """
+    if load is None:
+        return hashed_dense(rows, id_cols, text_col, width)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series(model(texts.fillna("").tolist()))
+
+    made = rows.select(*id_cols, run(text_col).alias("_v"))
+    hashed = hashed_dense(rows, id_cols, text_col, width)
+    out = made.join(hashed, id_cols)
+    return out.select(*id_cols, F.coalesce(F.col("_v").cast("array<double>"), F.col("vec")).alias("vec"))

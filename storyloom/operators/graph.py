@@ -146,6 +146,17 @@ def forward(nodes: DataFrame, edges: DataFrame, net: Network) -> DataFrame:
     return linear(x, *net.end)
 
 
+def losses(features: DataFrame, outputs: DataFrame, edges: DataFrame) -> DataFrame:
+    """reconstruction, consistency, loss: mean squares of output less feature, and of outputs across edges; the loss is the
+    first plus half the second. features, outputs: no, x."""
+    mean = lambda a, b: F.avg(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v) / F.size(a))
+    both = features.select("no", F.col("x").alias("f")).join(outputs.select("no", F.col("x").alias("o")), "no")
+    ends = edges.join(outputs.select(F.col("no").alias("src_no"), F.col("x").alias("a")), "src_no").join(outputs.select(F.col("no").alias("dst_no"), F.col("x").alias("b")), "dst_no")
+    out = both.agg(mean(F.col("f"), F.col("o")).alias("reconstruction")).join(ends.agg(mean(F.col("a"), F.col("b")).alias("consistency")))  # a row each
+    out = out.withColumn("consistency", F.coalesce("consistency", F.lit(0.0)))
+    return out.withColumn("loss", F.col("reconstruction") + 0.5 * F.col("consistency"))
+
+
 def train(x: np.ndarray, edges: np.ndarray, hidden: int = 64, epochs: int = 50, rate: float = 0.005, seed: int = 0) -> tuple[np.ndarray, list[float]]:
     """Vectors learned on the driver by Adam, and the loss of each epoch.
 

@@ -405,6 +405,12 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
         "rgat_message": f"""WITH {RING}, {softmax('0.5::double * type_no')},
 m AS (SELECT dst_no, sum(weight * embedding[1]) AS f, sum(weight * embedding[64]) AS l FROM w JOIN embeddings ON vec_id = src_no GROUP BY 1)
 SELECT CAST(vec_id AS INT) AS no, round(f, 6) AS first, round(l, 6) AS last FROM embeddings LEFT JOIN m ON dst_no = vec_id""",
+        "rgat_losses": f"""WITH {RING},
+r AS (SELECT avg(list_sum(list_transform(embedding::double[], lambda v: v * v / 4)) / len(embedding)) AS reconstruction FROM embeddings),
+c AS (SELECT avg(list_distance(a.embedding::double[], b.embedding::double[]) ** 2 / 4 / len(a.embedding)) AS consistency FROM edges JOIN embeddings a ON a.vec_id = src_no JOIN embeddings b ON b.vec_id = dst_no)
+SELECT round(reconstruction, 9) AS reconstruction, round(consistency, 9) AS consistency, round(reconstruction + consistency / 2, 9) AS loss FROM r, c""",
+        "document_of": "SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*) AS n FROM conversations GROUP BY 1",
+        "preview_rows": f"WITH {MACRO} SELECT chronology_index, description FROM macro ORDER BY 1 LIMIT 3",
         "index_edges": f"WITH {MACRO}, n AS (SELECT CAST(row_number() OVER (ORDER BY chronology_index) - 1 AS INT) AS no FROM macro) SELECT no AS src_no, CAST(no + 1 AS INT) AS dst_no, {EDGE_TYPES.index('BEFORE')} AS type_no FROM n WHERE no < (SELECT max(no) FROM n)",
     }
     return out

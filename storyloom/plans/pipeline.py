@@ -45,3 +45,8 @@ def build(verses: DataFrame, timetable: DataFrame, documents: list[str], lexicon
     log = generate.consolidation_log(segments.segment(macro), generator)
     parts = generate.segment_texts(log)
     return Story(verses, events, times, signals, tlinks, annotate.subordination_links(events), matches, macro, consolidate.chain_edges(macro), log, parts, generate.narrative(parts))
+
+
+def preview(verses: DataFrame, timetable: DataFrame, documents: list[str], rows: int = 3) -> Story:
+    """The tables of a run over the first rows of the timetable alone."""
+    return build(verses, timetable.orderBy("chronology_index").limit(rows), documents)

@@ -569,6 +569,26 @@ def rgat_message(spark: SparkSession, d: str) -> DataFrame:
     return out.select("no", F.round(F.element_at("out", 1), 6).alias("first"), F.round(F.element_at("out", 64), 6).alias("last"))
 
 
+@query
+def rgat_losses(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _ring(spark, d)
+    half = nodes.select("no", F.transform("x", lambda v: v / 2).alias("x"))
+    out = graph.losses(nodes.select("no", "x"), half, edges)
+    return out.select(*(F.round(c, 9).alias(c) for c in ("reconstruction", "consistency", "loss")))
+
+
+@query
+def document_of(spark: SparkSession, d: str) -> DataFrame:
+    events = annotate.events(_turns(spark, d))
+    return events.groupBy(tx.document_of("id").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+@query
+def preview_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first three rows of the timetable that some role tells."""
+    return _macro(spark, d).select("chronology_index", "description").orderBy("chronology_index").limit(3)
+
+
 @query
 def rgat_forward(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _ring(spark, d)

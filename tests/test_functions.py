@@ -143,3 +143,18 @@ def test_dense_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     rows = df.select(vx.dense_cosine(F.col("a"), F.col("b")).alias("c"), vx.pad(F.col("a"), 4).alias("p"), vx.pad(F.col("a"), 1).alias("q")).collect()
     assert math.isclose(rows[0].c, 1 / math.sqrt(2)) and rows[1].c == 0 and rows[0].p == [1, 0, 0, 0] and rows[0].q == [1]
+
+
+def test_a_model_can_be_plugged_in(spark):
+    rows = spark.createDataFrame([(0, "a b"), (1, "none"), (2, None)], "id int, text string")
+
+    def load():
+        return lambda texts: [None if t == "none" else [float(len(t)), 1.0] for t in texts]
+
+    got = {r.id: r.vec for r in vx.embed(rows, ["id"], load).collect()}
+    assert got[0] == [3.0, 1.0] and len(got[1]) == 300 and got[2] == [0.0, 1.0]
+    assert {r.id: r.vec for r in vx.embed(rows, ["id"]).collect()}[0] == {r.id: r.vec for r in vx.hashed_dense(rows, ["id"]).collect()}[0]
+
+
+def test_document_of_an_identifier(spark):
+    assert one(spark, "Luke_e12", tx.document_of) == "luke"
