@@ -314,7 +314,8 @@ SELECT doc_id, type, count(*) AS n FROM u GROUP BY ROLLUP (doc_id, type)""",
         "hash_cosine_pairs": f"""WITH {TURNS}, {events('verses')}, {NARRATIVE},
 bag AS (SELECT id, b, count(*) AS c FROM (SELECT id, {bucket('w')} AS b FROM (SELECT id, unnest({words('text')}) AS w FROM events)) GROUP BY 1, 2),
 sq AS (SELECT id, sum(c * c)::bigint AS n FROM bag GROUP BY 1),
-dots AS (SELECT event_id, related_to_event, sum(x.c * y.c)::bigint AS d FROM narr JOIN bag x ON x.id = event_id JOIN bag y ON y.id = related_to_event AND x.b = y.b GROUP BY 1, 2)
+own AS MATERIALIZED (SELECT event_id, related_to_event, b, c FROM narr JOIN bag ON id = event_id),
+dots AS MATERIALIZED (SELECT event_id, related_to_event, sum(own.c * bag.c)::bigint AS d FROM own JOIN bag ON bag.id = related_to_event AND bag.b = own.b GROUP BY 1, 2)
 SELECT event_id AS a, related_to_event AS b, round(coalesce(d / sqrt((p.n * q.n)::double), 0), 9) AS cosine FROM narr LEFT JOIN dots USING (event_id, related_to_event) LEFT JOIN sq p ON p.id = event_id LEFT JOIN sq q ON q.id = related_to_event WHERE related_to_event IS NOT NULL""",
         "centroid_relevance": f"WITH {CENTRE} SELECT vec_id, label, relevance FROM rel",
         "dense_cosine_topk": f"WITH {CENTRE} SELECT label, vec_id, relevance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY relevance DESC, vec_id) AS rank FROM rel) WHERE rank <= 5",
