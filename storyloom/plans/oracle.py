@@ -274,9 +274,10 @@ parsed AS (
   UNION ALL SELECT ref, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE NOT regexp_matches(t, '{_CROSS}') AND NOT regexp_matches(t, '{_ONE}') AND NOT regexp_matches(t, '{_WITHIN}'))"""
 
 
-def dedup(c: str, threshold: float) -> str:
+def dedup(c: str, threshold: float, most: int | None = None) -> str:
+    full = f"len(acc) >= {most} OR" if most else ""
     like = f"({overlap(spaced('s'), spaced('k'))}) >= {threshold}"
-    return f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({sentences(c)}, lambda z: [z])), lambda acc, one: CASE WHEN len(list_filter(acc, lambda k: list_contains(list_transform(one, lambda s: {like}), true))) > 0 THEN acc ELSE list_concat(acc, one) END)"
+    return f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({sentences(c)}, lambda z: [z])), lambda acc, one: CASE WHEN {full} len(list_filter(acc, lambda k: list_contains(list_transform(one, lambda s: {like}), true))) > 0 THEN acc ELSE list_concat(acc, one) END)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -295,6 +296,7 @@ SELECT doc_id, count(*) FILTER (i % 2 = 0) AS n, coalesce(sum(pos - length(part)
         "clean_separators": f"SELECT page_id, {clean_separators('text')} AS text FROM (SELECT page_id, html AS text FROM pages UNION ALL SELECT * FROM ({_values(fx.MARKUP)}))",
         "clean_final": f"SELECT doc_id, {clean_final('text')} AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({_values(fx.DIRTY)}))",
         "greedy_dedup": f"SELECT conv_id, turn, {clean_final('t')} AS text FROM (SELECT conv_id, turn, CASE WHEN t = '' OR ends_with(t, '.') THEN t ELSE t || '.' END AS t FROM (SELECT conv_id, turn, array_to_string({dedup('text', 0.65)}, ' ') AS t FROM conversations))",
+        "dedup_cap8": f"SELECT doc_id, len(k) AS n, array_to_string(k, ' ') AS text FROM (SELECT doc_id, {dedup('text', 0.6, 8)} AS k FROM documents)",
         "polarity": f"SELECT conv_id, turn, {polarity('text')} AS polarity FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT c0, c1, c3 FROM ({_values(fx.TURNS)}) f(c0, c1, c2, c3))",
         "event_fallback": f"WITH {TURNS}, {events('verses')} SELECT * FROM events",
         "event_class_lexicon": f"WITH {ALL}, {lexicon('whole')} SELECT id, doc_id, verse_idx, text, event_class, polarity FROM levents",
