@@ -406,7 +406,9 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     """
     found = written(near_duplicates(docs, words, percent, id_col, text_col), "found")
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    asked = maybe_in(docs, F.col(id_col).cast("long"), gone, "_maybe")  # spares the rows that stay the join's shuffle
+    left = asked.filter("_maybe").join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    out = asked.filter("not _maybe").select(*docs.columns).unionByName(left.select(*docs.columns))
     if docs.filter(F.col(id_col).isNotNull()).count() > found.count():
         null = out.filter(F.col(id_col).isNull())
         once = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
