@@ -1,8 +1,8 @@
 """Personal data, and terms that give it away, with DataFrame functions alone.
 
 Base spans are those of four patterns: e-mail addresses, IP addresses, card numbers that pass Luhn's check and telephone
-numbers. A pattern's matches and the pieces between them come from one regular expression, and running sums of their
-lengths give the places; patterns are possessive and start only where a run starts, so long runs cost linear time.
+numbers. Their places come from text.places(); patterns are possessive and start only where a run starts, so long runs
+cost linear time.
 
 Further terms are found by their information. A term that stands within WINDOW words of a protected value, in
 LEAST_CONTEXTS different surroundings or more, tells of it
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import places
 from storyloom.llm.common import maybe_in, written
 
 #: Fixed values, in the order in which spans that start together are listed.
@@ -42,32 +43,6 @@ PATTERNS = {
 #: What a text must have for a pattern to be worth a search.
 _HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-_CHUNK = 512
-
-
-def places(pieces: Column, matches: Column) -> Column:
-    """start, end and value of each match; pieces: what stands before each match, and the rest.
-
-    Sums run within chunks and then over the chunks, so many matches don't cost their square.
-    """
-    n = F.size(matches)
-    gaps = F.zip_with(F.slice(pieces, F.lit(1), n), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    some = F.expr("cast(array() as array<array<struct<start:int,end:int,value:string>>>)")
-
-    def one(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
-
-    def chunk(acc: Column, c: Column) -> Column:
-        part = F.slice(gaps, c * _CHUNK + 1, F.lit(_CHUNK))
-        got = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), one)
-        return F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
-
-    chunks = F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int"))
-    start = F.struct(F.lit(0).alias("at"), some.alias("out"))
-    return F.when(n > 0, F.flatten(F.aggregate(chunks, start, chunk)["out"])).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -95,14 +70,10 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    pattern = PATTERNS[kind]
-    hint = text.contains(_HINT[kind]) if _HINT[kind] else F.lit(True)
-    hint = hint & (text.rlike("[0-9]") if kind != "email" else F.lit(True))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = F.filter(places(F.split(text, pattern, -1), matches), lambda s: _valid(kind, s["value"]))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    # a conditional keeps texts without the hint from being searched at all
-    return F.when(hint, spans).otherwise(none)
+    """start, end and text of a kind's spans. A text without the kind's hint isn't searched."""
+    hint = (text.contains(_HINT[kind]) if _HINT[kind] else F.lit(True)) & (text.rlike("[0-9]") if kind != "email" else F.lit(True))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+    return F.when(hint, F.filter(places(text, PATTERNS[kind]), lambda s: _valid(kind, s["text"]))).otherwise(none)
 
 
 def _near(text: Column, span: Column) -> Column:
@@ -116,7 +87,7 @@ def _near(text: Column, span: Column) -> Column:
 
 
 def _typed(column: str, kind_no: int) -> Column:
-    return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"), _near(F.col("text"), s).alias("near")))
+    return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), s["end"].alias("end"), s["text"].alias("value"), _near(F.col("text"), s).alias("near")))
 
 
 def _count(kind_no: int) -> Column:
@@ -169,10 +140,8 @@ def _term_spans(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     words = maybe_in(_words(docs.select(_text(text_col))), F.col("term"), terms.select("term"), "_maybe").filter("_maybe")
     has = words.withColumn("key", F.md5("text")).join(terms, "term").groupBy("key")
     has = has.agg(F.first("text").alias("text"), F.map_from_entries(F.collect_set(F.struct("term", F.struct("action", "kind_no")))).alias("of"))
-    pattern = r"\p{L}+"
-    at = places(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    at = F.filter(at, lambda s: F.map_contains_key("of", F.lower(s["value"])))
-    got = F.transform(at, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind_no"), s["end"].alias("end"), F.col("of")[F.lower(s["value"])].alias("why")))
+    at = F.filter(places("text", r"\p{L}+"), lambda s: F.map_contains_key("of", F.lower(s["text"])))
+    got = F.transform(at, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind_no"), s["end"].alias("end"), F.col("of")[F.lower(s["text"])].alias("why")))
     return written(has.select("key", got.alias("terms")), "term-spans")
 
 
