@@ -3,7 +3,7 @@
 Messages are a join of edges with node features and a product with the edge type's weights; attention is a softmax over
 each node's incoming edges; both are DataFrame steps, so the graph may be of any size. Weights are small and travel in the
 plan's Arrow functions. Training follows the whole graph's gradient on the driver and is for graphs that fit there, as the
-timetable's chain does.
+timetable's chain does; the network it gives can be run over any graph.
 """
 
 from __future__ import annotations
@@ -157,41 +157,111 @@ def losses(features: DataFrame, outputs: DataFrame, edges: DataFrame) -> DataFra
     return out.withColumn("loss", F.col("reconstruction") + 0.5 * F.col("consistency"))
 
 
-def train(x: np.ndarray, edges: np.ndarray, hidden: int = 64, epochs: int = 50, rate: float = 0.005, seed: int = 0) -> tuple[np.ndarray, list[float]]:
-    """Vectors learned on the driver by Adam, and the loss of each epoch.
-
-    The loss is that of reproducing the features plus half that of unlike neighbours; the model is the network's first and
-    last projection with one layer over the mean of incoming neighbours. x: a row a node; edges: rows (src, dst).
+class _Forward:
+    """One layer's values on the driver, kept for the way back."""
+
+    def __init__(self, x: np.ndarray, edges: np.ndarray, layer: Layer):
+        heads, depth = layer.source.shape
+        self.x, self.edges, self.layer, n = x, edges, layer, len(x)
+        src, dst, kind = edges.T
+        self.kinds = np.unique(kind)
+        hs, hd = np.zeros((len(edges), heads * depth)), np.zeros((len(edges), heads * depth))
+        for k in self.kinds:
+            at = kind == k
+            moved = x @ layer.weights[k]
+            hs[at], hd[at] = moved[src[at]], moved[dst[at]]
+        self.hs, self.hd = hs.reshape(-1, heads, depth), hd.reshape(-1, heads, depth)
+        self.score = (self.hs * layer.source).sum(-1) + (self.hd * layer.target).sum(-1)
+        bent = np.where(self.score > 0, self.score, SLOPE * self.score)
+        top = np.zeros((n, heads))
+        np.maximum.at(top, dst, bent)
+        e = np.exp(bent - top[dst])
+        total = np.full((n, heads), TINY)
+        np.add.at(total, dst, e)
+        self.weight = e / total[dst]
+        out = np.zeros((n, heads, depth))
+        np.add.at(out, dst, self.weight[..., None] * self.hs)
+        y = x + out.reshape(n, -1)
+        self.spread = np.sqrt(y.var(axis=1, keepdims=True) + 1e-5)
+        self.normed = (y - y.mean(axis=1, keepdims=True)) / self.spread
+        self.out = self.normed * layer.gain + layer.shift
+
+    def back(self, g: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The gradient by x, and those by weights, source, target, gain and shift."""
+        layer, (src, dst, kind) = self.layer, self.edges.T
+        heads, depth = layer.source.shape
+        by_gain, by_shift = (g * self.normed).sum(axis=0), g.sum(axis=0)
+        g = g * layer.gain
+        g = (g - g.mean(axis=1, keepdims=True) - self.normed * (g * self.normed).mean(axis=1, keepdims=True)) / self.spread
+        by_message = g.reshape(-1, heads, depth)[dst]
+        by_weight = (by_message * self.hs).sum(-1)
+        mixed = np.zeros((len(self.x), heads))
+        np.add.at(mixed, dst, self.weight * by_weight)
+        by_score = self.weight * (by_weight - mixed[dst]) * np.where(self.score > 0, 1, SLOPE)
+        by_hs = by_message * self.weight[..., None] + by_score[..., None] * layer.source
+        by_hd = by_score[..., None] * layer.target
+        by_x, by_weights = g.copy(), np.zeros_like(layer.weights)
+        for k in self.kinds:
+            at, moved = kind == k, np.zeros_like(self.x)
+            np.add.at(moved, src[at], by_hs[at].reshape(-1, heads * depth))
+            np.add.at(moved, dst[at], by_hd[at].reshape(-1, heads * depth))
+            by_weights[k] = self.x.T @ moved
+            by_x += moved @ layer.weights[k].T
+        return by_x, [by_weights, (by_score[..., None] * self.hs).sum(0), (by_score[..., None] * self.hd).sum(0), by_gain, by_shift]
+
+
+def _parameters(net: Network) -> list[np.ndarray]:
+    return [*net.start, *(p for l in net.layers for p in (l.weights, l.source, l.target, l.gain, l.shift)), *net.end]
+
+
+def loss_and_gradients(net: Network, x: np.ndarray, edges: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """The loss, its gradient by each parameter, and the outputs. edges: rows (src, dst, type)."""
+    steps, h = [], x @ net.start[0] + net.start[1]
+    for layer in net.layers:
+        steps.append(_Forward(h, edges, layer))
+        h = steps[-1].out
+    out = h @ net.end[0] + net.end[1]
+    wrong, gap = out - x, out[edges[:, 0]] - out[edges[:, 1]]
+    loss = float(np.mean(wrong**2) + (0.5 * np.mean(gap**2) if len(edges) else 0))
+    g = 2 * wrong / wrong.size
+    if len(edges):
+        np.add.at(g, edges[:, 0], gap / gap.size)
+        np.add.at(g, edges[:, 1], -gap / gap.size)
+    ends = [h.T @ g, g.sum(axis=0)]
+    g = g @ net.end[0].T
+    middle: list[np.ndarray] = []
+    for step in reversed(steps):
+        g, own = step.back(g)
+        middle = own + middle
+    return loss, [x.T @ g, g.sum(axis=0), *middle, *ends], out
+
+
+def train(x: np.ndarray, edges: np.ndarray, types: int, hidden: int = HIDDEN, layers: int = LAYERS, heads: int = HEADS, epochs: int = 50, rate: float = 0.005, seed: int = 0) -> tuple[Network, list[float]]:
+    """A network that reproduces its features while linked nodes stay alike, by Adam on the driver; the loss of each epoch.
+
+    x: a row a node, which has to fit the driver, as a timetable's graph does; edges: rows (src, dst, type). There is no
+    dropout, so a seed gives the same network. The result goes into forward(), on a graph of any size.
     """
-    rng = np.random.default_rng(seed)
-    n, width = x.shape
-    mean = np.zeros((n, n))
-    for s, d in edges:
-        mean[d, s] += 1
-    mean = mean / np.maximum(1, mean.sum(axis=1, keepdims=True))
-    spread = np.eye(n) + mean
-    params = [_uniform(rng, width, hidden, 1.0), _uniform(rng, hidden, hidden, 1.0), _uniform(rng, hidden, width, 1.0)]
-    first, second, losses = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], []
+    net = network(x.shape[1], types, x.shape[1], hidden, layers, heads, seed)
+    edges = np.asarray(edges, int).reshape(-1, 3)
+    params = _parameters(net)
+    first, second, course = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], []
     for step in range(1, epochs + 1):
-        a, b, c = params
-        h = x @ a
-        m = spread @ h
-        z = m @ b
-        act = np.where(z > 0, z, SLOPE * z)
-        out = act @ c
-        wrong = out - x
-        gap = out[edges[:, 0]] - out[edges[:, 1]] if len(edges) else np.zeros((0, width))
-        losses.append(float(np.mean(wrong**2) + 0.5 * (np.mean(gap**2) if len(edges) else 0)))
-        g = 2 * wrong / wrong.size
-        if len(edges):
-            np.add.at(g, edges[:, 0], gap / gap.size)
-            np.add.at(g, edges[:, 1], -gap / gap.size)
-        gz = (g @ c.T) * np.where(z > 0, 1, SLOPE)
-        grads = [x.T @ (spread.T @ (gz @ b.T)), m.T @ gz, act.T @ g]
-        for i, grad in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * grad
-            second[i] = 0.999 * second[i] + 0.001 * grad**2
-            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    a, b, c = params
-    z = spread @ (x @ a) @ b
-    return np.where(z > 0, z, SLOPE * z) @ c, losses
+        loss, grads, _ = loss_and_gradients(net, x, edges)
+        course.append(loss)
+        for p, g, a, b in zip(params, grads, first, second, strict=True):
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.999
+            b += 0.001 * g * g
+            p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+    return net, course
+
+
+def embed_nodes(nodes: DataFrame, edges: DataFrame, types: int, **options) -> DataFrame:
+    """no, x: outputs of a network trained on the graph itself. nodes: no, x; edges: src_no, dst_no, type_no."""
+    rows = nodes.select("no", "x").orderBy("no").collect()  # a timetable's macro-events
+    place = {r.no: i for i, r in enumerate(rows)}
+    links = np.array([(place[r.src_no], place[r.dst_no], r.type_no) for r in edges.orderBy("src_no", "dst_no", "type_no").collect()], int)
+    net, _ = train(np.array([r.x for r in rows], float), links, types, **options)
+    return forward(nodes, edges, net)

@@ -597,6 +597,15 @@ def rgat_forward(spark: SparkSession, d: str) -> DataFrame:
     return out.select("no", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
+@query
+def rgat_train(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the macro-events along their chain, by a network trained on it."""
+    macro = _macro(spark, d)
+    numbers = consolidate.number_nodes(macro, "chronology_index")
+    vecs = vx.hashed_dense(macro, ["id"]).join(numbers, "id").select("no", vx.pad(F.col("vec"), 64).alias("x"))
+    return graph.embed_nodes(vecs, consolidate.index_edges(numbers, consolidate.chain_edges(macro)), len(consolidate.EDGE_TYPES), hidden=32, layers=2, epochs=20)
+
+
 @query
 def index_edges(spark: SparkSession, d: str) -> DataFrame:
     macro = _macro(spark, d)

@@ -258,13 +258,45 @@ def test_on_a_chain_attention_is_one(spark):
     assert [round(r.weight, 9) for r in graph.softmax_by_target(chain, ["dst_no"]).collect()] == [1.0, 1.0]
 
 
-def test_training_lowers_the_loss():
+def _small_graph():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(20, 12))
-    edges = np.array([(i, i + 1) for i in range(19)])
-    out, losses = graph.train(x, edges, hidden=16)
-    assert out.shape == x.shape and losses[-1] < 0.8 * losses[0] and len(losses) == 50
-    assert np.array_equal(out, graph.train(x, edges, hidden=16)[0])
+    edges = np.array([(i, i + 1, 8) for i in range(9)] + [(0, 5, 3), (7, 2, 3), (4, 2, 0)])
+    return rng.normal(size=(10, 6)), edges
+
+
+def test_gradients_are_the_slopes():
+    x, edges = _small_graph()
+    net = graph.network(6, 9, 6, hidden=8, layers=2, heads=2, seed=3)
+    _, grads, _ = graph.loss_and_gradients(net, x, edges)
+    rng = np.random.default_rng(2)
+    for p, g in zip(graph._parameters(net), grads, strict=True):
+        assert p.shape == g.shape
+        for _ in range(4):
+            at = tuple(int(rng.integers(n)) for n in p.shape)
+            if p.ndim == 3:
+                at = (int(rng.choice([0, 3, 8])), *at[1:])
+            kept, slopes = p[at], []
+            for step in (1e-5, -1e-5):
+                p[at] = kept + step
+                slopes.append(graph.loss_and_gradients(net, x, edges)[0])
+            p[at] = kept
+            assert np.isclose((slopes[0] - slopes[1]) / 2e-5, g[at], rtol=1e-3, atol=1e-7)
+
+
+def test_training_lowers_the_loss_and_runs_as_frames(spark):
+    x, edges = _small_graph()
+    net, course = graph.train(x, edges, 9, hidden=16, layers=2, heads=4, epochs=30)
+    again, _ = graph.train(x, edges, 9, hidden=16, layers=2, heads=4, epochs=30)
+    assert len(course) == 30 and course[-1] < 0.8 * course[0] and all(np.array_equal(a, b) for a, b in zip(graph._parameters(net), graph._parameters(again), strict=True))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "no int, x array<double>")
+    links = spark.createDataFrame([tuple(map(int, e)) for e in edges], "src_no int, dst_no int, type_no int")
+    want = graph.loss_and_gradients(net, x, edges)[2]
+    got = {r.no: r.x for r in graph.forward(nodes, links, net).collect()}
+    assert all(np.allclose(got[i], want[i]) for i in range(10))
+    made = {r.no: r.x for r in graph.embed_nodes(nodes, links, 9, hidden=16, layers=2, heads=4, epochs=30).collect()}
+    assert all(np.allclose(made[i], want[i]) for i in range(10))
+    score = graph.losses(nodes, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(want)], "no int, x array<double>"), links).first()
+    assert np.isclose(score.loss, graph.loss_and_gradients(net, x, edges)[0])
 
 
 def test_whole_story(spark, verses, timetable):
