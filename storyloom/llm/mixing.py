@@ -94,12 +94,16 @@ def _buckets(rows: int) -> int:
     return min(1 << 16, max(16, rows // 10_000))
 
 
-def _taken(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str, source_col: str, block_words: int, keep: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with a row number; what is taken of each in each pass; the targets."""
+def _key(docs: DataFrame) -> list[Column]:
+    """128 bits of all columns of a row."""
+    return [F.xxhash64(*docs.columns).alias("_k1"), F.xxhash64(F.lit(1), *docs.columns).alias("_k2")]
+
+
+def _taken(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str, source_col: str, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and keys of the documents by row number; what is taken of each in each pass; the targets."""
     text = F.col(text_col)
     spread = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(source_col), F.md5(F.coalesce(text, F.lit("")))), 2)
-    named = [F.col(c).alias(f"in_{c}") for c in docs.columns] if keep else []
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), spread.alias("order"), *named)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), spread.alias("order"), *_key(docs))
     sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     plan = written(targets(sized.select("source", "size"), weights), "targets")
     slots = schedule(plan, block_words)
@@ -115,7 +119,7 @@ def _taken(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str
 
 def shares(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target (of its source), taken: words of each document that the mix takes, repeats counted."""
-    sized, taken, plan = _taken(docs, weights, id_col, text_col, source_col, block_words, False)
+    sized, taken, plan = _taken(docs, weights, id_col, text_col, source_col, block_words)
     whole = taken.groupBy("row").agg(F.sum("taken").alias("taken"))
     out = sized.join(whole, "row", "left").join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
@@ -124,12 +128,18 @@ def shares(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", te
 def mix(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, positions: bool = False) -> DataFrame:
     """docs as the mix takes them: a row for each pass over a document, its text cut to the words taken.
 
-    positions adds mix_slot, the slot of the row's first block: the order of the mix.
+    positions adds mix_slot, the slot of the row's first block: the order of the mix. Texts are read again and joined by
+    their rows' keys, not kept beside the sizes; rows that are alike in all columns share a key and are told apart by what
+    is taken of each.
     """
-    sized, taken, _ = _taken(docs, weights, id_col, text_col, source_col, block_words, True)
+    sized, taken, _ = _taken(docs, weights, id_col, text_col, source_col, block_words)
+    parts = written(taken.join(sized.select("row", "size", "_k1", "_k2"), "row").select("_k1", "_k2", "size", "taken", "slot"), "taken")
+    keyed = docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns), *_key(docs))
+    if sized.count() > sized.select("_k1", "_k2").distinct().count():
+        keyed = keyed.dropDuplicates(["_k1", "_k2"])
     text = F.col(f"in_{text_col}")
     words = F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != "")
     cut = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(text)
-    out = sized.join(taken, "row")
+    out = keyed.join(parts, ["_k1", "_k2"])
     cols = [(cut if c == text_col else F.col(f"in_{c}")).alias(c) for c in docs.columns]
     return out.select(*cols, *([F.col("slot").alias("mix_slot")] if positions else []))

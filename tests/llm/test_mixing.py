@@ -94,6 +94,18 @@ def test_odd_rows(documents, no_documents):
     assert mixing.shares(no_documents, WEIGHTS).collect() == [] and mixing.mix(no_documents, WEIGHTS).collect() == []
 
 
+def test_rows_alike_in_all_columns_are_mixed_each(spark):
+    rows = [(7, "a b c d", "s", 1.5)] * 5 + [(8, "e f g", "t", None)] * 2 + [(9, "h", "t", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, x double").repartition(3)
+    taken = Counter()
+    for r in mixing.shares(docs, WEIGHTS).collect():
+        taken[r.doc_id] += r.taken
+    got = Counter()
+    for r in mixing.mix(docs, WEIGHTS).collect():
+        got[r.doc_id] += len(r.text.split())
+    assert +got == +taken and sum(taken.values()) in (40, 41)
+
+
 def test_no_words_at_all(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r["size"], r.target, r.taken) for r in mixing.shares(docs, WEIGHTS).collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
