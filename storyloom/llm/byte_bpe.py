@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.llm.common import tidy, values
+
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
 #: Bucket number of a block's documents: they sort behind its words.
@@ -98,7 +100,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]
     compiled = regex.compile(pattern)
     ids, texts, chars = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, t in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             t = t or ""
             if texts and chars + len(t) > BLOCK_CHARS:
                 yield _Block(ids, texts, compiled)
@@ -265,14 +267,14 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 8 * parts
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: it doesn't grow with the corpus
-    words = docs.mapInArrow(_word_rows(pattern, buckets), "block binary, bucket int, payload binary")
+    words = docs.mapInArrow(tidy(_word_rows(pattern, buckets)), "block binary, bucket int, payload binary")
     words = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(_encode_rows(shared), "block binary, bucket int, payload binary")
+    words = words.mapInArrow(tidy(_encode_rows(shared)), "block binary, bucket int, payload binary")
     typed = f"block binary, bucket int, payload binary, docs array<{id_sql}>, sizes array<int>"
-    rows = docs.mapInArrow(_doc_rows(pattern, buckets, arrow_id), typed)
+    rows = docs.mapInArrow(tidy(_doc_rows(pattern, buckets, arrow_id)), typed)
     both = rows.unionByName(words, allowMissingColumns=True)
     both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return both.mapInArrow(_finish_rows(finish, context), f"doc_id {id_sql}, {columns}")
+    return both.mapInArrow(tidy(_finish_rows(finish, context)), f"doc_id {id_sql}, {columns}")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:

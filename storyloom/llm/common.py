@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +64,30 @@ def forget(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.storyloom_path)
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function of record batches, giving freed memory back when a task ends: Python workers live on, and what
+    their allocators keep would add up over the stages of a long job."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another libc keeps what it likes
+                pass
+
+    return tidied
+
+
+def values(column: pa.Array, n: int = 256) -> Iterator:
+    """A column's values as Python objects, some rows at a time."""
+    for at in range(0, len(column), n):
+        yield from column.slice(at, n).to_pylist()
+
+
 def running_before(df: DataFrame, key: str, order: str, value: str, out: str, buckets: int) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same key that come before in `order` (a long from 0 up to 2**62).
 

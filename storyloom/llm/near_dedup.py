@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import components, forget, maybe_in, written
+from storyloom.llm.common import components, forget, maybe_in, tidy, written
 
 TREES, DEPTH, MINIMA = 8, 8, 128
 REGION_ROWS = 4096
@@ -332,7 +332,7 @@ def _large_links(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, percent
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
     own = pairs.join(clusters.select(F.col("doc_id").alias("a")), "a", "left_semi")
     both = own.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    first = written(both.mapInArrow(_link_rows(percent), "a bigint, b bigint"), "links")
+    first = written(both.mapInArrow(tidy(_link_rows(percent)), "a bigint, b bigint"), "links")
     labels = clusters.join(components(first).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     labels = written(labels.select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("label")), "labels")
     parts = labels.groupBy("cluster", "label").agg(F.count("*").alias("n"))
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Texts are linked if their sets of shingles of so many words have a Jaccard similarity of `percent` or more.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    signed = written(texts.mapInArrow(_signature_rows(words), "doc_id bigint, n_shingles bigint, digest binary, orders binary, marks binary"), "signatures")
+    signed = written(texts.mapInArrow(tidy(_signature_rows(words)), "doc_id bigint, n_shingles bigint, digest binary, orders binary, marks binary"), "signatures")
     one = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("s"))
     members = written(one.select("doc_id", "s.digest", "s.n_shingles"), "members")
     classes = members.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles")).alias("s"))
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     tree = tree.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "doc_id")
     share = percent / 100
     least = share - SIGMAS * (share * (1 - share) / MINIMA) ** 0.5
-    pairs = written(tree.mapInArrow(_region_rows(least), "a bigint, b bigint"), "candidates").distinct()
+    pairs = written(tree.mapInArrow(tidy(_region_rows(least)), "a bigint, b bigint"), "candidates").distinct()
 
     clusters = components(pairs).select(F.col("doc").alias("doc_id"), F.col("component").alias("cluster"))
     clusters = clusters.join(classes, "doc_id").select("doc_id", "cluster", F.col("digest").alias("right"), "n_shingles")
@@ -380,14 +380,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         wanted = clusters.filter(F.col("large") == large).select("doc_id", "cluster", "right")
         out = _read_again(texts, wanted).select("doc_id", "cluster", "text", "right")
         if repeats:  # of an identifier's texts, the one whose digest counts, and that once
-            made = out.select("doc_id", "cluster", "text").mapInArrow(_set_rows(words), "doc_id bigint, cluster bigint, digest binary, hashes binary")
+            made = out.select("doc_id", "cluster", "text").mapInArrow(tidy(_set_rows(words)), "doc_id bigint, cluster bigint, digest binary, hashes binary")
             made = made.join(wanted.select("doc_id", F.col("right").alias("digest")), ["doc_id", "digest"], "left_semi")
             return made.groupBy("doc_id", "cluster").agg(F.min("hashes").alias("hashes"))
-        made = out.select("doc_id", "cluster", "text").mapInArrow(_set_rows(words), "doc_id bigint, cluster bigint, digest binary, hashes binary")
+        made = out.select("doc_id", "cluster", "text").mapInArrow(tidy(_set_rows(words)), "doc_id bigint, cluster bigint, digest binary, hashes binary")
         return made.select("doc_id", "cluster", "hashes")
 
     small = sets(False).repartition("cluster").sortWithinPartitions("cluster", "doc_id")
-    links = written(small.mapInArrow(_cluster_rows(percent), "a bigint, b bigint"), "links")
+    links = written(small.mapInArrow(tidy(_cluster_rows(percent)), "a bigint, b bigint"), "links")
     large = clusters.filter("large")
     if not large.isEmpty():
         whole = written(sets(True).select("doc_id", "hashes"), "sets")

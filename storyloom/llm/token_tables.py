@@ -37,6 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyloom.llm.common import values
+
 MAGIC = b"LOOMSST1"
 FILE_BYTES = 4_000_000
 BLOCK_BYTES = 64_000
@@ -233,7 +235,7 @@ def _write_rows(tokenizer, width: int, end_id: int | None) -> Callable:
             return pa.RecordBatch.from_arrays(cols, names=["file_no", "n_ids", "content"])
 
         for batch in batches:
-            texts = (t or "" for t in batch.column(1).to_pylist())
+            texts = (t or "" for t in values(batch.column(1)))
             for doc_id, value in zip(batch.column(0).to_pylist(), encoder(texts), strict=True):
                 held.append((doc_id, value + tail))
                 size += len(value) + len(tail)

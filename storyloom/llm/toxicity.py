@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import forget, written
+from storyloom.llm.common import forget, tidy, values, written
 
 MAX_LABELLED = 30_000
 MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.004, 3, 6.0
@@ -197,7 +197,7 @@ def _count_rows(wanted: frozenset | None):
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 found = _terms(text or "")
                 counts.update(found if wanted is None else found & wanted)
             if len(counts) > 2_000_000:
@@ -258,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_toxic))
 
     def counted(kind: int, wanted: frozenset | None, at_least: int) -> dict[str, int]:
-        rows = sample.filter(F.col("toxic") == kind).select("text").mapInArrow(_count_rows(wanted), "term string, n bigint")
+        rows = sample.filter(F.col("toxic") == kind).select("text").mapInArrow(tidy(_count_rows(wanted)), "term string, n bigint")
         rows = rows.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= at_least)
         return {r[0]: r[1] for r in rows.toLocalIterator()}  # of toxic terms, those in a fixed share of at most max_labelled texts
 
@@ -267,11 +267,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not terms:
         forget(sample)
         return Model({}, None)
-    near = sample.filter("toxic = 0").select("text").mapInArrow(_near_rows(terms), "term string, edits int, n bigint")
+    near = sample.filter("toxic = 0").select("text").mapInArrow(tidy(_near_rows(terms)), "term string, edits int, n bigint")
     usual = near.groupBy("term", "edits").agg(F.sum("n").alias("n")).filter(F.col("n") > MAX_CLEAN * n_clean).collect()  # two rows a term at most
     for term, edits, _ in usual:
         terms[term] = (terms[term][0], min(terms[term][1], edits - 1))
-    rows = sample.select("text", "toxic").mapInArrow(_feature_rows(terms), "toxic int, used double, quoted double, share double")
+    rows = sample.select("text", "toxic").mapInArrow(tidy(_feature_rows(terms)), "toxic int, used double, quoted double, share double")
     got = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 4)  # four numbers for each of the labelled rows
     got = got[np.lexsort(got.T)]
     forget(sample)
@@ -284,7 +284,7 @@ def _near_rows(terms: dict[str, tuple[float, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, counts = LexiconAutomaton(terms), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 counts.update({(term, e) for w in set(_WORD.findall((text or "").lower())) for e, term in [automaton.match(w)] if e > 0})
         cols = [pa.array([t for t, _ in counts], pa.string()), pa.array([e for _, e in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["term", "edits", "n"])
@@ -296,7 +296,7 @@ def _feature_rows(terms: dict[str, tuple[float, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(terms)
         for batch in batches:
-            x = [features(*hits(t or "", automaton), automaton.weight) for t in batch.column(0).to_pylist()]
+            x = [features(*hits(t or "", automaton), automaton.weight) for t in values(batch.column(0))]
             x = np.array(x, float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, i]) for i in range(3))], names=["toxic", "used", "quoted", "share"])
 
@@ -308,7 +308,7 @@ def _score_rows(model: Model):
         automaton = LexiconAutomaton(model.terms)
         span = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
         for batch in batches:
-            found = [hits(t or "", automaton) for t in batch.column(1).to_pylist()]
+            found = [hits(t or "", automaton) for t in values(batch.column(1))]
             scores = pa.array([score(n, h, model, automaton.weight) for n, h in found], pa.float64())
             spans = pa.array([[{"term": t, "start": a, "end": b, "edits": e, "quoted": q} for t, a, b, e, q in h] for _, h in found], span)
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, spans], names=["doc_id", "score", "terms"])
@@ -320,7 +320,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """doc_id, score (0 to 1), terms (term, start, end, edits, quoted; -1 where lower-casing moves characters)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_score_rows(model), f"doc_id {kind}, score double, terms array<struct<term:string,start:int,end:int,edits:int,quoted:boolean>>")
+    return texts.mapInArrow(tidy(_score_rows(model)), f"doc_id {kind}, score double, terms array<struct<term:string,start:int,end:int,edits:int,quoted:boolean>>")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -336,7 +336,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, at = LexiconAutomaton(model.terms), names.index(text_col)
         for batch in batches:
-            keep = [score(*hits(t or "", automaton), model, automaton.weight) < 0.5 for t in batch.column(at).to_pylist()]
+            keep = [score(*hits(t or "", automaton), model, automaton.weight) < 0.5 for t in values(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
