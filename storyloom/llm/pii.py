@@ -14,9 +14,10 @@ information log2(N / n(value)), the term is generalised to the kind of value; if
 it stands.
 
 Edge cases: null text is empty and has no spans; all rows are kept, repeated ones and those with a null identifier too;
-copies count as often as they are there, but are one surrounding, as near copies mostly are (surroundings are told apart
-by the least hash of their words), so they alone don't make a term tell; an empty table gives an empty result; other
-columns are ignored by find_spans() and kept by sanitise().
+copies count as often as they are there, but are one surrounding, as near copies are: of a value and a term, the
+surrounding that is first in order and those whose other words are like its own (a Jaccard similarity of LIKE percent or
+more) count as one, then the first of those left, and so on; so copies alone don't make a term tell; an empty table gives
+an empty result; other columns are ignored by find_spans() and kept by sanitise().
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from storyloom.llm.common import maybe_in, written
 
 #: Fixed values, in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, LEAST_CONTEXTS = 5, 3
+WINDOW, LEAST_CONTEXTS, LIKE = 5, 2, 60
 GENERALISE, REMOVE = 0.75, 0.9
 #: Characters on either side of a value that are looked at for words.
 _REACH = 120
@@ -109,10 +110,8 @@ def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> D
     seen = seen.select("row", F.col("s.kind_no"), F.col("s.value"), F.col("s.near")).distinct()
     value = ["kind_no", "value"]
     n_value = seen.select("row", *value).distinct().groupBy(*value).agg(F.count("*").alias("n_value"))
-    contexts = seen.select(*value, "near").distinct().select(*value, "near", F.explode("near").alias("term"))
-    other = F.array_min(F.transform(F.array_remove("near", F.col("term")), lambda w: F.xxhash64(w)))  # near copies mostly agree on it
-    contexts = contexts.withColumn("other", F.coalesce(other, F.lit(0).cast("long"))).select(*value, "term", "other").distinct()
-    contexts = contexts.groupBy(*value, "term").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") >= LEAST_CONTEXTS)
+    contexts = seen.select(*value, F.array_sort("near").alias("near")).distinct().withColumn("term", F.explode("near"))
+    contexts = _apart(contexts.withColumn("near", F.array_remove("near", F.col("term"))), [*value, "term"])
     together = seen.select("row", *value, F.explode("near").alias("term")).distinct().groupBy(*value, "term").agg(F.count("*").alias("n_both"))
     pairs = written(contexts.join(together, [*value, "term"]).join(n_value, value), "pairs")
     n_all = base.count()
@@ -126,6 +125,15 @@ def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> D
     return written(best.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")), "terms")
 
 
+def _apart(contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that have LEAST_CONTEXTS surroundings or more; near copies are one. contexts: keys, near (no row twice)."""
+    both, either = F.size(F.array_intersect("near", "first")), F.size(F.array_union("near", "first"))
+    for _ in range(LEAST_CONTEXTS - 1):  # each round sets one surrounding aside, with its near copies
+        first = contexts.groupBy(*keys).agg(F.min("near").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        contexts = contexts.join(first, keys).filter(100 * both < LIKE * either).select(*keys, "near")
+    return contexts.select(*keys).distinct()
+
+
 def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).alias("text")
 

@@ -71,6 +71,33 @@ def test_copies_alone_make_no_term_tell(spark):
     assert all("term" not in r.spans for r in pii.digests(pii.find_spans(docs)).collect())
 
 
+def terms_of(spark, surroundings):
+    """The telling terms of texts with a value in these surroundings, among texts without."""
+    rows = [(i, f"{' '.join(words(12, i))} {a} ann@mail.example.com {b} {' '.join(words(12, 50 + i))}") for i, (a, b) in enumerate(surroundings)]
+    rows += [(100 + i, " ".join(words(30, 200 + i))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.base_spans(docs).withColumn("row", F.monotonically_increasing_id())
+    return {r.term for r in pii.telling_terms(docs, base).collect()}
+
+
+def test_two_surroundings_make_a_term_tell(spark):
+    two = [("red green blue white zorblax", "one two three four five"), ("cat dog cow pig zorblax", "six seven eight nine ten")]
+    assert terms_of(spark, two) == {"zorblax"}
+
+
+def test_surroundings_with_a_set_phrase_are_different(spark):
+    """All have `please contact` and the term, and the rest is their own."""
+    many = [(f"dear own{c * 3} please contact zorblax", f"{c}aa {c}bb {c}cc {c}dd {c}ee") for c in "pqrstuvw"]
+    assert "zorblax" in terms_of(spark, many)
+
+
+def test_near_copies_alone_make_no_term_tell(spark):
+    """Six copies, each with another one of the words near the value changed."""
+    left, right = "red green blue white zorblax".split(), "apple pear plum fig lime".split()
+    near = [(" ".join(left), " ".join(w if j != i else f"edit{'abcdef'[i]}" for j, w in enumerate(right))) for i in range(6)]
+    assert terms_of(spark, near) == set()
+
+
 def test_overlaps_and_columns(spark):
     docs = spark.createDataFrame([(1, "call +1 (234) 567-8901 now", "s", "k")], "doc_id long, text string, spans string, key string")
     out = pii.sanitise(docs)
