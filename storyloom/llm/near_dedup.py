@@ -4,7 +4,9 @@
    smallest identifier goes on) and a MinHash signature.
 2. The forest: TREES orders, each by DEPTH minima of its own. Rows are sorted by (tree, minima); rows that share at least
    the first minimum form a region, and their neighbours by longest common prefix are candidates. A region of more than
-   REGION_ROWS goes down to the depth at which its parts are smaller, so copies in any number cost a bounded buffer.
+   REGION_ROWS goes down to the depth at which its parts are smaller, so copies in any number cost a bounded buffer; a
+   shorter one is never cut. Rows of a cut region are compared once more, in the orders that start with each of their
+   other minima, where those regions are short (FURTHER).
 3. In a region, rows whose signatures agree enough (SIGMAS standard deviations below the threshold) are candidates: a
    maximum spanning forest and each row's nearest others, not all pairs. Their components are the clusters, outside of
    which no two texts can be linked.
@@ -12,7 +14,10 @@
    inverted list. In a larger one, the candidates are confirmed first; then the rows outside its largest component meet
    all of its rows, in tiles of bounded size. Links are exact, and none that could join components is left out.
 
-A pair of similarity s shares no first minimum in any tree with a chance of (1 - s) ** TREES: at 0.8, 3 in a million.
+A pair of similarity s shares no first minimum in any tree with a chance of (1 - s) ** TREES: at 0.8, 3 in a million. If
+it shares some, but only in regions that are cut, as those of a passage in very many texts are, it is missed if it shares
+none of the other minima in a short region: with p of the pair's union in such passages, up to (1 - s + p) ** len(FURTHER),
+less what the parts of cut regions still find. Where p is near s that is no bound, and the parts alone have to find it.
 
 Edge cases: texts that are null, empty or white space have an empty set, are linked with nothing and kept; texts with
 fewer words than a shingle are one shingle; rows with a null identifier are left out; repeated rows count once, and of
@@ -34,6 +39,8 @@ from storyloom.llm.common import components, forget, maybe_in, tidy, written
 
 TREES, DEPTH, MINIMA = 8, 8, 128
 REGION_ROWS = 4096
+#: The minima that start no tree's order: rows of regions that are too long are dealt by them too.
+FURTHER = [j for j in range(TREES * DEPTH) if j % DEPTH]
 #: Beside the spanning forest, each row's nearest others that are candidates.
 NEAREST, SIGMAS = 2, 4
 #: A cluster of up to so many texts and shingles is settled in one task; a tile of a larger one has so many rows.
@@ -140,6 +147,35 @@ def _signature_rows(words: int):
     return run
 
 
+def candidates(firsts: DataFrame, least: float) -> DataFrame:
+    """a, b: candidates of all regions. firsts: doc_id, orders, marks; least: the share of minima that have to agree."""
+    size = 4 * TREES * DEPTH
+
+    def dealt(rows: DataFrame, starts: list[int]) -> DataFrame:
+        """rows in the orders that start with these minima; the others follow, from the first again after the last."""
+        out = rows.withColumn("tree", F.explode(F.array(*(F.lit(j) for j in starts))))
+        order = F.substring(F.concat("orders", "orders"), F.col("tree") * 4 + 1, F.lit(4 * DEPTH))
+        return out.select("tree", order.alias("order"), "marks", "doc_id").withColumn("head", F.substring("order", 1, 4))
+
+    def long(rows: DataFrame) -> DataFrame:
+        """tree, head of the regions that are too long: one in REGION_ROWS of the rows at most."""
+        return written(rows.groupBy("tree", "head").agg(F.count("*").alias("n")).filter(F.col("n") > REGION_ROWS).select("tree", "head"), "regions")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        rows = rows.select("tree", "order", "marks", "doc_id").sortWithinPartitions("tree", "order", "doc_id")
+        return rows.mapInArrow(tidy(_region_rows(least)), "a bigint, b bigint")
+
+    firsts = firsts.select("doc_id", "orders", "marks").filter(F.length("orders") == size)
+    tree = dealt(firsts, list(range(0, TREES * DEPTH, DEPTH)))
+    cut = long(tree)
+    if cut.isEmpty():
+        return pairs(tree.repartition("tree", "head"))
+    parts = tree.join(cut, ["tree", "head"], "left_semi")
+    more = dealt(firsts.join(parts.select("doc_id").distinct(), "doc_id", "left_semi"), FURTHER)
+    whole = tree.join(cut, ["tree", "head"], "left_anti").unionByName(more.join(long(more), ["tree", "head"], "left_anti"))
+    return pairs(whole.repartition("tree", "head")).unionByName(pairs(parts.repartitionByRange("tree", "order")))
+
+
 def _near_pairs(ids: np.ndarray, marks: np.ndarray, least: float) -> set[tuple[int, int]]:
     """Of rows that share a prefix: the maximum spanning forest of like pairs and the nearest others of each row."""
     n = len(ids)
@@ -166,6 +202,7 @@ def _near_pairs(ids: np.ndarray, marks: np.ndarray, least: float) -> set[tuple[i
 
 def _region_rows(least: float):
     """Rows sorted by tree and order: the candidates a < b of each region."""
+    most = REGION_ROWS
 
     def cut(rows: tuple[np.ndarray, ...], final: bool) -> tuple[list, tuple[np.ndarray, ...]]:
         """Pairs of the regions that have ended, and the rows of the one that may go on."""
@@ -173,8 +210,8 @@ def _region_rows(least: float):
         found: list[tuple[int, int]] = []
         starts = np.concatenate([[0], np.flatnonzero((key[1:, :2] != key[:-1, :2]).any(axis=1)) + 1, [len(ids)]]).tolist()
         for a, b in zip(starts, starts[1:], strict=False):
-            while b - a > REGION_ROWS:  # go down to the depth at which the part that is still open is shorter
-                c = a + REGION_ROWS
+            while b - a > most:  # go down to the depth at which the part that is still open is shorter
+                c = a + most
                 width = next((d for d in range(3, key.shape[1] + 1) if (key[a, :d] != key[c, :d]).any()), 0)
                 if width:
                     c = a + int(np.flatnonzero((key[a : c + 1, :width] != key[c, :width]).any(axis=1))[-1]) + 1
@@ -364,12 +401,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     repeats = signed.count() != members.count()
     firsts = signed.join(classes, ["doc_id", "digest"] if repeats else ["doc_id"], "left_semi")
     firsts = firsts.dropDuplicates(["doc_id"]) if repeats else firsts
-    tree = firsts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    tree = tree.select("tree", F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("order"), "marks", "doc_id")
-    tree = tree.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "doc_id")
     share = percent / 100
     least = share - SIGMAS * (share * (1 - share) / MINIMA) ** 0.5
-    pairs = written(tree.mapInArrow(tidy(_region_rows(least)), "a bigint, b bigint"), "candidates").distinct()
+    pairs = written(candidates(firsts, least), "candidates").distinct()
 
     clusters = components(pairs).select(F.col("doc").alias("doc_id"), F.col("component").alias("cluster"))
     clusters = clusters.join(classes, "doc_id").select("doc_id", "cluster", F.col("digest").alias("right"), "n_shingles")

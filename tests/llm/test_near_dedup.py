@@ -119,3 +119,17 @@ def test_a_long_region_is_cut_by_depth(monkeypatch):
     assert all(above[i] // 4 == i // 4 for i in range(n)) and len(pairs) < 4 * n
     joined = {b for a, b in pairs if a // 4 == b // 4} | {a for a, b in pairs if a // 4 == b // 4}
     assert joined == {i for i in range(n) if n - i > 1 or i % 4}
+
+
+def test_rows_of_a_long_region_meet_by_their_other_minima(spark, monkeypatch):
+    """All share each tree's first minimum; 3 and 33 share all but the first two, and are far apart in every tree."""
+    monkeypatch.setattr(nd, "REGION_ROWS", 8)
+    rng, n = np.random.default_rng(3), 40
+    orders = rng.integers(1 << 20, 1 << 30, (n, nd.TREES, nd.DEPTH)).astype(">u4")
+    marks = rng.integers(0, 256, (n, nd.MINIMA)).astype(np.uint8)
+    orders[33], marks[33] = orders[3], marks[3]
+    orders[:, :, 0] = 7
+    orders[3, :, 1], orders[33, :, 1] = 1, (1 << 32) - 1
+    rows = [(i, bytearray(orders[i].tobytes()), bytearray(marks[i].tobytes())) for i in range(n)]
+    firsts = spark.createDataFrame(rows, "doc_id long, orders binary, marks binary")
+    assert (3, 33) in {(r.a, r.b) for r in nd.candidates(firsts, 0.6).collect()}
