@@ -42,7 +42,7 @@ REGION_ROWS = 4096
 #: The minima that start no tree's order: rows of regions that are too long are dealt by them too.
 FURTHER = [j for j in range(TREES * DEPTH) if j % DEPTH]
 #: Beside the spanning forest, each row's nearest others that are candidates.
-NEAREST, SIGMAS = 2, 4
+NEAREST, SIGMAS = 2, 5
 #: A cluster of up to so many texts and shingles is settled in one task; a tile of a larger one has so many rows.
 CLUSTER_TEXTS, CLUSTER_SHINGLES, TILE_ROWS = 1024, 2_000_000, 512
 
@@ -147,6 +147,11 @@ def _signature_rows(words: int):
     return run
 
 
+def margin(share: float) -> float:
+    """The share of minima that have to agree in a candidate, where links have this similarity or more."""
+    return share - SIGMAS * (share * (1 - share) / MINIMA) ** 0.5
+
+
 def candidates(firsts: DataFrame, least: float) -> DataFrame:
     """a, b: candidates of all regions. firsts: doc_id, orders, marks; least: the share of minima that have to agree."""
     size = 4 * TREES * DEPTH
@@ -401,9 +406,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     repeats = signed.count() != members.count()
     firsts = signed.join(classes, ["doc_id", "digest"] if repeats else ["doc_id"], "left_semi")
     firsts = firsts.dropDuplicates(["doc_id"]) if repeats else firsts
-    share = percent / 100
-    least = share - SIGMAS * (share * (1 - share) / MINIMA) ** 0.5
-    pairs = written(candidates(firsts, least), "candidates").distinct()
+    pairs = written(candidates(firsts, margin(percent / 100)), "candidates").distinct()
 
     clusters = components(pairs).select(F.col("doc").alias("doc_id"), F.col("component").alias("cluster"))
     clusters = clusters.join(classes, "doc_id").select("doc_id", "cluster", F.col("digest").alias("right"), "n_shingles")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -133,3 +134,8 @@ def test_rows_of_a_long_region_meet_by_their_other_minima(spark, monkeypatch):
     rows = [(i, bytearray(orders[i].tobytes()), bytearray(marks[i].tobytes())) for i in range(n)]
     firsts = spark.createDataFrame(rows, "doc_id long, orders binary, marks binary")
     assert (3, 33) in {(r.a, r.b) for r in nd.candidates(firsts, 0.6).collect()}
+
+
+def test_pairs_at_the_threshold_seldom_fall_below_the_margin():
+    least = math.ceil(nd.MINIMA * nd.margin(0.8))
+    assert sum(math.comb(nd.MINIMA, i) * 0.8**i * 0.2 ** (nd.MINIMA - i) for i in range(least)) < 2e-6
