@@ -219,4 +219,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, target: float = T
     right = probes.join(split, leaf).select("vec_id", "vector", *leaf, every("groups").alias("group"), part(F.col("blocks")).alias("block"))
     keys = [*leaf, "group", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rank_rows(k), "query_id bigint, vec_id bigint, score double")
-    return best_of(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, largest=False)
+    return best_of(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, F.asc("score"))

@@ -62,6 +62,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete what written() made, once nothing reads it any more."""
     drop_path(df.sparkSession, df.storyloom_path)
+    _KEPT[:] = [k for k in _KEPT if k[1] != df.storyloom_path]
+
+
+def written_alone(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """make() as a written table, without the tables that were written on the way to it."""
+    before = len(_KEPT)
+    out = written(make(), what)
+    for spark, path in _KEPT[before:]:
+        if path != out.storyloom_path:
+            drop_path(spark, path)
+    _KEPT[before:] = [(out.sparkSession, out.storyloom_path)]
+    return out
+
+
+def fresh_names(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that none of the columns has, in any case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
 
 
 def tidy(run: Callable) -> Callable:
@@ -118,24 +141,42 @@ def maybe_in(rows: DataFrame, key, keys: DataFrame, flag: str) -> DataFrame:
     """rows with a column `flag`: false where `key` isn't in the only column of `keys`; true where it may be.
 
     key: a column or expression of the same type as that of keys. A broadcast of bounded size spares a join the shuffle of
-    rows that have no partner; it lets more through as keys get many, but never loses one.
+    rows that have no partner; it lets more through as keys get many, but never loses one. Columns of rows may have any
+    names but that of the flag.
     """
+    at, cells = fresh_names([*rows.columns, flag], "_part", "_words")
     part, word, bit = _place(F.col(keys.columns[0]))
-    words = keys.select(part.alias("_part"), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_mask"))
-    words = words.groupBy("_part", "_word").agg(F.bit_or("_mask").alias("_mask"))
-    parts = words.groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_m"))  # 512 entries at most
+    words = keys.select(part.alias(at), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_mask"))
+    words = words.groupBy(at, "_word").agg(F.bit_or("_mask").alias("_mask"))
+    parts = words.groupBy(at).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_m"))  # 512 entries at most
     filled = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long")))
-    parts = F.broadcast(parts.select("_part", filled.alias("_words")))
+    parts = F.broadcast(parts.select(at, filled.alias(cells)))
     part, word, bit = _place(key)
-    joined = rows.withColumn("_part", part).join(parts, "_part", "left")
-    return joined.withColumn(flag, F.coalesce(F.getbit(F.get("_words", word), bit) == 1, F.lit(False))).drop("_part", "_words")
+    joined = rows.withColumn(at, part).join(parts, at, "left")
+    return joined.withColumn(flag, F.coalesce(F.getbit(F.get(cells, word), bit) == 1, F.lit(False))).drop(at, cells)
+
+
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds `out`: a row's place, from 0, in the order of these columns, as a written table.
+
+    Rows are counted by ranges of the order; the ranges' totals, a row a partition, are summed up apart.
+    """
+    at, base = fresh_names([*df.columns, out], "_at", "_base")
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    part, within = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))  # how Spark puts these numbers together
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(base)).withColumnRenamed("_p", fresh_names(ranged.columns, "_p")[0])
+    joined = ranged.join(F.broadcast(bases), part == F.col(bases.columns[0]))
+    return joined.withColumn(out, (F.col(base) + within).cast("long")).select(*df.columns, out)
 
 
 def components(links: DataFrame) -> DataFrame:
     """doc, component: the smallest identifier that each end of `links` (a, b; longs) reaches.
 
-    Large-star and small-star steps by turns, as aggregates and joins: a hub's links are never gathered, and only a
-    count and a checksum come to the driver. Each step is a written table.
+    Large-star and small-star steps by turns, as aggregates and joins. A hub's links go through joins on its identifier,
+    whose hot keys adaptive execution splits; they are never one group in memory. It ends when a step changes no edge: the
+    count and the sum of all edges' 64-bit hashes are the same. Each step is a written table.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
@@ -147,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = written(small.filter("u <> v").distinct(), "links")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         forget(edges)
         edges = after
         if now == seen:

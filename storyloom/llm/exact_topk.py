@@ -6,13 +6,16 @@ remaining mass stay below the k-th best lower bound are dropped, and the survivo
 block. A query takes its k best so far from one part of a tile to the next, which sharpens the bound. Scores are integers:
 components are floor(scale * x), and sums are exact in doubles below 2**53, beyond that in Python's integers.
 
-Edge cases: see vectors.usable(); zero vectors take part; a query's own identifier isn't among its results; with fewer than
+Edge cases: see vectors.usable(); zero vectors take part; scores beyond 64 bits are ranked by their exact value and given as
+the nearest long; a query's own identifier isn't among its results; with fewer than
 k candidates all are returned; ties go to the smaller identifier; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,13 @@ def _remaining(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.concatenate([behind[1:], np.zeros((1, len(x)))])) * (1 + 1e-9)
 
 
-def search_tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best candidates of each query among a tile's."""
-    largest = max(np.abs(x).max(initial=0), np.abs(queries).max(initial=0))
-    if largest * largest * x.shape[1] >= 1 << 53:
-        whole = np.vectorize(int, otypes=[object])
+def search_tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, scale: float = 1) -> tuple[list, list, list]:
+    """The k best candidates of each query among a tile's; components count as floor(scale * x)."""
+    largest = max(np.abs(x).max(initial=0), np.abs(queries).max(initial=0)) * abs(scale) + 1
+    if largest > 1 << 26 or largest * largest * x.shape[1] >= 1 << 53:
+        whole = np.vectorize(lambda v: math.floor(Fraction(v) * Fraction(scale)), otypes=[object])
         return _plain(ids, whole(x), query_ids, whole(queries), k)
+    x, queries = np.floor(x * scale), np.floor(queries * scale)
     best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
     query_rest = _remaining(queries)
     blocks = range(0, x.shape[1], DIMENSIONS)
@@ -82,13 +86,27 @@ def _plain(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.nd
     return out
 
 
-def _tile_rows(k: int) -> Callable:
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _beyond(score: int) -> bytes | None:
+    """Bytes that sort as scores beyond 64 bits do; none for others."""
+    if _LEAST < score <= _MOST:
+        return None
+    size = (score.bit_length() + 7) // 8
+    if score > 0:
+        return size.to_bytes(4, "big") + score.to_bytes(size, "big")
+    return ((1 << 32) - 1 - size).to_bytes(4, "big") + ((1 << 8 * size) + score).to_bytes(size, "big")
+
+
+def _tile_rows(k: int, scale: float) -> Callable:
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "vec_id", "score", "beyond"]
         if not candidates.num_rows or not queries.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        got = search_tile(candidates["vec_id"].to_numpy(), matrix(candidates["vector"]), queries["vec_id"].to_numpy(), matrix(queries["vector"]), k)
-        return pa.table([pa.array(x, pa.int64()) for x in got], names=names)
+            return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.binary())], names=names)
+        query_ids, ids, scores = search_tile(candidates["vec_id"].to_numpy(), matrix(candidates["vector"]), queries["vec_id"].to_numpy(), matrix(queries["vector"]), k, scale)
+        longs = pa.array([min(max(s, _LEAST), _MOST) for s in scores], pa.int64())
+        return pa.table([pa.array(query_ids, pa.int64()), pa.array(ids, pa.int64()), longs, pa.array([_beyond(s) for s in scores], pa.binary())], names=names)
 
     return run
 
@@ -98,8 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
 
     is_query: a condition on column vec_id.
     """
-    rows = usable(vectors, id_col, vector_col, zero=True)
-    whole = rows.withColumn("vector", F.transform("vector", lambda x: F.floor(x * float(scale)).cast("double")))
+    whole = usable(vectors, id_col, vector_col, zero=True)
     queries = whole.filter(is_query)
     groups, blocks = tiles(whole.count(), GROUP_ROWS), tiles(queries.count(), QUERY_ROWS)
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -107,5 +124,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
     left = whole.select("vec_id", "vector", part(groups).alias("group"), every(blocks).alias("block"))
     right = queries.select("vec_id", "vector", every(groups).alias("group"), part(blocks).alias("block"))
     keys = ["group", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile_rows(k), "query_id bigint, vec_id bigint, score bigint")
-    return best_of(found, k, largest=True)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile_rows(k, scale), "query_id bigint, vec_id bigint, score bigint, beyond binary")
+    return best_of(found, k, F.desc("score"), F.desc_nulls_last("beyond"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import components, forget, maybe_in, tidy, written
+from storyloom.llm.common import components, forget, fresh_names, maybe_in, tidy, written
 
 TREES, DEPTH, MINIMA = 8, 8, 128
 REGION_ROWS = 4096
@@ -442,10 +442,11 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     Rows that repeat an identifier and its text stay once; rows with a null identifier stay.
     """
     found = written(near_duplicates(docs, words, percent, id_col, text_col), "found")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    asked = maybe_in(docs, F.col(id_col).cast("long"), gone, "_maybe")  # spares the rows that stay the join's shuffle
-    left = asked.filter("_maybe").join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    out = asked.filter("not _maybe").select(*docs.columns).unionByName(left.select(*docs.columns))
+    name, maybe = fresh_names(docs.columns, "_gone", "_maybe")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name))
+    asked = maybe_in(docs, F.col(id_col).cast("long"), gone, maybe)  # spares the rows that stay the join's shuffle
+    left = asked.filter(F.col(maybe)).join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    out = asked.filter(~F.col(maybe)).select(*docs.columns).unionByName(left.select(*docs.columns))
     if docs.filter(F.col(id_col).isNotNull()).count() > found.count():
         null = out.filter(F.col(id_col).isNull())
         once = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])

@@ -4,20 +4,27 @@ Base spans are those of four patterns: e-mail addresses, IP addresses, card numb
 numbers. Their places come from text.places(); patterns are possessive and start only where a run starts, so long runs
 cost linear time.
 
-Further terms are found by their information. A term that stands within WINDOW words of a protected value, in
-LEAST_CONTEXTS different surroundings or more, tells of it
+Further terms are found by their information. With N and n() counted in texts over the whole corpus, a term tells of a
+protected entity
 
-    pointwise mutual information = log2(N * n(term, value) / (n(term) * n(value)))
+    pointwise mutual information = log2(N * n(term, entity) / (n(term) * n(entity)))
 
-with N and n() counted in texts over the whole corpus. If that is GENERALISE or more of the value's own
-information log2(N / n(value)), the term is generalised to the kind of value; if REMOVE or more, it is removed, wherever
-it stands.
+If that is GENERALISE or more of the entity's own information log2(N / n(entity)), the term is generalised to the kind of
+the entity; if REMOVE or more, it is removed, wherever it stands. Entities are of two sorts:
+
+- what a value names: the value itself, an address's host and the names in it, a network, the first digits of a card or a
+  telephone number. Term and entity meet if the term stands within WINDOW words of the value, and have to do so in
+  LEAST_CONTEXTS different surroundings;
+- the kind of value. Term and kind meet if the text has both, outside of addresses; they have to do so in LEAST_TEXTS
+  texts that aren't near copies, and so often that by chance less than one of all pairs of a term and a kind would
+  (n(term) times the Kullback-Leibler divergence of their shares is at least the logarithm of the number of pairs).
 
 Edge cases: null text is empty and has no spans; all rows are kept, repeated ones and those with a null identifier too;
-copies count as often as they are there, but are one surrounding, as near copies are: of a value and a term, the
-surrounding that is first in order and those whose other words are like its own (a Jaccard similarity of LIKE percent or
-more) count as one, then the first of those left, and so on; so copies alone don't make a term tell; an empty table gives
-an empty result; other columns are ignored by find_spans() and kept by sanitise().
+copies count as often as they are there, but are one surrounding and one text, as near copies are: that which is first in
+order and those like it (a Jaccard similarity of LIKE percent or more, of the other words near the value, or of the texts'
+SKETCH least hashes of three words) count as one, then the first of those left, and so on; so copies alone don't make a
+term tell; an empty table gives an empty result; other columns are ignored by find_spans() and kept, whatever their names,
+by sanitise().
 """
 
 from __future__ import annotations
@@ -25,12 +32,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import places
-from storyloom.llm.common import maybe_in, written
+from storyloom.functions.text import bind, places
+from storyloom.llm.common import fresh_names, maybe_in, written
 
 #: Fixed values, in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, LEAST_CONTEXTS, LIKE = 5, 2, 60
+WINDOW, LEAST_CONTEXTS, LEAST_TEXTS, LIKE, SKETCH = 5, 2, 3, 60, 16
 GENERALISE, REMOVE = 0.75, 0.9
 #: Characters on either side of a value that are looked at for words.
 _REACH = 120
@@ -43,6 +50,7 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be worth a search.
 _HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+_NO_LETTER = r"[^\p{L}]+"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 
 
@@ -82,7 +90,7 @@ def _near(text: Column, span: Column) -> Column:
     low = F.greatest(span["start"] - _REACH, F.lit(0))
     before = F.lower(F.substr(text, low + 1, span["start"] - low))
     after = F.lower(F.substr(text, span["end"] + 1, F.lit(_REACH)))
-    words = lambda t: F.filter(F.split(t, r"[^\p{L}]+"), lambda w: F.length(w) > 2)
+    words = lambda t: F.filter(F.split(t, _NO_LETTER), lambda w: F.length(w) > 2)
     left = F.slice(F.reverse(words(before)), 1, WINDOW)
     return F.array_distinct(F.concat(left, F.slice(words(after), 1, WINDOW)))
 
@@ -95,43 +103,101 @@ def _count(kind_no: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind_no"] == kind_no)).cast("long")
 
 
+def _entities(kind: str, value: Column) -> Column:
+    """What a value names: itself, and what it has in common with others."""
+    cut = lambda head, part: F.concat(F.lit(head), part)
+    if kind == "email":
+        name, host = F.substring_index(F.lower(value), "@", 1), F.substring_index(F.lower(value), "@", -1)
+        names = F.transform(F.filter(F.split(name, "[^a-z]+"), lambda w: F.length(w) > 2), lambda w: cut("name:", w))
+        return F.array_distinct(F.concat(F.array(value, cut("host:", host)), names))
+    if kind == "ip":
+        return F.array(value, cut("net:", F.substring_index(value, ".", 3)), cut("net:", F.substring_index(value, ".", 2)))
+    return F.array(value, cut("first:", F.left(_digits(value), F.lit(6 if kind == "card" else 4))))
+
+
+def _letters(text: Column) -> Column:
+    """The lower-case words of a text outside of addresses, in order."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), _NO_LETTER), lambda w: w != "")
+
+
+def _sketch(words: Column) -> Column:
+    """The SKETCH least hashes of three words that follow each other: near copies have most in common."""
+    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(3)), " ")))
+    return F.slice(F.array_sort(F.array_distinct(threes)), 1, SKETCH)
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (digest of the text), spans: kind_no, start, end, value and near (the words next to it) of base spans."""
+    """doc_id, key (digest of the text), spans: kind_no, start, end, value and near (the words next to it) of base spans;
+    of texts that have some also words (the different ones) and sketch."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.md5("text"))
     for kind in PATTERNS:
         out = out.withColumn(kind, _found(F.col("text"), kind))
-    return out.select("doc_id", "key", F.concat(*(_typed(k, n) for n, k in enumerate(PATTERNS))).alias("spans"))
+    out = out.withColumn("spans", F.concat(*(_typed(k, n) for n, k in enumerate(PATTERNS))))
+    told = bind(_letters(F.col("text")), lambda w: F.struct(F.filter(F.array_distinct(w), lambda x: F.length(x) > 2).alias("words"), _sketch(w).alias("sketch")))
+    return out.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, told).alias("of")).select("doc_id", "key", "spans", "of.words", "of.sketch")
 
 
-def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
-    """term, share (the largest share of a value's information that it tells), kind_no (of that value), action."""
+def _share(rows: DataFrame, n_all: int) -> DataFrame:
+    """rows (n_both, n_term, n_value) with the share of the entity's information that the term tells."""
+    scored = rows.withColumn("own", F.log2(F.lit(n_all) / F.col("n_value")))
+    scored = scored.withColumn("told", F.log2(F.lit(n_all) * F.col("n_both") / (F.col("n_term") * F.col("n_value"))))
+    return scored.filter("own > 0").withColumn("share", F.col("told") / F.col("own")).filter(F.col("share") >= GENERALISE)
+
+
+def _near_values(base: DataFrame) -> DataFrame:
+    """term, kind_no, n_both, n_value: terms next to what values name, in different surroundings."""
     seen = base.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
-    seen = seen.select("row", F.col("s.kind_no"), F.col("s.value"), F.col("s.near")).distinct()
+    named = F.when(F.lit(False), F.array(F.lit("")))
+    for n, kind in enumerate(PATTERNS):
+        named = named.when(F.col("s.kind_no") == n, _entities(kind, F.col("s.value")))
+    seen = seen.select("row", F.col("s.kind_no"), F.explode(named).alias("value"), F.col("s.near")).distinct()
     value = ["kind_no", "value"]
     n_value = seen.select("row", *value).distinct().groupBy(*value).agg(F.count("*").alias("n_value"))
     contexts = seen.select(*value, F.array_sort("near").alias("near")).distinct().withColumn("term", F.explode("near"))
-    contexts = _apart(contexts.withColumn("near", F.array_remove("near", F.col("term"))), [*value, "term"])
+    contexts = _apart(contexts.withColumn("near", F.array_remove("near", F.col("term"))), [*value, "term"], "near", LEAST_CONTEXTS)
     together = seen.select("row", *value, F.explode("near").alias("term")).distinct().groupBy(*value, "term").agg(F.count("*").alias("n_both"))
-    pairs = written(contexts.join(together, [*value, "term"]).join(n_value, value), "pairs")
-    n_all = base.count()
+    pairs = contexts.join(together, [*value, "term"]).join(n_value, value)
+    return pairs.select("term", "kind_no", "n_both", "n_value")
+
+
+def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, share (the largest share of an entity's information that it tells), kind_no (of that entity), action."""
+    kinds = F.array_distinct(F.transform("spans", lambda s: s["kind_no"]))
+    held = base.filter(F.size("spans") > 0).select("row", kinds.alias("kinds"), "words", "sketch")
+    by_kind = held.select("words", F.explode("kinds").alias("kind_no")).select("kind_no", F.explode("words").alias("term"))
+    by_kind = written(by_kind.groupBy("kind_no", "term").agg(F.count("*").alias("n_both")), "kinds")
+    n_kind = held.select(F.explode("kinds").alias("kind_no")).groupBy("kind_no").agg(F.count("*").alias("n_value"))
+    often = by_kind.filter(F.col("n_both") >= LEAST_TEXTS).join(n_kind, "kind_no").select("term", "kind_no", "n_both", "n_value")
+    pairs = _near_values(base).withColumn("whole", F.lit(False)).unionByName(often.withColumn("whole", F.lit(True)))
+    pairs = written(pairs, "pairs")
+
+    n_all, n_pairs = base.count(), by_kind.count()
     words = maybe_in(_words(docs.select(_text(text_col))), F.col("term"), pairs.select("term").distinct(), "_maybe").filter("_maybe")
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = pairs.join(n_term, "term").withColumn("own", F.log2(F.lit(n_all) / F.col("n_value")))
-    scored = scored.withColumn("told", F.log2(F.lit(n_all) * F.col("n_both") / (F.col("n_term") * F.col("n_value"))))
-    scored = scored.filter("own > 0").withColumn("share", F.col("told") / F.col("own"))
-    best = scored.groupBy("term").agg(F.max("share").alias("share"), F.max_by("kind_no", F.struct("share", -F.col("kind_no"))).alias("kind_no"))
-    best = best.filter(F.col("share") >= GENERALISE)
+    scored = _share(pairs.join(n_term, "term"), n_all)
+    hit, usual = F.col("n_both") / F.col("n_term"), F.col("n_value") / F.lit(n_all)
+    apart = hit * F.ln(hit / usual) + F.when(hit < 1, (1 - hit) * F.ln((1 - hit) / (1 - usual))).otherwise(0.0)
+    chance = F.lit(float(max(1, n_pairs)))
+    scored = written(scored.filter(~F.col("whole") | (F.col("n_term") * apart >= F.ln(chance))).select("term", "kind_no", "share", "whole"), "scored")
+
+    some = scored.filter("whole").select("term", "kind_no")
+    texts = held.select("sketch", "kinds", F.explode("words").alias("term"))
+    texts = maybe_in(texts, F.col("term"), some.select("term").distinct(), "_maybe").filter("_maybe")
+    texts = texts.select("term", F.explode("kinds").alias("kind_no"), "sketch").join(some, ["term", "kind_no"]).distinct()
+    apart = _apart(texts, ["term", "kind_no"], "sketch", LEAST_TEXTS)
+    good = scored.filter(~F.col("whole")).select("term", "kind_no", "share").unionByName(scored.filter("whole").join(apart, ["term", "kind_no"]).select("term", "kind_no", "share"))
+    best = good.groupBy("term").agg(F.max("share").alias("share"), F.max_by("kind_no", F.struct("share", -F.col("kind_no"))).alias("kind_no"))
     return written(best.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")), "terms")
 
 
-def _apart(contexts: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that have LEAST_CONTEXTS surroundings or more; near copies are one. contexts: keys, near (no row twice)."""
-    both, either = F.size(F.array_intersect("near", "first")), F.size(F.array_union("near", "first"))
-    for _ in range(LEAST_CONTEXTS - 1):  # each round sets one surrounding aside, with its near copies
-        first = contexts.groupBy(*keys).agg(F.min("near").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        contexts = contexts.join(first, keys).filter(100 * both < LIKE * either).select(*keys, "near")
-    return contexts.select(*keys).distinct()
+def _apart(rows: DataFrame, keys: list[str], of: str, least: int) -> DataFrame:
+    """The keys that have `least` sets or more in column `of`; near copies are one. rows: keys, of (no row twice)."""
+    both, either = F.size(F.array_intersect(of, "first")), F.size(F.array_union(of, "first"))
+    for _ in range(least - 1):  # each round sets one set aside, with its near copies
+        first = rows.groupBy(*keys).agg(F.min(of).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        rows = rows.join(first, keys).filter(100 * both < LIKE * either).select(*keys, of)
+    return rows.select(*keys).distinct()
 
 
 def _text(text_col: str) -> Column:
@@ -139,18 +205,20 @@ def _text(text_col: str) -> Column:
 
 
 def _words(texts: DataFrame) -> DataFrame:
-    """texts with a row for each different lower-case word of column text."""
-    return texts.withColumn("term", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))))
+    """texts with a row for each different lower-case word of column text, in its place."""
+    return texts.select(*(c for c in texts.columns if c != "text"), F.explode(F.array_distinct(F.split(F.lower("text"), _NO_LETTER))).alias("term"))
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """key, terms (start, kind_no, end, why): where telling terms stand in each text that has some."""
-    words = maybe_in(_words(docs.select(_text(text_col))), F.col("term"), terms.select("term"), "_maybe").filter("_maybe")
-    has = words.withColumn("key", F.md5("text")).join(terms, "term").groupBy("key")
-    has = has.agg(F.first("text").alias("text"), F.map_from_entries(F.collect_set(F.struct("term", F.struct("action", "kind_no")))).alias("of"))
+    texts = docs.select(_text(text_col)).withColumn("key", F.md5("text"))
+    words = maybe_in(_words(texts), F.col("term"), terms.select("term"), "_maybe").filter("_maybe").select("key", "term")
+    of = F.map_from_entries(F.collect_set(F.struct("term", F.struct("action", "kind_no")))).alias("of")  # words of one text
+    has = written(words.join(terms, "term").groupBy("key").agg(of), "hits")
+    held = maybe_in(texts, F.col("key"), has.select("key"), "_maybe").filter("_maybe").groupBy("key").agg(F.first("text").alias("text"))
     at = F.filter(places("text", r"\p{L}+"), lambda s: F.map_contains_key("of", F.lower(s["text"])))
     got = F.transform(at, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind_no"), s["end"].alias("end"), F.col("of")[F.lower(s["text"])].alias("why")))
-    return written(has.select("key", got.alias("terms")), "term-spans")
+    return written(held.join(has, "key").select("key", got.alias("terms")), "term-spans")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,10 +246,17 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(say(F.filter("spans", lambda s: s["kind_no"] < term)), 256).alias("base_sha256"), say(F.col("spans")).alias("spans"))
 
 
+def base_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, counts by kind and base_sha256, without looking for terms."""
+    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"))))
+    return digests(base_spans(docs, id_col, text_col).select("doc_id", spans.alias("spans"))).drop("spans")
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of its texts replaced by its label (of spans that overlap, the first), all columns kept."""
-    found = find_spans(docs, id_col, text_col).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
-    found = written(found.withColumnRenamed("key", "_key"), "found")
+    key, spans, maybe = fresh_names(docs.columns, "_key", "_spans", "_maybe")
+    found = find_spans(docs, id_col, text_col).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias(spans))
+    found = written(found.withColumnRenamed("key", key), "found")
     text = F.col(text_col)
 
     def put(acc: Column, s: Column) -> Column:
@@ -189,9 +264,38 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["label"])
         return F.struct(F.when(ahead, s["end"]).otherwise(acc["at"]).alias("at"), F.when(ahead, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put)
-    new = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    keyed = maybe_in(docs.withColumn("_key", F.md5(F.coalesce(text, F.lit("")))), F.col("_key"), found.select("_key"), "_maybe")
-    changed = keyed.filter("_maybe").join(found, "_key", "left")
-    changed = changed.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
-    return keyed.filter("not _maybe").select(*docs.columns).unionByName(changed)
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put)
+    new = F.when(F.col(spans).isNull(), text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    keyed = maybe_in(docs.withColumn(key, F.md5(F.coalesce(text, F.lit("")))), F.col(key), found.select(key), maybe)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    changed = keyed.filter(F.col(maybe)).join(found, key, "left")
+    changed = changed.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return keyed.filter(~F.col(maybe)).select(*own).unionByName(changed)
+
+
+#: The patterns as they are meant, for engines that need no care for long runs.
+_PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def oracle_base() -> str:
+    """The rows of base_digests() over documents for DuckDB."""
+    digits = "regexp_replace(part, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE 2 END * CAST(substr({digits}, CAST(length({digits}) - i AS BIGINT), 1) AS INT) - CASE WHEN i % 2 = 1 AND substr({digits}, CAST(length({digits}) - i AS BIGINT), 1) > '4' THEN 9 ELSE 0 END)) % 10 = 0"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(part, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+    }
+    found = ",\n".join(
+        f"""{kind} AS (
+  SELECT row, {n} AS no, '{kind}' AS kind, CAST(pos - length(part) AS BIGINT) AS low, CAST(pos AS BIGINT) AS high FROM (
+    SELECT row, i, part, sum(length(part)) OVER (PARTITION BY row ORDER BY i) AS pos FROM (
+      SELECT row, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM (
+        SELECT row, string_split(regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS s FROM t))) WHERE i % 2 = 0 AND {valid[kind]})"""
+        for n, (kind, pattern) in enumerate(_PLAIN.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PLAIN)
+    return f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), {found},
+spans AS ({" UNION ALL ".join(f"SELECT * FROM {k}" for k in _PLAIN)})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || low || ':' || high, ',' ORDER BY low, no), '')) AS base_sha256 FROM t LEFT JOIN spans USING (row) GROUP BY row, doc_id"""

@@ -46,6 +46,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_pii that SQL can say."""
+    return pii.base_digests(_table(spark, sf_dir, "documents"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_url_filter that SQL can say."""
+    return url_filter.apply_rules(url_filter.split_urls(_table(spark, sf_dir, "pages")), URL_RULES)
+
+
 def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "pii_base_spans": pii_base_spans,
+        "url_rules": url_rules,
     }
 
 
@@ -110,9 +122,12 @@ SELECT doc_id, len(g) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS c
 
 
 def oracle_sql() -> dict[str, str]:
-    """The other operators learn, hash or tokenize, which SQL can't; the tests hold them against brute force."""
+    """The other operators learn or tokenize, which SQL can't; the tests hold them against brute force."""
     return {
         "op4_exact_topk": _TOP_K,
+        "op5_mixing": mixing.oracle((3, 1, 2)),
         "op8_licenses": licenses.oracle(),
         "op9_minhash_dedup": _NEAR,
+        "pii_base_spans": pii.oracle_base(),
+        "url_rules": url_filter.oracle_rules(URL_RULES),
     }

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import written
@@ -46,9 +46,8 @@ def tiles(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))
 
 
-def best_of(found: DataFrame, k: int, largest: bool) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of (query_id, vec_id, score), ties to the smaller vec_id."""
-    score = F.desc("score") if largest else F.asc("score")
-    order = Window.partitionBy("query_id").orderBy(score, "vec_id")
+def best_of(found: DataFrame, k: int, *score: Column) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of (query_id, vec_id, score) in this order, ties to the smaller vec_id."""
+    order = Window.partitionBy("query_id").orderBy(*score, "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

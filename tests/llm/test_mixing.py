@@ -112,6 +112,54 @@ def test_no_words_at_all(spark):
     assert mixing.mix(docs, WEIGHTS).collect() == []
 
 
+def test_points_of_many_slots(spark):
+    """Beyond 2**63 / golden and beyond 2**32, as exact products give them."""
+    ids = [0, 1, 2, 3_474_701_532, 3_474_701_533, 4_000_000_000, 2**32 - 1, 2**32, 2**32 + 1, 10**12 + 7, 10**15 + 3]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.point_of(F.col("id")).alias("p")).collect()
+    assert all(r.p == (r.id % 2**32) * 2654435769 % 2**32 / 2**32 for r in rows)
+
+
+def brute_taken(rows, plan):
+    """Words that the mix takes of each row, word by word: lists of (source, words in the order of the digest) and slots."""
+    import hashlib
+
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    taken = Counter()
+    wants = {s: int(t) for s, t in plan.items()}
+    for source, want in wants.items():
+        mine = [(i, t) for i, t, s in rows if s == source]
+        mine.sort(key=lambda r: md5(f"{r[0]}:{source or ''}:{md5(r[1])}")[:15])
+        line = [i for i, t in mine for _ in t.split()]
+        for n in range(want):  # passes over all blocks, the last one cut
+            taken[line[n % len(line)]] += 1
+    return taken
+
+
+def test_taken_words_of_each_document(corpus):
+    rows, docs = corpus
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_taken(rows, brute_targets(sizes))
+    assert {r.doc_id: r.taken for r in mixing.shares(docs, WEIGHTS).collect() if r.taken} == dict(want)
+
+
+def test_many_sources_and_weight_zero(spark):
+    docs = spark.createDataFrame([(i, "a b c d e", f"h{i % 150:03d}") for i in range(600)], "doc_id long, text string, source string").repartition(5)
+    got = mixing.shares(docs, (2, 0, 1)).collect()
+    plan = {r.doc_id % 150: r.target for r in got}
+    assert all(plan[i] == (0 if i % 3 == 1 else 40.0) for i in range(150))  # both are at their limit
+    assert sum(r.taken for r in got) == 100 * 40
+
+
+def test_map_columns(spark):
+    rows = [(i % 4, "a b c d", "s", {"k": i % 4, "l": None}, [{"x": 1}]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, a array<map<string,int>>")
+    taken = sum(r.taken for r in mixing.shares(docs, WEIGHTS).collect())
+    mixed = mixing.mix(docs, WEIGHTS).collect()
+    assert sum(len(r.text.split()) for r in mixed) == taken and all(r.m == {"k": r.doc_id, "l": None} for r in mixed)
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", "x", 5)], "doc_id long, text string, source string, size string, `order` int")
     assert mixing.mix(docs, WEIGHTS).columns == docs.columns

@@ -139,3 +139,10 @@ def test_rows_of_a_long_region_meet_by_their_other_minima(spark, monkeypatch):
 def test_pairs_at_the_threshold_seldom_fall_below_the_margin():
     least = math.ceil(nd.MINIMA * nd.margin(0.8))
     assert sum(math.comb(nd.MINIMA, i) * 0.8**i * 0.2 ** (nd.MINIMA - i) for i in range(least)) < 2e-6
+
+
+def test_keep_first_with_clashing_columns(spark):
+    text = " ".join(words(60, 3))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d"), (2, text, "e", "f", "g", "h"), (3, "own words", *"ijkl")], "doc_id long, text string, _part string, _words string, _maybe string, _gone string")
+    out = nd.keep_first(docs)
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [(1, text, *"abcd"), (3, "own words", *"ijkl")]

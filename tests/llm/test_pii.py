@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from storyloom.llm import pii
@@ -104,6 +107,97 @@ def test_overlaps_and_columns(spark):
     assert out.columns == docs.columns and out.first().text == "call [PHONE] now"
 
 
+def test_clashing_columns_are_kept(spark):
+    names = ["_key", "_spans", "_maybe", "_part", "_words", "_gone", "key", "start", "a.b"]
+    docs = spark.createDataFrame([(1, "mail ann@mail.example.com now", *"123456789"), (2, "nothing", *"abcdefghi"), (None, None, *[None] * 9)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    got = {r[0]: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: ("mail [EMAIL] now", *"123456789"), 2: ("nothing", *"abcdefghi"), None: (None,) * 10}
+
+
+def brute_terms(texts):
+    """Telling terms recomputed from the texts of a whole table, in plain Python."""
+    n_all, held = len(texts), []
+    n_term, n_named, both = Counter(), Counter(), defaultdict(set)
+    n_kind, together, around, sketches = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for t in texts.values():
+        low = (t or "").lower()
+        n_term.update(set(re.findall(r"[^\W\d_]+", low)))
+        found = brute(t)
+        if not found:
+            continue
+        row = len(held)
+        flat = re.findall(r"[^\W\d_]+", re.sub(PATTERNS["email"], " ", t).lower())
+        threes = {" ".join(flat[i : i + 3]) for i in range(max(1, len(flat) - 2))} if flat else {""}
+        sketch = tuple(sorted(int.from_bytes((xxhash.xxh64(x.encode(), seed=42).intdigest()).to_bytes(8, "big"), "big", signed=True) for x in threes)[:16])
+        held.append(row)
+        for k in {k for *_, k in found}:
+            n_kind[k] += 1
+            for w in {w for w in flat if len(w) > 2}:
+                together[w, k] += 1
+                sketches[w, k].add(sketch)
+        seen = set()
+        for a, _, b, k in found:
+            cut = lambda piece: [w for w in re.split(r"[\W\d_]+", piece.lower()) if len(w) > 2]
+            near = cut(t[max(0, a - 120) : a])[::-1][:5] + cut(t[b : b + 120])[:5]
+            for e in named(k, t[a:b]):
+                seen.add((k, e))
+                for w in near:
+                    around[w, k, e].add(tuple(sorted(set(near) - {w})))
+                    both[w, k, e].add(row)
+        n_named.update(seen)
+    told = {}
+
+    def share(n_both, w, n):
+        return math.log2(n_all * n_both / (n_term[w] * n)) / math.log2(n_all / n) if n < n_all else 0
+
+    for (w, k, e), sets in around.items():
+        if apart(sets, 2) and (s := share(len(both[w, k, e]), w, n_named[k, e])) >= 0.75:
+            told[w] = max(told.get(w, 0), s)
+    for (w, k), n in together.items():
+        if n >= 3 and (s := share(n, w, n_kind[k])) >= 0.75 and apart(sketches[w, k], 3):
+            p, q = n / n_term[w], n_kind[k] / n_all
+            d = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+            if n_term[w] * d >= math.log(len(together)):
+                told[w] = max(told.get(w, 0), s)
+    return told
+
+
+def named(kind, value):
+    out = [value]
+    if kind == "email":
+        name, host = value.lower().split("@")
+        out += ["host:" + host] + ["name:" + w for w in re.findall("[a-z]{3,}", name)]
+    elif kind == "ip":
+        out += ["net:" + ".".join(value.split(".")[:n]) for n in (2, 3)]
+    else:
+        out.append("first:" + re.sub("[^0-9]", "", value)[: 6 if kind == "card" else 4])
+    return set(out)
+
+
+def apart(sets, least):
+    left = sorted(sets)
+    for _ in range(least - 1):
+        left = [s for s in left if 100 * len(set(s) & set(left[0])) < 60 * len(set(s) | set(left[0]))]
+        if not left:
+            return False
+    return True
+
+
+def test_terms_of_a_whole_table_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    told = brute_terms(texts)
+    want = {}
+    for i, t in texts.items():
+        own = [(a, n, b, k) for a, n, b, k in brute(t)]
+        own += [(m.start(), 4, m.end(), "term") for m in re.finditer(r"[^\W\d_]+", t or "") if m[0].lower() in told and not any(a < m.end() and m.start() < b for a, _, b, _ in own)]
+        want[i] = said(sorted(own))
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find_spans(docs)).collect()}
+    assert got == want and sum("term:" in s for s in got.values()) > 0
+
+
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"u{i}@h.example.com" for i in range(3000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

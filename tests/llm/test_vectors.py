@@ -1,3 +1,6 @@
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +44,19 @@ def test_sums_beyond_doubles_are_exact():
     assert got == ([9, 9], [2, 1], [3 * 10**8 * 3 * 10**8 + 3 * 10**8 * (3 * 10**8 + 1), 2 * 9 * 10**16])
 
 
+def test_large_components(spark):
+    """Products beyond 64 bits, and components that overflow a double when scaled."""
+    big = {0: [1e30, 1.0], 1: [1e30, 2.0], 2: [1e30, -3.0], 3: [-1e30, 5.0], 4: [1e307, 0.5], 5: [-1e307, 0.5], 6: [0.0, -1e17], 7: [0.0, 0.25], 50: [2.0, 1e308]}
+    df = spark.createDataFrame(list(big.items()), "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [floor(256 * Fraction(x)) for x in v] for i, v in big.items()}
+    got = {}
+    for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 50):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted(got[q]) == [(n, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_fewer_candidates_than_asked_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     rows = exact_topk.top_k(few, F.col("vec_id") == 0, 5).collect()
