@@ -3,11 +3,13 @@
 Pre-tokens are exploded block by block (a block is some megabytes of neighbouring documents) into the block's distinct
 words and, for each document, the positions of its words. The words are shuffled by their hash, so that equal words of
 all blocks meet in one task and are encoded once; their ids travel back to the blocks, where documents are put together
-by position. A word that is everywhere is one entry a block, so no task is hot. What is shuffled is packed: sorted words
-with shared prefixes, ids as 16 bits where the vocabulary allows, positions by descending frequency, all under zstd.
+by position. A word that is everywhere is one entry a block, so no task is hot. What is shuffled is packed: words of a
+bucket in one row, ids as 16 bits where the vocabulary allows, positions by descending frequency, all under zstd. A block
+has at most BUCKETS rows of words, whatever the number of tasks.
 
-A block's key is a digest of its words, so two runs of the first step agree whatever their tasks; if the input isn't
-deterministic, the last step finds ids missing and fails rather than giving wrong ids.
+Texts are read and parted once: positions go along through the shuffle of words. A block's key is a digest of its words,
+so a lost task that is run again gives the same rows; if the input isn't deterministic, the last step finds ids missing and
+fails rather than giving wrong ids.
 
 Edge cases: null text counts as empty, empty text has no ids; null identifiers and repeated rows are kept row by row; an
 empty table gives an empty result; other columns are ignored.
@@ -32,7 +34,11 @@ from pyspark.sql import types as T
 from storyloom.llm.common import tidy, values
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
+#: Parts at most in which words are encoded: a block's row of one bucket has some tens of words even then.
+BUCKETS = 2048
+#: Words of a bucket that a task remembers; beyond that it starts over, and words that come again are encoded again.
+KNOWN_WORDS = 1_000_000
 #: Bucket number of a block's documents: they sort behind its words.
 _DOCS = 1 << 30
 
@@ -79,14 +85,15 @@ class _Block:
 
     def __init__(self, ids: list, texts: list[str], pattern: regex.Pattern):
         index: dict[str, int] = {}
-        found = [np.fromiter((index.setdefault(w, len(index)) for w in pattern.findall(t)), np.int64) for t in texts]
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        found = [np.fromiter((index.setdefault(w, len(index)) for w in pattern.findall(t)), np.int32) for t in texts]
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         often = np.bincount(flat, minlength=len(index))
         names = list(index)
         by = np.argsort(-often, kind="stable")
-        rank = np.empty(len(by), np.int64)
+        rank = np.empty(len(by), np.int32)
         rank[by] = np.arange(len(by))
         self.ids, self.sizes = ids, [len(x) for x in found]
+        del found
         self.positions = rank[flat]
         self.words = [names[i].encode("utf-8") for i in by.tolist()]
         digest = hashlib.blake2b(digest_size=16)
@@ -103,13 +110,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]
         for i, t in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             t = t or ""
             if texts and chars + len(t) > BLOCK_CHARS:
-                yield _Block(ids, texts, compiled)
-                ids, texts, chars = [], [], 0
+                block = _Block(ids, texts, compiled)
+                ids, texts, chars = [], [], 0  # the block doesn't need the texts
+                yield block
             ids.append(i)
             texts.append(t)
             chars += len(t)
     if texts:
-        yield _Block(ids, texts, compiled)
+        block = _Block(ids, texts, compiled)
+        del ids, texts
+        yield block
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -128,45 +138,46 @@ def _unpack_words(blob: bytes) -> list[bytes]:
     return out
 
 
-def _word_rows(pattern: str, buckets: int) -> Callable:
-    """A row for each block and bucket of words: the words, most frequent first."""
+def _block_rows(pattern: str, buckets: int, id_type: pa.DataType) -> Callable:
+    """For each block a row for each bucket of its words, the most frequent first, and one with the bucket of each word, the
+    positions, and the documents with their numbers of words. `deal` is what rows are dealt to tasks by."""
+    docs_type, sizes_type = pa.list_(id_type), pa.list_(pa.int32())
+    names = ["block", "bucket", "deal", "payload", "docs", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, pattern):
             bucket = _bucket_of(block.words, buckets)
             by = np.argsort(bucket, kind="stable")
             kinds, starts = np.unique(bucket[by], return_index=True)
-            ends = [*starts[1:].tolist(), len(by)]
+            ends, n = [*starts[1:].tolist(), len(by)], len(kinds)
             blobs = [_pack_words([block.words[i] for i in by[a:b].tolist()]) for a, b in zip(starts.tolist(), ends, strict=False)]
-            cols = [pa.array([block.key] * len(blobs), pa.binary()), pa.array(kinds.astype(np.int32)), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "payload"])
-
-    return run
-
-
-def _doc_rows(pattern: str, buckets: int, id_type: pa.DataType) -> Callable:
-    """A row for each block: the bucket of each word, the positions, and the documents with their numbers of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, pattern):
-            kinds = _planes(_bucket_of(block.words, buckets))
-            payload = len(kinds).to_bytes(4, "little") + kinds + _planes(block.positions)
-            cols = [pa.array([block.key], pa.binary()), pa.array([_DOCS], pa.int32()), pa.array([payload], pa.binary()), pa.array([block.ids], pa.list_(id_type)), pa.array([block.sizes], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "payload", "docs", "sizes"])
+            kinds = pa.array(kinds.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([block.key] * n, pa.binary()), kinds, kinds, pa.array(blobs, pa.binary()), pa.nulls(n, docs_type), pa.nulls(n, sizes_type)], names=names)
+            head = _planes(bucket)
+            payload = len(head).to_bytes(4, "little") + head + _planes(block.positions)
+            deal = int.from_bytes(block.key[:3], "little")
+            cols = [pa.array([block.key], pa.binary()), pa.array([_DOCS], pa.int32()), pa.array([deal], pa.int32()), pa.array([payload], pa.binary()), pa.array([block.ids], docs_type), pa.array([block.sizes], sizes_type)]
+            del block, bucket, blobs
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
 def _encode_rows(ranks) -> Callable:
-    """Rows sorted by bucket: each distinct word of a bucket is encoded once, whatever the number of its blocks."""
+    """Rows sorted by bucket: each distinct word of a bucket is encoded once, whatever the number of its blocks; rows of
+    documents stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={})
         at, known = None, {}
         for batch in batches:
             out = []
-            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if bucket != at:
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                blob = blob.as_py()
+                if bucket == _DOCS:
+                    out.append(blob)
+                    continue
+                if bucket != at or len(known) > KNOWN_WORDS:
                     at, known = bucket, {}
                 got = []
                 for w in _unpack_words(blob):
@@ -178,7 +189,7 @@ def _encode_rows(ranks) -> Callable:
                 flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
                 head = _planes(sizes)
                 out.append(len(head).to_bytes(4, "little") + head + _planes(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(3), batch.column(4)], names=batch.schema.names)
 
     return run
 
@@ -194,15 +205,18 @@ def _put_together(blob: bytes, sizes: list[int], parts: dict[int, tuple[np.ndarr
     by = np.argsort(bucket, kind="stable")
     none = np.zeros(0, np.uint32)
     ordered = [parts[k] for k in sorted(parts)]
-    length_by = np.concatenate([none, *(x[0] for x in ordered)]).astype(np.int64)
+    length_by = np.concatenate([none, *(x[0] for x in ordered)]).astype(np.int64)  # of the block's different words
     if len(length_by) != len(by):
         raise RuntimeError("ids of some words are missing: the input changed between two reads; write it to a table first")
     flat = np.concatenate([none, *(x[1] for x in ordered)])
     start, length = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
     start[by], length[by] = np.cumsum(length_by) - length_by, length_by
-    taken = length[positions]
-    ends = np.cumsum(taken)
-    ids = flat[np.repeat(start[positions] - (ends - taken), taken) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    taken = length[positions].astype(np.int32)
+    ends = np.cumsum(taken, dtype=np.int64)
+    at = np.repeat(start[positions] - (ends - taken), taken)
+    at += np.arange(len(at))
+    ids = flat[at]
+    del at
     cuts = np.concatenate([[0], ends])[np.cumsum(sizes)[:-1]] if sizes else []
     return np.split(ids, np.asarray(cuts, np.int64))
 
@@ -264,24 +278,20 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id, id_sql = to_arrow_type(id_type[0].dataType), id_type[0].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 8 * parts
+    buckets = buckets or min(BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: it doesn't grow with the corpus
-    words = docs.mapInArrow(tidy(_word_rows(pattern, buckets)), "block binary, bucket int, payload binary")
-    words = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(tidy(_encode_rows(shared)), "block binary, bucket int, payload binary")
-    typed = f"block binary, bucket int, payload binary, docs array<{id_sql}>, sizes array<int>"
-    rows = docs.mapInArrow(tidy(_doc_rows(pattern, buckets, arrow_id)), typed)
-    both = rows.unionByName(words, allowMissingColumns=True)
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return both.mapInArrow(tidy(_finish_rows(finish, context)), f"doc_id {id_sql}, {columns}")
+    rest = f"payload binary, docs array<{id_sql}>, sizes array<int>"
+    rows = docs.mapInArrow(tidy(_block_rows(pattern, buckets, arrow_id)), f"block binary, bucket int, deal int, {rest}")
+    rows = rows.repartition("deal").sortWithinPartitions("bucket").drop("deal")
+    rows = rows.mapInArrow(tidy(_encode_rows(shared)), f"block binary, bucket int, {rest}")
+    rows = rows.repartition("block").sortWithinPartitions("block", "bucket")
+    return rows.mapInArrow(tidy(_finish_rows(finish, context)), f"doc_id {id_sql}, {columns}")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens long, ids array<int>: a row for each row of docs.
 
-    docs is read twice and has to give the same rows in the same tasks both times, as files do. buckets: parts in which
-    distinct words are encoded; one part's words have to fit in a task's memory.
+    buckets: parts in which distinct words are encoded.
     """
     return _encoded(docs, ranks, pattern, id_col, text_col, buckets, _as_ids, None, "n_tokens bigint, ids array<int>")
 

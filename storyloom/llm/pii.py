@@ -15,20 +15,25 @@ the entity; if REMOVE or more, it is removed, wherever it stands. Entities are o
 - what a value names: the value itself, an address's host and the names in it, a network, the first digits of a card or a
   telephone number. Term and entity meet if the term stands within WINDOW words of the value, and have to do so in
   LEAST_CONTEXTS different surroundings;
-- the kind of value. Term and kind meet if the text has both, outside of addresses; they have to do so in LEAST_TEXTS
-  texts that aren't near copies, and so often that by chance less than one of all pairs of a term and a kind would
-  (n(term) times the Kullback-Leibler divergence of their shares is at least the logarithm of the number of pairs).
+- the kind of value. Term and kind meet if the text has both, outside of addresses.
+
+They have to meet in LEAST_CONTEXTS (for kinds LEAST_TEXTS) texts of their own, and more often than by chance: so often that
+of all pairs of a term and an entity that meet, less than one would. That is so if n(term), times the share of texts of
+their own, times the Kullback-Leibler divergence of n(term, entity) / n(term) from n(entity) / N is at least the logarithm
+of the number of pairs. A text is its own if less than a fifth of its SKETCH least hashes of three words are in another text
+where the two meet; others are copies, or little more than a passage that texts share.
 
 Edge cases: null text is empty and has no spans; all rows are kept, repeated ones and those with a null identifier too;
-copies count as often as they are there, but are one surrounding and one text, as near copies are: that which is first in
-order and those like it (a Jaccard similarity of LIKE percent or more, of the other words near the value, or of the texts'
-SKETCH least hashes of three words) count as one, then the first of those left, and so on; so copies alone don't make a
-term tell; an empty table gives an empty result; other columns are ignored by find_spans() and kept, whatever their names,
+copies count as often as they are there, but are one surrounding, as near copies are: of a value and a term, the
+surrounding that is first in order and those whose other words are like its own (a Jaccard similarity of LIKE percent or
+more) count as one, then the first of those left, and so on; so copies alone don't make a term tell; an empty table gives an empty result; other columns are ignored by find_spans() and kept, whatever their names,
 by sanitise().
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +127,8 @@ def _letters(text: Column) -> Column:
 
 def _sketch(words: Column) -> Column:
     """The SKETCH least hashes of three words that follow each other: near copies have most in common."""
-    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(3)), " ")))
+    three = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    threes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(three(i)))
     return F.slice(F.array_sort(F.array_distinct(threes)), 1, SKETCH)
 
 
@@ -145,59 +151,73 @@ def _share(rows: DataFrame, n_all: int) -> DataFrame:
     return scored.filter("own > 0").withColumn("share", F.col("told") / F.col("own")).filter(F.col("share") >= GENERALISE)
 
 
-def _near_values(base: DataFrame) -> DataFrame:
-    """term, kind_no, n_both, n_value: terms next to what values name, in different surroundings."""
+def _near_values(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """kind_no, value, term, row where terms stand next to what a value names; of these pairs those with different
+    surroundings and their numbers: kind_no, value, term, n_both, n_value."""
     seen = base.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
     named = F.when(F.lit(False), F.array(F.lit("")))
     for n, kind in enumerate(PATTERNS):
         named = named.when(F.col("s.kind_no") == n, _entities(kind, F.col("s.value")))
-    seen = seen.select("row", F.col("s.kind_no"), F.explode(named).alias("value"), F.col("s.near")).distinct()
+    seen = written(seen.select("row", F.col("s.kind_no"), F.explode(named).alias("value"), F.col("s.near")).distinct(), "seen")
     value = ["kind_no", "value"]
     n_value = seen.select("row", *value).distinct().groupBy(*value).agg(F.count("*").alias("n_value"))
     contexts = seen.select(*value, F.array_sort("near").alias("near")).distinct().withColumn("term", F.explode("near"))
-    contexts = _apart(contexts.withColumn("near", F.array_remove("near", F.col("term"))), [*value, "term"], "near", LEAST_CONTEXTS)
-    together = seen.select("row", *value, F.explode("near").alias("term")).distinct().groupBy(*value, "term").agg(F.count("*").alias("n_both"))
-    pairs = contexts.join(together, [*value, "term"]).join(n_value, value)
-    return pairs.select("term", "kind_no", "n_both", "n_value")
+    contexts = _apart(contexts.withColumn("near", F.array_remove("near", F.col("term"))), [*value, "term"])
+    meet = written(seen.select("row", *value, F.explode("near").alias("term")).distinct(), "near")
+    pairs = meet.groupBy(*value, "term").agg(F.count("*").alias("n_both")).join(contexts, [*value, "term"]).join(n_value, value)
+    return meet, pairs
+
+
+def _own_texts(meet: DataFrame, sketches: DataFrame) -> DataFrame:
+    """kind_no, value, term, n_own: in how many texts of their own these meet. meet: also row; sketches: row, sketch."""
+    pair = ["kind_no", "value", "term"]
+    cells = meet.join(sketches, "row").select("row", *pair, F.explode("sketch").alias("hash"))
+    alone = cells.groupBy(*pair, "hash").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    # a hash of one text alone counts for that text
+    alone = alone.filter("n = 1").groupBy(*pair, "row").agg(F.count("*").alias("n_alone"))
+    own = alone.join(sketches.select("row", F.size("sketch").alias("n_hashes")), "row").filter(5 * F.col("n_alone") > 4 * F.col("n_hashes"))
+    return own.groupBy(*pair).agg(F.count("*").alias("n_own"))
 
 
 def telling_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
     """term, share (the largest share of an entity's information that it tells), kind_no (of that entity), action."""
     kinds = F.array_distinct(F.transform("spans", lambda s: s["kind_no"]))
     held = base.filter(F.size("spans") > 0).select("row", kinds.alias("kinds"), "words", "sketch")
-    by_kind = held.select("words", F.explode("kinds").alias("kind_no")).select("kind_no", F.explode("words").alias("term"))
-    by_kind = written(by_kind.groupBy("kind_no", "term").agg(F.count("*").alias("n_both")), "kinds")
+    of_kinds = held.select("row", "words", F.explode("kinds").alias("kind_no")).select("row", "kind_no", F.lit("").alias("value"), F.explode("words").alias("term"))
+    by_kind = written(of_kinds.groupBy("kind_no", "value", "term").agg(F.count("*").alias("n_both")), "kinds")
     n_kind = held.select(F.explode("kinds").alias("kind_no")).groupBy("kind_no").agg(F.count("*").alias("n_value"))
-    often = by_kind.filter(F.col("n_both") >= LEAST_TEXTS).join(n_kind, "kind_no").select("term", "kind_no", "n_both", "n_value")
-    pairs = _near_values(base).withColumn("whole", F.lit(False)).unionByName(often.withColumn("whole", F.lit(True)))
-    pairs = written(pairs, "pairs")
+    meet, near = _near_values(base)
+    pair = ["kind_no", "value", "term"]
+    often = by_kind.filter(F.col("n_both") >= LEAST_TEXTS).join(n_kind, "kind_no")
+    pairs = written(near.select(*pair, "n_both", "n_value").unionByName(often.select(*pair, "n_both", "n_value")), "pairs")
 
-    n_all, n_pairs = base.count(), by_kind.count()
+    n_all, n_kinds, n_near = base.count(), by_kind.count(), meet.select(*pair).distinct().count()
     words = maybe_in(_words(docs.select(_text(text_col))), F.col("term"), pairs.select("term").distinct(), "_maybe").filter("_maybe")
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     scored = _share(pairs.join(n_term, "term"), n_all)
     hit, usual = F.col("n_both") / F.col("n_term"), F.col("n_value") / F.lit(n_all)
     apart = hit * F.ln(hit / usual) + F.when(hit < 1, (1 - hit) * F.ln((1 - hit) / (1 - usual))).otherwise(0.0)
-    chance = F.lit(float(max(1, n_pairs)))
-    scored = written(scored.filter(~F.col("whole") | (F.col("n_term") * apart >= F.ln(chance))).select("term", "kind_no", "share", "whole"), "scored")
-
-    some = scored.filter("whole").select("term", "kind_no")
-    texts = held.select("sketch", "kinds", F.explode("words").alias("term"))
-    texts = maybe_in(texts, F.col("term"), some.select("term").distinct(), "_maybe").filter("_maybe")
-    texts = texts.select("term", F.explode("kinds").alias("kind_no"), "sketch").join(some, ["term", "kind_no"]).distinct()
-    apart = _apart(texts, ["term", "kind_no"], "sketch", LEAST_TEXTS)
-    good = scored.filter(~F.col("whole")).select("term", "kind_no", "share").unionByName(scored.filter("whole").join(apart, ["term", "kind_no"]).select("term", "kind_no", "share"))
+    whole = F.col("value") == ""
+    chance = F.when(whole, math.log(max(1, n_kinds))).otherwise(math.log(max(1, n_near)))
+    scored = scored.withColumn("told", F.col("n_term") * apart / chance).filter("told >= 1")
+    scored = written(scored.select(*pair, "n_both", "share", "told"), "scored")
+
+    some = maybe_in(meet.unionByName(of_kinds.select("row", *pair)), F.col("term"), scored.select("term").distinct(), "_maybe").filter("_maybe")
+    own = _own_texts(some.select("row", *pair).join(scored.select(*pair), pair), held.select("row", "sketch"))
+    least = F.when(whole, LEAST_TEXTS).otherwise(LEAST_CONTEXTS)
+    good = scored.join(own, pair).filter((F.col("n_own") >= least) & (F.col("told") * F.col("n_own") >= F.col("n_both")))
     best = good.groupBy("term").agg(F.max("share").alias("share"), F.max_by("kind_no", F.struct("share", -F.col("kind_no"))).alias("kind_no"))
+    best = best.filter(F.col("share") >= GENERALISE)
     return written(best.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")), "terms")
 
 
-def _apart(rows: DataFrame, keys: list[str], of: str, least: int) -> DataFrame:
-    """The keys that have `least` sets or more in column `of`; near copies are one. rows: keys, of (no row twice)."""
-    both, either = F.size(F.array_intersect(of, "first")), F.size(F.array_union(of, "first"))
-    for _ in range(least - 1):  # each round sets one set aside, with its near copies
-        first = rows.groupBy(*keys).agg(F.min(of).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        rows = rows.join(first, keys).filter(100 * both < LIKE * either).select(*keys, of)
-    return rows.select(*keys).distinct()
+def _apart(contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that have LEAST_CONTEXTS surroundings or more; near copies are one. contexts: keys, near (no row twice)."""
+    both, either = F.size(F.array_intersect("near", "first")), F.size(F.array_union("near", "first"))
+    for _ in range(LEAST_CONTEXTS - 1):  # each round sets one surrounding aside, with its near copies
+        first = contexts.groupBy(*keys).agg(F.min("near").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        contexts = contexts.join(first, keys).filter(100 * both < LIKE * either).select(*keys, "near")
+    return contexts.select(*keys).distinct()
 
 
 def _text(text_col: str) -> Column:

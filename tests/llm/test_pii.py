@@ -101,6 +101,16 @@ def test_near_copies_alone_make_no_term_tell(spark):
     assert terms_of(spark, near) == set()
 
 
+def test_a_term_that_tells_of_a_kind(spark):
+    """`hotline` is in texts with telephone numbers, far from them; `gloop` too, but all those texts share a passage."""
+    far = lambda i: " ".join(words(40, i))
+    rows = [(i, f"hotline {far(i)} +1 234 567 8{i:03d}") for i in range(8)]
+    rows += [(20 + i, f"gloop {far(700)} +1 234 567 9{i:03d}") for i in range(8)] + [(40 + i, far(300 + i)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (200, "ask the Hotline now"), (201, "a gloop of it")], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find_spans(docs)).collect()}
+    assert found[200] == "term:8:15" and found[0].startswith("term:0:7") and found[201] == "" and all("term" not in found[20 + i] for i in range(8))
+
+
 def test_overlaps_and_columns(spark):
     docs = spark.createDataFrame([(1, "call +1 (234) 567-8901 now", "s", "k")], "doc_id long, text string, spans string, key string")
     out = pii.sanitise(docs)
@@ -120,7 +130,7 @@ def brute_terms(texts):
     """Telling terms recomputed from the texts of a whole table, in plain Python."""
     n_all, held = len(texts), []
     n_term, n_named, both = Counter(), Counter(), defaultdict(set)
-    n_kind, together, around, sketches = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    n_kind, together, around, sketches = Counter(), Counter(), defaultdict(set), defaultdict(list)
     for t in texts.values():
         low = (t or "").lower()
         n_term.update(set(re.findall(r"[^\W\d_]+", low)))
@@ -136,7 +146,7 @@ def brute_terms(texts):
             n_kind[k] += 1
             for w in {w for w in flat if len(w) > 2}:
                 together[w, k] += 1
-                sketches[w, k].add(sketch)
+                sketches[w, k, ""].append(sketch)
         seen = set()
         for a, _, b, k in found:
             cut = lambda piece: [w for w in re.split(r"[\W\d_]+", piece.lower()) if len(w) > 2]
@@ -145,22 +155,31 @@ def brute_terms(texts):
                 seen.add((k, e))
                 for w in near:
                     around[w, k, e].add(tuple(sorted(set(near) - {w})))
-                    both[w, k, e].add(row)
+                    if row not in both[w, k, e]:
+                        both[w, k, e].add(row)
+                        sketches[w, k, e].append(sketch)
         n_named.update(seen)
     told = {}
 
     def share(n_both, w, n):
         return math.log2(n_all * n_both / (n_term[w] * n)) / math.log2(n_all / n) if n < n_all else 0
 
-    for (w, k, e), sets in around.items():
-        if apart(sets, 2) and (s := share(len(both[w, k, e]), w, n_named[k, e])) >= 0.75:
-            told[w] = max(told.get(w, 0), s)
+    def tells(key, n_both, n, pairs, least):
+        if (s := share(n_both, key[0], n)) < 0.75:
+            return
+        seen = Counter(h for x in sketches[key] for h in x)
+        n_own = sum(5 * sum(seen[h] == 1 for h in x) > 4 * len(x) for x in sketches[key])
+        p, q = n_both / n_term[key[0]], n / n_all
+        d = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+        if n_own >= least and n_term[key[0]] * d / math.log(pairs) >= max(1, n_both / n_own):
+            told[key[0]] = max(told.get(key[0], 0), s)
+
+    for key, sets in around.items():
+        if apart(sets):
+            tells(key, len(both[key]), n_named[key[1:]], len(around), 2)
     for (w, k), n in together.items():
-        if n >= 3 and (s := share(n, w, n_kind[k])) >= 0.75 and apart(sketches[w, k], 3):
-            p, q = n / n_term[w], n_kind[k] / n_all
-            d = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
-            if n_term[w] * d >= math.log(len(together)):
-                told[w] = max(told.get(w, 0), s)
+        if n >= 3:
+            tells((w, k, ""), n, n_kind[k], len(together), 3)
     return told
 
 
@@ -176,13 +195,9 @@ def named(kind, value):
     return set(out)
 
 
-def apart(sets, least):
+def apart(sets):
     left = sorted(sets)
-    for _ in range(least - 1):
-        left = [s for s in left if 100 * len(set(s) & set(left[0])) < 60 * len(set(s) | set(left[0]))]
-        if not left:
-            return False
-    return True
+    return any(100 * len(set(s) & set(left[0])) < 60 * len(set(s) | set(left[0])) for s in left)
 
 
 def test_terms_of_a_whole_table_are_those_of_brute_force(spark):

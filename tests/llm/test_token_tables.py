@@ -32,6 +32,46 @@ def test_files_hold_what_the_library_gives(documents, plain, tmp_path):
     assert sorted(r.doc_id for r in tt.lookup(spark, path, [8, 9, 999, -1]).collect()) == [8, 9]
 
 
+def test_shards_manifest_and_lookup(spark, tmp_path, plain, monkeypatch):
+    """Many shards, an identifier that a third of the rows have, clashing columns; a lookup opens one file."""
+    monkeypatch.setattr(tt, "LEAST_BYTES", 2000)
+    monkeypatch.setattr(tt, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(tt, "LINE_BYTES", 300)
+    monkeypatch.setattr(tt, "BLOCK_BYTES", 100)
+    rows = [(i if i % 3 else 300, f"word{i} two three " * (i % 9), "x", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tie string, shard int").repartition(5)
+    path = f"file://{tmp_path}/t"
+    tt.write(docs, path, PATH, end_id=2)
+    shards = tt.manifest(spark, path).orderBy("shard").collect()
+    assert len(shards) > 4 and sum(r.entries for r in shards) == 1200 and all(a.last <= b.first for a, b in zip(shards, shards[1:], strict=False))
+    got = sorted(tt.read_summary(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, *_ in rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    sums = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted((r.doc_id, r.ids_crc32) for r in got) == sorted((i, sums(plain.encode(t, add_special_tokens=False).ids + [2])) for i, t, *_ in rows)
+    opened = []
+    whole = tt.open_table
+    monkeypatch.setattr(tt, "open_table", lambda s, p, n: opened.append(n) or whole(s, p, n))
+    found = tt.lookup(spark, path, [700]).collect()
+    assert len(opened) == 1 and [list(r.ids) for r in found] == [plain.encode(dict((i, t) for i, t, *_ in rows)[700], add_special_tokens=False).ids + [2]]
+    assert tt.lookup(spark, path, [2000, -1]).collect() == [] and len(opened) == 1 and tt.lookup(spark, path, []).collect() == []
+
+
+def test_a_line_never_holds_its_end():
+    for line in (b"", b"ab" + tt.MAGIC + b"c", tt.MAGIC * 3, tt.MAGIC[:7], b"x" + tt.MAGIC[:1]):
+        out, mask = tt._safe(line)
+        assert (out + tt.MAGIC).find(tt.MAGIC) == len(out) and tt._masked(out[:-1], mask) == line
+
+
+def test_other_tokenizers_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="white space"):
+        tt.write(docs, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json"))
+
+
 def test_empty_table(no_documents, tmp_path):
     path = f"file://{tmp_path}/t"
     tt.write(no_documents, path, PATH)

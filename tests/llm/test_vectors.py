@@ -74,8 +74,8 @@ def test_usable_vectors(table):
 
 
 def test_forest_finds_most_neighbours(table, monkeypatch):
-    monkeypatch.setattr(ann_forest, "GROUP_ROWS", 50)
-    monkeypatch.setattr(ann_forest, "QUERY_ROWS", 8)
+    for name, value in {"GROUP_ROWS": 50, "QUERY_ROWS": 8, "LEAF_ROWS": 60, "SAMPLE_LEAST": 300, "LOCAL_ROWS": 10}.items():
+        monkeypatch.setattr(ann_forest, name, value)
     held, df = table
     got = {}
     for r in ann_forest.nearest(df, F.col("vec_id") % 10 == 0, 10).collect():
@@ -112,6 +112,48 @@ def test_recall_on_the_table(spark):
     assert len(recall) == (ids % 100 == 0).sum() and np.mean(recall) >= 0.9
 
 
+def clustered(n, rng, width=32):
+    """Vectors around as many centres as grow with their number."""
+    centres = rng.normal(size=(max(8, n // 50), width))
+    return centres[rng.integers(0, len(centres), n)] + 0.05 * rng.normal(size=(n, width))
+
+
+def test_candidates_grow_slower_than_clustered_vectors():
+    """Leaves get deeper with the number of vectors: the candidates of a query don't grow in proportion."""
+    looked = {}
+    for n in (4000, 32_000):
+        x = clustered(n, np.random.default_rng(4))
+        forest = ann_forest.Forest(x, 125, 4)
+        forest.calibrate(x, 10, 0.97, np.random.default_rng(1))
+        rows = [len(set(np.concatenate([forest.held[t][i] for t, i in forest.probe(x[q])]).tolist())) for q in range(0, n, n // 40)]
+        hits = []
+        for q in range(0, n, n // 40):
+            far = np.square(x - x[q]).sum(axis=1)
+            far[q] = np.inf
+            got = set(np.concatenate([forest.held[t][i] for t, i in forest.probe(x[q])]).tolist())
+            hits.append(len(got & set(np.argsort(far)[:10].tolist())) / 10)
+        looked[n] = np.mean(rows)
+        assert np.mean(hits) >= 0.9 and looked[n] < 0.25 * n
+    assert looked[32_000] < 4 * looked[4000]
+
+
+def test_a_tile_s_own_tree_and_the_matrix_product(monkeypatch):
+    """Large offsets, where products are rounded most, and rows that another tree gives."""
+    x = clustered(6000, np.random.default_rng(6)) + 100.0
+    ids, names = np.arange(6000) * 3, np.arange(0, 6000, 200) * 3
+    free = np.random.default_rng(2).random((len(names), 6000)) < 0.8
+    for local in (False, True):
+        got = ann_forest.rank_tile(ids, x, names, x[::200], lambda a, b: free[a:b], 5, local, 0.97)
+        hits = 0
+        for n, name in enumerate(names):
+            far = np.sqrt(np.square(x - x[name // 3]).sum(axis=1))
+            want = [i for i in np.lexsort((ids, far)).tolist() if free[n][i] and ids[i] != name][:5]
+            mine = [(s, i // 3) for q, i, s in zip(*got, strict=True) if q == name]
+            assert all(s == far[i] for s, i in mine) and (local or [i for _, i in mine] == want)
+            hits += len({i for _, i in mine} & set(want))
+        assert hits >= 0.9 * 5 * len(names)
+
+
 def test_trees_part_all_vectors():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(200, 8)), np.ones((300, 8))])
