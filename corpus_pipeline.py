@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import byte_bpe, mixing, near_dedup, pii, toxicity
-from storyloom.llm.common import written
+from storyloom.llm.common import forget, written_alone
 
 WEIGHTS = (3, 1, 2)
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written_alone(lambda stage=stage, given=docs: stage(spark, given, sf_dir), name)
+        if before is not None:
+            forget(before)  # a stage's input goes when its output is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
