@@ -41,3 +41,11 @@ def expand_ref(ref: Column) -> Column:
     middle = F.transform(between, lambda c: one(c, F.lit(1), F.lit(OPEN_END)))
     across = F.concat(F.array(one(ref["sc"], ref["sv"], F.lit(OPEN_END))), middle, F.array(one(ref["ec"], F.lit(1), ref["ev"])))
     return F.when(ref["sc"] == ref["ec"], F.array(one(ref["sc"], ref["sv"], ref["ev"]))).when(ref["ec"] <= ref["sc"] + LONGEST, across).otherwise(F.slice(across, 1, 0))
+
+
+def chapter_verse(c: Column) -> Column:
+    """Struct of the chapter and verse that a reference begins with; of one without a known form, those it starts with, else
+    0 and 0."""
+    ref, start = parse_ref(c), r"^(\d+):(\d+)"
+    number = lambda known, group: F.coalesce(known, F.nullif(F.regexp_extract(c, start, group), F.lit("")).cast("int"), F.lit(0))
+    return F.struct(number(ref["sc"], 1).alias("chapter"), number(ref["sv"], 2).alias("verse"))

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from storyloom.functions import text as tx
 
-WIDTH = 300
+#: Of a hashed bag, and of a graph's node, which is filled up with zeros.
+WIDTH, NODE_WIDTH = 300, 384
 
 
 def bucket(word: Column, width: int = WIDTH) -> Column:

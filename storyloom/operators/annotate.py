@@ -6,8 +6,10 @@ of its verse but for the counters in identifiers and the links, which need the o
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ LEMMAS = {
     "I_STATE": "believe know think understand love fear hate trust doubt suppose expect remember forget".split(),
 }
 STATES = "is are was were am be being been has have had belong contain consist exist remain seem appear become".split()
-_SIGNAL = r"(?iU)\b(?:before|after|during|while|when|until|since|then|later|earlier|meanwhile|immediately|following|next|afterwards|previously|prior\s+to|as\s+soon\s+as)\b"
 
 
 def _document() -> Window:
@@ -47,10 +48,11 @@ def event_class(words: Column) -> Column:
     return out
 
 
-def _event(text: Column, kind: Column, number: Column) -> list[Column]:
+def _event(text: Column, kind: Column, number: Column, tense: Column | None = None, aspect: Column | None = None) -> list[Column]:
+    tense, aspect = (F.lit("PAST") if tense is None else tense), (F.lit("PERFECTIVE") if aspect is None else aspect)
     return [
         F.concat_ws("_e", "doc_id", number.cast("string")).alias("id"), "doc_id", number.cast("int").alias("seq"), text.alias("text"), "verse_idx", "chapter", "verse",
-        F.concat_ws(":", "chapter", "verse").alias("verse_ref"), kind.alias("event_class"), F.lit("PAST").alias("tense"), F.lit("PERFECTIVE").alias("aspect"), tx.polarity(text).alias("polarity"),
+        F.concat_ws(":", "chapter", "verse").alias("verse_ref"), kind.alias("event_class"), tense.alias("tense"), aspect.alias("aspect"), tx.polarity(text).alias("polarity"),
     ]
 
 
@@ -70,13 +72,66 @@ def lexicon_events(verses: DataFrame) -> DataFrame:
     return cut.select(*_event(F.col("_text"), event_class(tx.words("_text")), F.col("_n")))
 
 
+def model_events(verses: DataFrame, load: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """One event for each different sentence of a verse in which a language model finds a verb, by the first such verb;
+    columns as of events(), and verb_lemma. A verse without verbs has none.
+
+    load: each worker calls it once; it returns a function from texts to, for each, its verbs in order as (sentence, word,
+    lemma, tense, aspect, future): tense Past or Pres and aspect Perf or Prog as morphology names them, else null or empty;
+    future: whether will or shall belongs to the verb. A null list counts as empty.
+    """
+
+    @F.pandas_udf("array<struct<sentence:string,word:string,lemma:string,tense:string,aspect:string,future:boolean>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series([[tuple(v) for v in found or ()] for found in model(texts.fillna("").tolist())])
+
+    verbs = verses.select("doc_id", "verse_idx", "chapter", "verse", F.posexplode(run("text")).alias("_at", "_v"))
+    verbs = verbs.withColumn("_text", tx.strip("_v.sentence"))
+    first = Window.partitionBy("doc_id", "verse_idx", "_text").orderBy("_at")
+    cut = verbs.withColumn("_first", F.row_number().over(first)).filter("_first = 1")
+    cut = cut.withColumn("_n", F.row_number().over(_document().orderBy("verse_idx", "_at")) - 1)
+    lemma, state = F.lower(F.coalesce("_v.lemma", "_v.word")), F.lower("_v.word")
+    kind = event_class(F.array(lemma))
+    kind = F.when(kind.isin(*LEMMAS), kind).when(state.isin(*STATES), "STATE").otherwise("OCCURRENCE")
+    tense = F.when(F.col("_v.tense") == "Past", "PAST").when(F.col("_v.tense") == "Pres", "PRESENT").when(F.col("_v.future"), "FUTURE").otherwise("PAST")
+    aspect = F.when(F.col("_v.aspect") == "Perf", "PERFECTIVE").when(F.col("_v.aspect") == "Prog", "PROGRESSIVE").when(F.col("_v.tense") == "Past", "PERFECTIVE").otherwise("NONE")
+    return cut.select(*_event(F.col("_text"), kind, F.col("_n"), tense, aspect), lemma.alias("verb_lemma"))
+
+
 def _numbered(found: DataFrame, letter: str) -> DataFrame:
     number = F.row_number().over(_document().orderBy("verse_idx", "_at")) - 1
     return found.withColumn("seq", number).withColumn("id", F.concat(F.col("doc_id"), F.lit(f"_{letter}"), F.col("seq").cast("string")))
 
 
-def time_expressions(verses: DataFrame) -> DataFrame:
-    """Time expressions by pattern; a match that overlaps one of an earlier pattern is dropped."""
+def _named_times(load: Callable[[], Callable[[list[str]], list]]):
+    """Each text's entities that are labelled DATE or TIME; of those at the same place the first."""
+
+    def kept(text: str, found) -> list[tuple]:
+        once: dict[tuple[int, int], tuple] = {}
+        for start, end, label in found or ():
+            if label in ("DATE", "TIME"):
+                once.setdefault((start, end), (start, end, text[start:end], label))
+        return list(once.values())
+
+    @F.pandas_udf("array<struct<start_char:int,end_char:int,text:string,timex3_type:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            plain = texts.fillna("").tolist()
+            yield pd.Series([kept(t, found) for t, found in zip(plain, model(plain), strict=True)])
+
+    return run
+
+
+def time_expressions(verses: DataFrame, load: Callable[[], Callable[[list[str]], list]] | None = None) -> DataFrame:
+    """Time expressions by pattern; a match that overlaps one of an earlier pattern is dropped.
+
+    load: each worker calls it once; it returns a function from texts to, for each, the named entities (start, end, label)
+    of a language model, in code points. Those labelled DATE or TIME come first, each place once; patterns may not overlap
+    them.
+    """
 
     def typed(pattern: str, kind: str) -> Column:
         return F.transform(tx.places("text", "(?iU)" + pattern), lambda s: F.struct(s["start"].alias("start_char"), s["end"].alias("end_char"), s["text"].alias("text"), F.lit(kind).alias("timex3_type")))
@@ -85,7 +140,12 @@ def time_expressions(verses: DataFrame) -> DataFrame:
         meets = lambda m: F.exists(kept, lambda k: (m["start_char"] < k["end_char"]) & (k["start_char"] < m["end_char"]))
         return F.concat(kept, F.filter(more, lambda m: ~meets(m)))
 
-    found = verses.select("doc_id", "verse_idx", "text", *(typed(p, k).alias(f"_p{i}") for i, (p, k) in enumerate(timex.TIMEX_PATTERNS)))
+    if load is not None:
+        verses = verses.withColumn("_named", _named_times(load)("text"))
+    kept = ["doc_id", "verse_idx", "text", *(["_named"] if load is not None else [])]
+    found = verses.select(*kept, *(typed(p, k).alias(f"_p{i}") for i, (p, k) in enumerate(timex.TIMEX_PATTERNS)))
+    if load is not None:
+        found = found.withColumn("_p0", accept(F.col("_named"), F.col("_p0")))
     found = reduce(lambda df, i: df.withColumn("_p0", accept(F.col("_p0"), F.col(f"_p{i}"))), range(1, len(timex.TIMEX_PATTERNS)), found)
     rows = found.select("doc_id", "verse_idx", F.posexplode("_p0").alias("_at", "_t"))
     rows = _numbered(rows, "t")
@@ -94,7 +154,7 @@ def time_expressions(verses: DataFrame) -> DataFrame:
 
 def signals(verses: DataFrame) -> DataFrame:
     """Words and phrases that signal a temporal relation."""
-    rows = verses.select("doc_id", "verse_idx", F.posexplode(tx.places("text", _SIGNAL)).alias("_at", "_s"))
+    rows = verses.select("doc_id", "verse_idx", F.posexplode(tx.places("text", "(?iU)" + timex.SIGNAL_PATTERN)).alias("_at", "_s"))
     rows = _numbered(rows, "s")
     return rows.select("id", "doc_id", "seq", F.col("_s.text").alias("text"), "verse_idx", F.col("_s.start").alias("start_char"), F.col("_s.end").alias("end_char"))
 

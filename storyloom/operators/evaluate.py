@@ -6,15 +6,17 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
 from storyloom.functions import vectors as vx
+from storyloom.operators.tables import settle
 
 LEAST, REPEATED = 11, 0.85
 _PAIR = ["event_id", "related_to_event"]
@@ -227,25 +229,90 @@ def meteor(pairs: DataFrame, id_cols: list[str], out_col: str = "output", ref_co
     return rows.select(*id_cols, "matches", "chunks", value.alias("meteor"))
 
 
-def kendall_tau(ranks: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by, n, concordant, discordant, tau, p_value: of two orders, by all pairs of a group's rows; p by the normal curve."""
-    rows = ranks.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
-    own = rows.toDF(*by, "_x", "_y")
-    other = rows.toDF(*by, "_u", "_v")
-    sign = F.signum(F.col("_y") - F.col("_v"))
-    pairs = own.join(other, by).filter("_x > _u") if by else own.join(other, F.col("_x") > F.col("_u"))
-    sums = pairs.groupBy(*by).agg(F.count_if(sign > 0).alias("concordant"), F.count_if(sign < 0).alias("discordant"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    rows = sizes.join(sums, by, "left") if by else sizes.join(sums, how="cross")
-    rows = rows.na.fill(0, ["concordant", "discordant"])
+TILE_ROWS = 65_536
+
+
+def _below(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many pairs of an item of a and one of b have the first smaller, and how many have it larger."""
+    a = np.sort(a)
+    return int(np.searchsorted(a, b, "left").sum()), int((len(a) - np.searchsorted(a, b, "right")).sum())
+
+
+def _ties(*columns: np.ndarray) -> int:
+    """Pairs that are alike in all columns."""
+    if not len(columns[0]):
+        return 0
+    _, n = np.unique(np.column_stack(columns), axis=0, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
+def pair_orders(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Concordant and discordant pairs among rows sorted by x: halves are counted across, then each by itself."""
+    if len(x) < 2:
+        return 0, 0
+    if len(x) <= 32:
+        before = x[:, None] < x[None]
+        return int((before & (y[:, None] < y[None])).sum()), int((before & (y[:, None] > y[None])).sum())
+    middle = len(x) // 2
+    one, two = pair_orders(x[:middle], y[:middle]), pair_orders(x[middle:], y[middle:])
+    across = _across(x[:middle], y[:middle], x[middle:], y[middle:])
+    return one[0] + two[0] + across[0], one[1] + two[1] + across[1]
+
+
+def _across(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
+    """Concordant and discordant pairs of a row (x, y) and one (u, v), where no x is above a u."""
+    up, down = _below(y, v)
+    if x[-1] == u[0]:  # rows that are alike in x are no pairs
+        same_up, same_down = _below(y[x == x[-1]], v[u == u[0]])
+        up, down = up - same_up, down - same_down
+    return up, down
+
+
+def kendall_tau(ranks: DataFrame, by: list[str], x: str, y: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """by, n, concordant, discordant, tau (b), p_value: of two orders; p by the normal curve.
+
+    x and y: numbers. Pairs that are alike in x or in y are neither concordant nor discordant; tau's denominator leaves them
+    out of its order's pairs; it is 0 if an order has no other pairs. A group's rows are sorted by x and cut into tiles;
+    pairs of rows are counted by pairs of tiles, by merging, so no group is one task's and no pair of rows is built.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = ranks.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    order = Window.partitionBy(*keys).orderBy("_x", "_y")
+    tiled = rows.withColumn("_i", F.floor((F.row_number().over(order) - 1) / tile_rows).cast("int"))
+    last = tiled.groupBy(*keys).agg(F.max("_i").alias("_last"), F.count("*").alias("n"))
+    joined = tiled.join(last.drop("n"), keys) if keys else tiled.crossJoin(F.broadcast(last.drop("n")))  # one row
+    both = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda t: F.struct(F.least("_i", t).alias("p"), F.greatest("_i", t).alias("q")))
+    dealt = joined.select(*keys, "_i", "_x", "_y", F.explode(both).alias("_t")).select(*keys, "_i", "_x", "_y", F.col("_t.p").alias("_p"), F.col("_t.q").alias("_q"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*keys).schema)
+
+    def count(table: pa.Table) -> pa.Table:
+        tile, u, v = table["_i"].to_numpy(), table["_x"].to_numpy(), table["_y"].to_numpy()
+        p, q = table["_p"][0].as_py(), table["_q"][0].as_py()
+        at = np.lexsort((v, u, tile))
+        tile, u, v = tile[at], u[at], v[at]
+        cut = int((tile == p).sum())
+        up, down = pair_orders(u, v) if p == q else _across(u[:cut], v[:cut], u[cut:], v[cut:])
+        got = {"concordant": up, "discordant": down}
+        return pa.table([*(table[k].slice(0, 1) for k in keys), *(pa.array([n], pa.int64()) for n in got.values())], names=[*keys, *got])
+
+    sums = dealt.groupBy(*keys, "_p", "_q").applyInArrow(count, ", ".join([*([kinds] if kinds else []), "concordant long, discordant long"]))
+    sums = sums.groupBy(*keys).agg(F.sum("concordant").alias("concordant"), F.sum("discordant").alias("discordant"))
+    pairs = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
+    tied = lambda c, name: rows.groupBy(*keys, c).agg(F.count("*").alias("_c")).groupBy(*keys).agg(pairs("_c").alias(name))
+    out = last.drop("_last")
+    for part in (sums, tied("_x", "_tx"), tied("_y", "_ty")):
+        out = out.join(part, keys, "left") if keys else out.crossJoin(F.broadcast(part))  # one row each
+    out = out.na.fill(0, ["concordant", "discordant"])
     n = F.col("n").cast("double")
-    tau = F.when(F.col("n") > 1, (F.col("concordant") - F.col("discordant")) / (n * (n - 1) / 2)).otherwise(0.0)
+    whole = n * (n - 1) / 2
+    size = F.sqrt((whole - F.col("_tx")) * (whole - F.col("_ty")))
+    out = out.withColumn("tau", F.when(size > 0, (F.col("concordant") - F.col("discordant")) / size).otherwise(0.0))
     z = F.abs(F.col("tau")) / F.sqrt(2 * (2 * n + 5) / (9 * n * (n - 1)))
     # 2 * (1 - normal(z)), by the approximation 7.1.26 of Abramowitz and Stegun's handbook
     t = 1 / (1 + 0.3275911 * z / F.sqrt(F.lit(2.0)))
     series = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
-    rows = rows.withColumn("tau", tau)
-    return rows.withColumn("p_value", F.when(F.col("n") > 1, F.round(series * F.exp(-z * z / 2), 6)).otherwise(1.0))
+    p_value = F.when(F.col("n") > 1, F.round(series * F.exp(-z * z / 2), 6)).otherwise(1.0)
+    return out.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), "n", "concordant", "discordant", "tau", p_value.alias("p_value"))
 
 
 def rank_pair_accuracy(ranks: DataFrame, by: list[str], predicted: str, gold: str) -> DataFrame:
@@ -256,14 +323,56 @@ def rank_pair_accuracy(ranks: DataFrame, by: list[str], predicted: str, gold: st
     return rows.withColumn("accuracy", ratio(F.col("correct_pairs"), F.col("total_pairs")))
 
 
-def greedy_matching(left: DataFrame, right: DataFrame, by: list[str], vector_col: str = "vec") -> DataFrame:
-    """by, precision, recall, f1: each vector's best cosine on the other side, averaged; vectors come from any table."""
-    a = left.select(*by, F.monotonically_increasing_id().alias("_i"), F.col(vector_col).alias("_x"))
-    b = right.select(*by, F.monotonically_increasing_id().alias("_j"), F.col(vector_col).alias("_y"))
-    pairs = a.join(b, by).withColumn("_c", vx.dense_cosine(F.col("_x"), F.col("_y")))
-    p = pairs.groupBy(*by, "_i").agg(F.max("_c").alias("_c")).groupBy(*by).agg(F.avg("_c").alias("precision"))
-    r = pairs.groupBy(*by, "_j").agg(F.max("_c").alias("_c")).groupBy(*by).agg(F.avg("_c").alias("recall"))
-    return p.join(r, by).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+def greedy_matching(left: DataFrame, right: DataFrame, by: list[str], vector_col: str = "vec", baseline: Sequence[float] | None = None, tile_rows: int = 2048) -> DataFrame:
+    """by, precision, recall, f1: each vector's best cosine on the other side, averaged; vectors come from any table.
+
+    baseline: precision, recall and f1 of unrelated texts; each score is then rescaled so that its baseline becomes 0 and 1
+    stays 1. Both sides are dealt into tiles, whose cosines are matrix products; a tile returns the best of its rows alone. A zero vector's cosines
+    are 0; null vectors are left out, and groups that lack a side.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """Rows with their tile and how many tiles their group has."""
+        rows = rows.filter(F.col(vector_col).isNotNull()).select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col(vector_col).cast("array<double>").alias("_v"))
+        rows = settle(rows.withColumn("_n", F.monotonically_increasing_id()))
+        tiles = rows.groupBy(*keys).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles"))
+        rows = rows.join(tiles, keys) if keys else rows.crossJoin(F.broadcast(tiles))  # one row
+        return rows.withColumn("_tile", F.pmod(F.xxhash64("_n"), F.col("_tiles")).cast("int"))
+
+    a, b = numbered(left), numbered(right)
+    many = lambda rows, name: rows.groupBy(*keys).agg(F.first("_tiles").alias(name))
+    meet = lambda rows, other: rows.join(other, keys) if keys else rows.crossJoin(F.broadcast(other))  # noqa: E731  one row
+    every = F.explode(F.sequence(F.lit(0), F.col("_other") - 1))
+    one = meet(a, many(b, "_other")).select(*keys, "_n", "_v", F.col("_tile").alias("_p"), every.alias("_q"))
+    two = meet(b, many(a, "_other")).select(*keys, "_n", "_v", every.alias("_p"), F.col("_tile").alias("_q"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.select(*keys).schema)
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = [*keys, "_side", "_n", "_c"]
+        if not x.num_rows or not y.num_rows:
+            return pa.table([*(x[k].slice(0, 0) for k in keys), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        like = unit(x["_v"]) @ unit(y["_v"]).T
+        firsts = [pa.concat_arrays([x[k].combine_chunks().slice(0, 1)] * (x.num_rows + y.num_rows)) for k in keys]
+        side = pa.array(np.repeat(np.arange(2, dtype=np.int32), [x.num_rows, y.num_rows]))
+        ids = pa.array(np.concatenate([x["_n"].to_numpy(), y["_n"].to_numpy()]))
+        return pa.table([*firsts, side, ids, pa.array(np.concatenate([like.max(axis=1), like.max(axis=0)]))], names=names)
+
+    tile = [*keys, "_p", "_q"]
+    found = one.groupBy(*tile).cogroup(two.groupBy(*tile)).applyInArrow(best, ", ".join([*([kinds] if kinds else []), "_side int, _n long, _c double"]))
+    found = found.groupBy(*keys, "_side", "_n").agg(F.max("_c").alias("_c"))
+    mean = lambda side: F.avg(F.when(F.col("_side") == side, F.col("_c")))
+    out = found.groupBy(*keys).agg(mean(0).alias("precision"), mean(1).alias("recall"))
+    out = out.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), "precision", "recall").withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    if baseline is None:
+        return out
+    scaled = lambda c, at: ((F.col(c) - at) / (1 - at)).alias(c)
+    return out.select(*by, *(scaled(c, at) for c, at in zip(("precision", "recall", "f1"), baseline, strict=True)))
 
 
 def metrics_table(values: dict[str, object]) -> list[tuple[str, str, str]]:

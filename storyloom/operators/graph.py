@@ -1,9 +1,10 @@
 """A relational graph attention network over edge lists.
 
 Messages are a join of edges with node features and a product with the edge type's weights; attention is a softmax over
-each node's incoming edges; both are DataFrame steps, so the graph may be of any size. Weights are small and travel in the
-plan's Arrow functions. Training follows the whole graph's gradient on the driver and is for graphs that fit there, as the
-timetable's chain does; the network it gives can be run over any graph.
+each node's incoming edges; both are DataFrame steps, so the graph may be of any size. Nodes, edges and the result of each
+step are settled: nothing is computed again for the next. Weights are small and travel in the plan's Arrow functions.
+Training follows the whole graph's gradient on the driver and is for graphs of up to MOST_NODES and MOST_EDGES, as the
+timetable's chain is; the network it gives can be run over any graph.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.operators.tables import settle
+
 SLOPE, HEADS, HIDDEN, LAYERS, TINY = 0.2, 4, 256, 3, 1e-12
+#: Graphs up to so large are trained on.
+MOST_NODES, MOST_EDGES = 50_000, 200_000
 
 
 def softmax_by_target(scores: DataFrame, keys: list[str], score_col: str = "score") -> DataFrame:
@@ -116,7 +121,7 @@ def layer_forward(nodes: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame
             cols = [batch.column(0).take(pa.array(np.repeat(np.arange(n), heads))), batch.column(1).take(pa.array(np.repeat(np.arange(n), heads))), pa.array(np.tile(np.arange(heads, dtype=np.int32), n)), pa.array(score.ravel()), _lists(hs.reshape(n * heads, depth))]
             yield pa.RecordBatch.from_arrays(cols, names=["dst_no", "src_no", "head", "score", "h"])
 
-    scores = ends.mapInArrow(transform, "dst_no int, src_no int, head int, score double, h array<double>")
+    scores = settle(ends.mapInArrow(transform, "dst_no int, src_no int, head int, score double, h array<double>"))
     out = aggregate_messages(nodes, softmax_by_target(scores, ["dst_no", "head"]))
     rows = nodes.select("no", "x").join(out, "no")
 
@@ -138,11 +143,9 @@ def normalise(x: np.ndarray, gain: np.ndarray, shift: np.ndarray) -> np.ndarray:
 
 def forward(nodes: DataFrame, edges: DataFrame, net: Network) -> DataFrame:
     """no, x: the network's output for each node, layer by layer."""
-    x = linear(nodes, *net.start)
+    x, edges = settle(linear(nodes, *net.start)), settle(edges.select("src_no", "dst_no", "type_no"))
     for layer in net.layers:
-        x = layer_forward(x, edges, layer)
-        if nodes.sparkSession.sparkContext.getCheckpointDir():
-            x = x.checkpoint()
+        x = settle(layer_forward(x, edges, layer))
     return linear(x, *net.end)
 
 
@@ -260,7 +263,10 @@ def train(x: np.ndarray, edges: np.ndarray, types: int, hidden: int = HIDDEN, la
 
 def embed_nodes(nodes: DataFrame, edges: DataFrame, types: int, **options) -> DataFrame:
     """no, x: outputs of a network trained on the graph itself. nodes: no, x; edges: src_no, dst_no, type_no."""
-    rows = nodes.select("no", "x").orderBy("no").collect()  # a timetable's macro-events
+    nodes, edges = settle(nodes.select("no", "x")), settle(edges.select("src_no", "dst_no", "type_no"))
+    if nodes.count() > MOST_NODES or edges.count() > MOST_EDGES:
+        raise ValueError(f"training is for graphs of up to {MOST_NODES} nodes and {MOST_EDGES} edges: train on a part, then use forward()")
+    rows = nodes.orderBy("no").collect()  # MOST_NODES at most
     place = {r.no: i for i, r in enumerate(rows)}
     links = np.array([(place[r.src_no], place[r.dst_no], r.type_no) for r in edges.orderBy("src_no", "dst_no", "type_no").collect()], int)
     net, _ = train(np.array([r.x for r in rows], float), links, types, **options)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
+from storyloom.operators.tables import settle
 
 # The days in their order, by which segments are found and ranked.
 DAYS = ("Saturday", "Palm Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday (Rest)", "Sunday")
@@ -37,30 +38,63 @@ def segment_runs(macro: DataFrame) -> DataFrame:
     return rows.withColumn("seg_rank", F.sum("_new").over(order).cast("int")).withColumn("label", F.col("day_key")).drop("_new")
 
 
+def _chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, head, at: the first node of each node's chain and its place behind it, by doubling the step along the chain.
+
+    links (src, dst): no node has two before it or two behind it. Nodes of a ring have no first one and are left out.
+    """
+    rows = settle(nodes.join(links.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left").select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("at"), F.coalesce("up", "id").alias("head")))
+    rounds = max(1, rows.count()).bit_length()
+    for _ in range(rounds):
+        if rows.filter("up is not null").isEmpty():
+            break
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("at").alias("_at"), F.col("head").alias("_head"))
+        rows = rows.join(above, "up", "left")
+        rows = settle(rows.select("id", F.col("_up").alias("up"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("at"), F.coalesce("_head", "head").alias("head")))
+    return rows.filter("up is null").select("id", "head", "at")
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, level: the length of the longest path to each node, by rounds over the frontier; nodes on or behind a cycle none.
+    """id, level: the length of the longest path to each node; nodes on or behind a cycle none.
 
-    Each round takes the nodes without open predecessors; rounds are as many as the longest path is long.
+    Chains, along which nothing else joins or leaves, are numbered by pointer doubling; what is left are rounds over the
+    chains that have no open predecessors. A chain of n nodes, as a timetable's, takes log2(n) rounds.
     """
-    spark = nodes.sparkSession
+    nodes = settle(nodes.select("id").distinct())
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    left, open_edges, level, done = nodes.select("id"), edges, 0, None
+    edges = settle(edges.join(nodes.select(F.col("id").alias("src")), "src").join(nodes.select(F.col("id").alias("dst")), "dst").select("src", "dst"))
+    lone_out = edges.groupBy("src").agg(F.count("*").alias("n")).filter("n = 1").select("src")
+    lone_in = edges.groupBy("dst").agg(F.count("*").alias("n")).filter("n = 1").select("dst")
+    links = settle(edges.join(lone_out, "src").join(lone_in, "dst").select("src", "dst"))
+    chains = settle(_chains(nodes, links))
+    begins, ends = chains.select(F.col("id").alias("src"), F.col("head").alias("a"), F.col("at").alias("_at")), chains.select(F.col("id").alias("dst"), F.col("head").alias("b"))
+    across = edges.join(links, ["src", "dst"], "left_anti").join(begins, "src").join(ends, "dst")
+    across = settle(across.select("a", "b", (F.col("_at") + 1).alias("step")).distinct())
+    left, open_steps, reached, done = settle(chains.select("head").distinct()), across, None, None
     while True:
-        ready = left.join(open_edges, left["id"] == open_edges["dst"], "left_anti").withColumn("level", F.lit(level))
-        ready = ready.checkpoint() if spark.sparkContext.getCheckpointDir() else ready.cache()
+        ready = left.join(open_steps.select(F.col("b").alias("head")), "head", "left_anti")
+        if reached is None:
+            ready = ready.withColumn("level", F.lit(0).cast("long"))
+        else:
+            ready = ready.join(reached.groupBy("head").agg(F.max("level").alias("level")), "head")
+        ready = settle(ready)
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
-        left = left.join(ready.select("id"), "id", "left_anti")
-        open_edges = open_edges.join(ready.select(F.col("id").alias("src")), "src", "left_anti")
-        level += 1
-    return done if done is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
+        left = settle(left.join(ready.select("head"), "head", "left_anti"))
+        more = open_steps.join(ready.withColumnRenamed("head", "a"), "a").select(F.col("b").alias("head"), (F.col("level") + F.col("step")).alias("level"))
+        reached = settle(more if reached is None else reached.join(ready.select("head"), "head", "left_anti").unionByName(more))
+        open_steps = settle(open_steps.join(ready.select(F.col("head").alias("a")), "a", "left_anti"))
+    if done is None:
+        return nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
+    return chains.join(done, "head").select("id", (F.col("level") + F.col("at")).alias("level"))
 
 
 def narrative_order(nodes: DataFrame, edges: DataFrame, order_col: str) -> DataFrame:
     """id, position: nodes in topological order, ties by order_col; on a cycle, all nodes in that order alone."""
-    levels = topological_levels(nodes, edges)
+    nodes = settle(nodes.select("id", order_col))
+    levels = settle(topological_levels(nodes, edges))
     whole = levels.count() == nodes.count()
-    rows = nodes.select("id", order_col).join(levels, "id", "left")
+    rows = nodes.join(levels, "id", "left")
     keys = ["level", order_col] if whole else [order_col]
-    return rows.select("id", F.row_number().over(Window.orderBy(*keys)).alias("position"))
+    return rows.select("id", F.row_number().over(Window.orderBy(*keys)).alias("position"))  # as many rows as the narrative

@@ -59,5 +59,6 @@ GROUP_LINKS = [
     ("g4", "e3", "e5", "ENDS", "d3", 11),
 ]
 REFERENCES = ["21:1-7", "15:18-16:4", "21:19a", "21:19b-22", "3:5 - 7", "22:9-7", "(21:37-38)", "[17:37]", "Acts 1:18-19", "1 Co. 11:25", "3:1-2-3", "", "15:1-18:4", "15:1-19:4", "16:4-15:2", " 7:8 ", "2:3a-5b", "1:2a-2:3b"]
+ODD_REFERENCES = ["3:16 and more", "4:5-6-7:8", "12:99:1", "x 3:16"]
 NODES = [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4), ("f", 5)]
 EDGES = [("a", "c"), ("b", "c"), ("c", "d"), ("a", "d"), ("f", "b")]

@@ -1,7 +1,6 @@
 """SQL for DuckDB that gives the same rows as the queries of the same names, written on its own.
 
-Left out is what SQL can't express (Arrow functions over learned weights) or what it is too slow for on whole tables
-(greedy folds over long documents, word subsequences); the tests hold those against brute force.
+Left out is what SQL can't express (a network with drawn or learned weights); the tests hold that against plain arrays.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from storyloom.operators.annotate import LEMMAS, STATES
 from storyloom.operators.consolidate import EDGE_TYPES
 from storyloom.operators.segments import DAYS
 from storyloom.functions.text import NEGATIVE, SEPARATORS, TAGS
-from storyloom.functions.timex import DURATIONS, HOURS, SIGNALS
+from storyloom.functions.timex import DURATIONS, HOURS, SIGNAL_PATTERN, SIGNALS, TIMEX_PATTERNS
 from storyloom.plans import fixtures as fx
 
 W = r"[\p{L}\p{N}_]+"
@@ -108,12 +107,9 @@ def marks(pattern: str, of: str, name: str, tail: str = "") -> str:
   WHERE i % 2 = 0)"""
 
 
-# Words of signals stand between other letters in these texts only in ASCII or not at all: RE2's word boundary is checked
-# by hand on the neighbours below
-_NOT_IN_WORD = rf"""WHERE NOT regexp_matches(substr(v.text, CAST(m.start_char AS BIGINT), 1), '[\p{{L}}\p{{N}}_]') OR m.start_char = 0"""
-_SIGNAL = r"\b(?:before|after|during|while|when|until|since|then|later|earlier|meanwhile|immediately|following|next|afterwards|previously|prior\s+to|as\s+soon\s+as)\b"
+# RE2 knows word boundaries in ASCII only: the neighbours of a signal are checked below
 SIGNAL = (
-    marks(_SIGNAL, "whole", "smarks")
+    marks(SIGNAL_PATTERN, "whole", "smarks")
     + r""",
 signals AS (
   SELECT doc_id || '_s' || seq AS id, * FROM (
@@ -121,10 +117,6 @@ signals AS (
     FROM smarks m JOIN whole v ON m.doc_id = v.doc_id AND m.verse_idx = v.verse_idx
     WHERE (m.start_char = 0 OR NOT regexp_matches(substr(v.text, m.start_char, 1), '[\p{L}\p{N}_]')) AND NOT regexp_matches(substr(v.text, m.end_char + 1, 1), '[\p{L}\p{N}_]')))"""
 )
-_DAYS = r"\bthe\s+(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|next|following|previous)\s+day\b"
-_HOURS = r"\b(?:about\s+)?the\s+(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth)\s+hour\b"
-_SPANS = r"\b(?:\d+|two|three|four|five|six|seven|eight|nine|ten|forty|twelve)\s+(?:days?|nights?|hours?|years?|weeks?|months?)\b"
-_NAMES = r"\b(?:Passover|Sabbath|Feast\s+of\s+\w+|Pentecost|Day\s+of\s+Preparation|evening|morning|dawn|sunset|midnight|noon)\b"
 
 
 def normal(t: str) -> str:
@@ -137,11 +129,11 @@ def normal(t: str) -> str:
 
 _MEETS = "a.doc_id = {x}.doc_id AND a.verse_idx = {x}.verse_idx AND a.start_char < {x}.end_char AND {x}.start_char < a.end_char"
 TIMES = (
-    ", ".join(marks(p, "whole", f"t{i}") for i, p in enumerate((_DAYS, _HOURS, _SPANS, _NAMES)))
-    + ", k0 AS (SELECT *, 0 AS p, 'DATE' AS kind FROM t0)"
+    ", ".join(marks(p, "whole", f"t{i}") for i, (p, _) in enumerate(TIMEX_PATTERNS))
+    + f", k0 AS (SELECT *, 0 AS p, '{TIMEX_PATTERNS[0][1]}' AS kind FROM t0)"
     + "".join(
         f", k{i} AS (SELECT * FROM k{i - 1} UNION ALL SELECT x.*, {i}, '{kind}' FROM t{i} x WHERE NOT EXISTS (SELECT 1 FROM k{i - 1} a WHERE {_MEETS.format(x='x')}))"
-        for i, kind in ((1, "TIME"), (2, "DURATION"), (3, "DATE"))
+        for i, (_, kind) in list(enumerate(TIMEX_PATTERNS))[1:]
     )
     + f""",
 times AS (
@@ -180,18 +172,27 @@ rel AS (SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::doub
 ROLES = f"""rverses AS (
   SELECT role AS doc_id, CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS INT) AS verse_idx, CAST(conv_id + 1 AS INT) AS chapter, CAST(turn + 1 AS INT) AS verse, text FROM conversations),
 {events('rverses')}"""
-MATCH = f"""{ROLES},
+
+
+def match(prox: str) -> str:
+    """Best matches among roles, where prox gives the proximity of doc_a and doc_b."""
+    return f"""{ROLES},
 bag AS (SELECT id, doc_id, b, count(*) AS c FROM (SELECT id, doc_id, {bucket('w')} AS b FROM (SELECT id, doc_id, unnest({words('text')}) AS w FROM events)) GROUP BY 1, 2, 3),
 sq AS (SELECT id, sum(c * c)::bigint AS n FROM bag GROUP BY 1),
 dots AS (SELECT x.doc_id AS doc_a, x.id AS ev_a, y.doc_id AS doc_b, y.id AS ev_b, sum(x.c * y.c)::bigint AS d FROM bag x JOIN bag y ON x.b = y.b AND x.doc_id < y.doc_id GROUP BY 1, 2, 3, 4),
 ents AS (SELECT id, seq, {entities('text')} AS e FROM events),
 scored AS (
-  SELECT doc_a, ev_a, doc_b, ev_b, eb.seq, round(0.45::double * (d / sqrt((na.n * nb.n)::double)) + 0.3::double * ({overlap('ea.e', 'eb.e')})::double + 0.25::double * 0.5::double, 9) AS score
+  SELECT doc_a, ev_a, doc_b, ev_b, eb.seq, round(0.45::double * (d / sqrt((na.n * nb.n)::double)) + 0.3::double * ({overlap('ea.e', 'eb.e')})::double + 0.25::double * ({prox})::double, 9) AS score
   FROM dots JOIN sq na ON na.id = ev_a JOIN sq nb ON nb.id = ev_b JOIN ents ea ON ea.id = ev_a JOIN ents eb ON eb.id = ev_b),
 best AS (
   SELECT doc_a, ev_a, doc_b, ev_b, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_a, ev_a, doc_b ORDER BY score DESC, seq) AS r FROM scored WHERE score > 0.35) WHERE r = 1),
 groups AS (
   SELECT 'align_' || (row_number() OVER (ORDER BY doc_a, doc_b, e.seq) - 1) AS group_id, b.* FROM best b JOIN events e ON e.id = b.ev_a)"""
+
+
+MATCH = match("0.5")
+#: The timetable knows two roles: they are near if some conversation has both
+_NEAR = "CASE WHEN doc_a IN ('assistant', 'user') AND doc_b IN ('assistant', 'user') AND (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE role IN ('assistant', 'user') GROUP BY 1 HAVING count(DISTINCT role) = 2)) > 0 THEN 1 ELSE 0.5 END"
 _DAYLIST = _list(fx.DAY_CYCLE)
 TABLE = f"""talk AS (SELECT conv_id, max(turn) AS last, list(DISTINCT role) AS who FROM conversations GROUP BY 1),
 tt AS (SELECT CAST(conv_id AS INT) AS k, 'Conversation ' || conv_id AS description, {_DAYLIST}[CAST(conv_id % {len(fx.DAY_CYCLE)} AS INT) + 1] AS day FROM talk)"""
@@ -266,18 +267,139 @@ def _groups(p: str, gs: tuple[int, ...]) -> str:
     return ", ".join([*(f"CAST({x} AS INT) AS {n}" for x, n in zip(g[:4], ("sc", "sv", "ec", "ev"), strict=True)), f"{g[4]} AS sp", f"{g[5]} AS ep"])
 
 
-PARSED = f"""refs(ref) AS ({_values([(r,) for r in fx.REFERENCES])}), r AS (SELECT ref, {strip('ref')} AS t FROM refs),
-parsed AS (
-  SELECT ref, {_groups(_CROSS, (1, 2, 4, 5, 3, 6))} FROM r WHERE regexp_matches(t, '{_CROSS}')
-  UNION ALL SELECT ref, {_groups(_ONE, (1, 2, 1, 2, 3, 3))} FROM r WHERE regexp_matches(t, '{_ONE}')
-  UNION ALL SELECT ref, {_groups(_WITHIN, (1, 2, 1, 4, 3, 5))} FROM r WHERE regexp_matches(t, '{_WITHIN}')
-  UNION ALL SELECT ref, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE NOT regexp_matches(t, '{_CROSS}') AND NOT regexp_matches(t, '{_ONE}') AND NOT regexp_matches(t, '{_WITHIN}'))"""
+def parsed(keys: str = "ref") -> str:
+    """A CTE `parsed` of the references t in a table r, with its columns `keys`."""
+    forms = ((_CROSS, (1, 2, 4, 5, 3, 6)), (_ONE, (1, 2, 1, 2, 3, 3)), (_WITHIN, (1, 2, 1, 4, 3, 5)))
+    parts = [f"SELECT {keys}, {_groups(p, g)} FROM r WHERE regexp_matches(t, '{p}')" for p, g in forms]
+    none = " AND ".join(f"NOT regexp_matches(t, '{p}')" for p, _ in forms)
+    return "parsed AS (" + " UNION ALL ".join([*parts, f"SELECT {keys}, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE {none}"]) + ")"
+
+
+def ranges(keys: str) -> str:
+    """The ranges within chapters that the references of `parsed` cover."""
+    return f"""
+  SELECT {keys}, 0 AS range_no, sc AS chapter, sv AS v_start, CASE WHEN sc = ec THEN ev ELSE 999 END AS v_end FROM parsed WHERE ec <= sc + 3
+  UNION ALL SELECT {keys}, CAST(c - sc AS INT), CAST(c AS INT), 1, 999 FROM (SELECT *, unnest(range(sc + 1, ec)) AS c FROM parsed WHERE ec <= sc + 3)
+  UNION ALL SELECT {keys}, greatest(ec - sc, 1), ec, 1, ev FROM parsed WHERE ec <= sc + 3 AND sc <> ec"""
+
+
+REFS = f"refs(ref) AS ({_values([(r,) for r in fx.REFERENCES])})"
+PARSED = f"{REFS}, r AS (SELECT ref, {strip('ref')} AS t FROM refs), {parsed()}"
+_FIXKEYS = "k, doc_id, o, sc, sv, ec, ev, sp, ep"
+#: The fixture's timetable, joined with the fixture's verses
+FIXMACRO = f"""{FIXED}, {events('fixed')},
+tt(k, name, day, matthew, mark, luke) AS ({_values(fx.TIMETABLE)}),
+cells AS (SELECT k, unnest(['matthew', 'mark', 'luke']) AS doc_id, unnest([0, 1, 2]) AS o, unnest([matthew, mark, luke]) AS ref FROM tt),
+r AS (SELECT k, doc_id, o, {strip('ref')} AS t FROM cells WHERE length({strip('ref')}) > 0),
+{parsed('k, doc_id, o')},
+x AS ({ranges(_FIXKEYS)}),
+last AS (SELECT doc_id, chapter, max(verse) AS m FROM events GROUP BY 1, 2),
+spans AS (SELECT x.*, CASE WHEN v_end = 999 THEN coalesce(m, v_start) ELSE v_end END AS e FROM x LEFT JOIN last USING (doc_id, chapter)),
+cov AS (SELECT *, CAST(unnest(range(v_start, e + 1)) AS INT) AS verse FROM spans WHERE v_start <= e),
+vt AS (SELECT doc_id, chapter, verse, arg_max({strip('text')}, verse_idx) AS text FROM fixed WHERE {strip('text')} <> '' GROUP BY 1, 2, 3),
+halves AS (
+  SELECT cov.*, text, CASE WHEN chapter = sc AND verse = sv THEN {slice_part('text', 'sp')} ELSE text END AS head, {slice_part('text', 'coalesce(sp, ep)')} AS alone FROM cov JOIN vt USING (doc_id, chapter, verse)),
+told AS (
+  SELECT k, doc_id, o, string_agg(t, ' ' ORDER BY range_no, verse) AS text FROM (
+    SELECT *, {strip("CASE WHEN sc = ec AND sv = ev AND coalesce(sp, ep) IS NOT NULL THEN alone WHEN chapter = ec AND verse = ev THEN " + slice_part('head', 'ep') + " ELSE head END")} AS t FROM halves) WHERE t <> '' GROUP BY 1, 2, 3),
+had AS (SELECT k, doc_id, o, string_agg(id, '|' ORDER BY range_no, cov.verse, seq) AS ids FROM cov JOIN events USING (doc_id, chapter, verse) GROUP BY 1, 2, 3),
+acc AS (SELECT k, doc_id, o, coalesce(text, '') AS text, ids FROM told FULL JOIN had USING (k, doc_id, o))
+SELECT 'macro_' || k AS id, string_agg(text, ' <doc-sep> ' ORDER BY o) FILTER (text <> '') AS text, any_value(name) AS description, string_agg(ids, '|' ORDER BY o) AS original_events, k AS chronology_index,
+  CAST(count(*) FILTER (text <> '') AS INT) AS num_source_texts, string_agg(doc_id, '|' ORDER BY o) FILTER (text <> '') AS source_docs, arg_max(doc_id, [length(text), -o]) AS chosen_doc, any_value(day) AS day
+FROM acc JOIN tt USING (k) GROUP BY k HAVING count(*) FILTER (text <> '') > 0"""
+#: References with parts, over conversations
+PARTED = f"""{ROLES},
+last AS (SELECT doc_id, chapter, max(verse) AS m FROM rverses GROUP BY 1, 2), ks AS (SELECT DISTINCT CAST(conv_id AS INT) AS k FROM conversations),
+x AS (
+  SELECT k, 'user' AS doc_id, 0 AS no, k + 1 AS chapter, 1 AS v, coalesce(m, 1) AS e FROM ks LEFT JOIN last ON last.doc_id = 'user' AND last.chapter = k + 1
+  UNION ALL SELECT k, 'user', 1, k + 2, 1, 2 FROM ks UNION ALL SELECT k, 'assistant', 0, k + 1, 2, 2 FROM ks),
+cov AS (SELECT *, CAST(unnest(range(v, e + 1)) AS INT) AS verse FROM x),
+parts AS (SELECT *, CASE WHEN doc_id = 'assistant' OR (no = 1 AND verse = 2) THEN 'a' WHEN no = 0 AND verse = 1 THEN 'b' END AS part FROM cov),
+vt AS (SELECT doc_id, chapter, verse, {strip('text')} AS t FROM rverses WHERE {strip('text')} <> ''),
+told AS (SELECT k, doc_id, string_agg(t, ' ' ORDER BY no, verse) AS text FROM (SELECT k, doc_id, no, verse, {strip(slice_part('t', 'part'))} AS t FROM parts JOIN vt USING (doc_id, chapter, verse)) WHERE t <> '' GROUP BY 1, 2),
+had AS (SELECT k, doc_id, string_agg(id, '|' ORDER BY no, cov.verse, seq) AS event_ids FROM cov JOIN events USING (doc_id, chapter, verse) GROUP BY 1, 2)"""
 
 
-def dedup(c: str, threshold: float, most: int | None = None) -> str:
+def dedup_list(found: str, threshold: float, most: int | None = None) -> str:
+    """A list of sentences without those that are like an earlier one that is kept."""
     full = f"len(acc) >= {most} OR" if most else ""
     like = f"({overlap(spaced('s'), spaced('k'))}) >= {threshold}"
-    return f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({sentences(c)}, lambda z: [z])), lambda acc, one: CASE WHEN {full} len(list_filter(acc, lambda k: list_contains(list_transform(one, lambda s: {like}), true))) > 0 THEN acc ELSE list_concat(acc, one) END)"
+    return f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({found}, lambda z: [z])), lambda acc, one: CASE WHEN {full} len(list_filter(acc, lambda k: list_contains(list_transform(one, lambda s: {like}), true))) > 0 THEN acc ELSE list_concat(acc, one) END)"
+
+
+def dedup(c: str, threshold: float, most: int | None = None) -> str:
+    return dedup_list(sentences(c), threshold, most)
+
+
+def reduced(of: str, keys: str, name: str) -> str:
+    """A CTE: the texts of a table (keys, text), rid of repetition and cleaned."""
+    joined = f"SELECT {keys}, array_to_string({dedup('text', 0.65)}, ' ') AS t FROM {of}"
+    return f"{name} AS (SELECT {keys}, {clean_final('t')} AS text FROM (SELECT {keys}, CASE WHEN t = '' OR ends_with(t, '.') THEN t ELSE t || '.' END AS t FROM ({joined})))"
+
+
+def _picks(n: int) -> str:
+    """CTEs of the choices by marginal relevance, one after the other."""
+    out = ["c1 AS (SELECT id, i, 1 AS step FROM (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY round(0.7::double * rel, 9) DESC, i) AS r FROM relevance) WHERE r = 1), d1 AS (SELECT * FROM c1)"]
+    for k in range(2, n + 1):
+        near = f"(SELECT l.id, l.i, max(l.v) AS near FROM likeness l JOIN d{k - 1} d ON d.id = l.id AND d.i = l.j GROUP BY 1, 2)"
+        out.append(f"""c{k} AS (SELECT id, i, {k} AS step FROM (
+  SELECT x.id, x.i, row_number() OVER (PARTITION BY x.id ORDER BY round(0.7::double * rel - (1::double - 0.7::double) * coalesce(near, 0), 9) DESC, x.i) AS r
+  FROM relevance x LEFT JOIN {near} y ON x.id = y.id AND x.i = y.i WHERE NOT EXISTS (SELECT 1 FROM d{k - 1} d WHERE d.id = x.id AND d.i = x.i)) WHERE r = 1),
+d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT * FROM c{k})""")
+    return ",\n".join(out)
+
+
+def extracted(of: str) -> str:
+    """CTEs that end in `extract` (id, text): accounts of a table (id, text), merged by extraction."""
+    return f"""cleaned AS (SELECT id, {clean_separators('text')} AS text FROM {of}),
+pieces AS (SELECT id, text, list_filter(list_transform(string_split(text, '<doc-sep>'), lambda p: {strip('p')}), lambda p: p <> '') AS p FROM cleaned),
+sents AS (SELECT id, {dedup_list("flatten(list_transform(p, lambda q: " + sentences('q', 11) + "))", 0.85, 201)} AS s FROM pieces WHERE len(p) > 1),
+s AS (SELECT id, unnest(s) AS t, generate_subscripts(s, 1) AS i, len(s) AS n FROM sents),
+xbag AS (SELECT id, i, b, count(*) AS c FROM (SELECT id, i, {bucket('w')} AS b FROM (SELECT id, i, unnest({words('t')}) AS w FROM s)) GROUP BY 1, 2, 3),
+unit AS (SELECT id, i, b, c / sqrt((sum(c * c) OVER (PARTITION BY id, i))::double) AS u FROM xbag),
+middle AS (SELECT unit.id, b, sum(u) / any_value(n) AS m FROM unit JOIN (SELECT id, any_value(n) AS n FROM s GROUP BY 1) z ON z.id = unit.id GROUP BY 1, 2),
+width AS (SELECT id, sqrt(sum(m * m)) AS w FROM middle GROUP BY 1),
+near AS (SELECT unit.id, i, sum(u * m) / any_value(w) AS v FROM unit JOIN middle ON middle.id = unit.id AND middle.b = unit.b JOIN width ON width.id = unit.id GROUP BY 1, 2),
+relevance AS (SELECT s.id, s.i, round(coalesce(v, 0), 9) AS rel FROM s LEFT JOIN near ON near.id = s.id AND near.i = s.i),
+likeness AS (SELECT x.id, x.i, y.i AS j, round(sum(x.u * y.u), 9) AS v FROM unit x JOIN unit y ON x.id = y.id AND x.b = y.b GROUP BY 1, 2, 3),
+{_picks(6)},
+chosen AS (SELECT s.id, string_agg(t, '. ' ORDER BY step) AS t FROM d6 JOIN s ON s.id = d6.id AND s.i = d6.i GROUP BY 1),
+extract AS (
+  SELECT pieces.id, CASE WHEN len(p) <= 1 THEN text WHEN t IS NULL THEN array_to_string(p, ' ') WHEN ends_with(t, '.') THEN t ELSE t || '.' END AS text FROM pieces LEFT JOIN chosen ON chosen.id = pieces.id)"""
+
+
+SEGMENTS = f"""days AS (SELECT id, chronology_index, {strip("coalesce(nullif(day, ''), 'Unknown')")} AS day_key FROM macro),
+firsts AS (SELECT day_key, min(chronology_index) AS f, coalesce(list_min(list_filter([{_STEMS}], lambda i: i IS NOT NULL)), 100) AS r FROM days GROUP BY 1),
+ranked AS (SELECT day_key, CAST(row_number() OVER (ORDER BY r, f) AS INT) AS seg_rank, CASE WHEN r < 100 THEN {_list(DAYS)}[r + 1] ELSE day_key END AS label FROM firsts)"""
+LOG = f"""{MACRO}, {SEGMENTS},
+inputs AS (SELECT *, num_source_texts > 1 AND contains({strip('text')}, '<doc-sep>') AS many, {strip('text')} AS input FROM macro WHERE {strip('text')} <> ''),
+multi AS (SELECT id, input AS text FROM inputs WHERE many), {extracted('multi')}, {reduced('extract', 'id', 'short')},
+log AS (
+  SELECT i.id AS event_id, seg_rank, label, i.chronology_index, description, day, num_source_texts AS num_sources, replace(source_docs, '|', ', ') AS source_docs,
+    CASE WHEN many THEN 'PRIMERA' ELSE 'single_source' END AS method, CASE WHEN many THEN 'extractive' ELSE 'single_source' END AS actual_method,
+    length(input) AS input_chars, CASE WHEN many THEN short.text ELSE input END AS consolidated_text, left(input, 2000) AS input_text
+  FROM inputs i JOIN days USING (id) JOIN ranked USING (day_key) LEFT JOIN short ON short.id = i.id)"""
+#: The longest common subsequence is the longest rising run of places in the reference
+LCS = f"""{TALKS}, toks AS (SELECT conv_id, {words('output')} AS o, {words('reference')} AS r FROM talks),
+a AS (SELECT conv_id, unnest(o) AS w, generate_subscripts(o, 1) AS i FROM toks), b AS (SELECT conv_id, unnest(r) AS w, generate_subscripts(r, 1) AS p FROM toks),
+runs AS (SELECT a.conv_id, list(p ORDER BY i, p DESC) AS ps FROM a JOIN b ON a.conv_id = b.conv_id AND a.w = b.w GROUP BY 1),
+lens AS (
+  SELECT conv_id, len(list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(ps, lambda z: [z])),
+    lambda acc, one: list_concat(list_concat(acc[1:len(list_filter(acc, lambda t: t < one[1]))], one), acc[len(list_filter(acc, lambda t: t < one[1])) + 2:]))) AS n FROM runs),
+s AS (SELECT conv_id, coalesce(n, 0) AS hits, len(o) AS n_out, len(r) AS n_ref FROM toks LEFT JOIN lens USING (conv_id)),
+f AS (SELECT *, CASE WHEN n_out > 0 THEN hits / n_out::double ELSE 0 END AS precision, CASE WHEN n_ref > 0 THEN hits / n_ref::double ELSE 0 END AS recall FROM s)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM f"""
+_FREE = "list_filter(range(1, len(r) + 1), lambda i: r[i] = one.w AND NOT list_contains(acc.used, i))"
+METEOR = f"""{TALKS}, toks AS (SELECT conv_id, {words('output')} AS o, {words('reference')} AS r FROM talks),
+m AS (
+  SELECT conv_id, len(o) AS n_o, len(r) AS n_r, list_reduce(
+    list_prepend({{'w': '', 'used': CAST([] AS BIGINT[]), 'spot': -1::BIGINT, 'chunks': 0, 'matches': 0, 'follows': false}},
+      list_transform(o, lambda x: {{'w': x, 'used': CAST([] AS BIGINT[]), 'spot': 0::BIGINT, 'chunks': 0, 'matches': 0, 'follows': false}})),
+    lambda acc, one: CASE WHEN len({_FREE}) = 0 THEN {{'w': '', 'used': acc.used, 'spot': acc.spot, 'chunks': acc.chunks, 'matches': acc.matches, 'follows': false}}
+      WHEN list_contains({_FREE}, acc.spot + 1) THEN {{'w': '', 'used': list_append(acc.used, acc.spot + 1), 'spot': acc.spot + 1, 'chunks': acc.chunks + CASE WHEN acc.follows THEN 0 ELSE 1 END, 'matches': acc.matches + 1, 'follows': true}}
+      ELSE {{'w': '', 'used': list_append(acc.used, ({_FREE})[1]), 'spot': ({_FREE})[1], 'chunks': acc.chunks + 1, 'matches': acc.matches + 1, 'follows': true}} END) AS a FROM toks)
+SELECT conv_id, a.matches AS matches, a.chunks AS chunks, CASE WHEN a.matches > 0 THEN
+  10 * (a.matches / n_o::double) * (a.matches / n_r::double) / (a.matches / n_r::double + 9 * (a.matches / n_o::double)) * (1 - 0.5::double * pow(a.chunks / a.matches::double, 3)) ELSE 0 END AS meteor FROM m"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -296,6 +418,7 @@ SELECT doc_id, count(*) FILTER (i % 2 = 0) AS n, coalesce(sum(pos - length(part)
         "clean_separators": f"SELECT page_id, {clean_separators('text')} AS text FROM (SELECT page_id, html AS text FROM pages UNION ALL SELECT * FROM ({_values(fx.MARKUP)}))",
         "clean_final": f"SELECT doc_id, {clean_final('text')} AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({_values(fx.DIRTY)}))",
         "greedy_dedup": f"SELECT conv_id, turn, {clean_final('t')} AS text FROM (SELECT conv_id, turn, CASE WHEN t = '' OR ends_with(t, '.') THEN t ELSE t || '.' END AS t FROM (SELECT conv_id, turn, array_to_string({dedup('text', 0.65)}, ' ') AS t FROM conversations))",
+        "greedy_dedup_documents": f"WITH {reduced('documents', 'doc_id', 'short')} SELECT * FROM short",
         "dedup_cap8": f"SELECT doc_id, len(k) AS n, array_to_string(k, ' ') AS text FROM (SELECT doc_id, {dedup('text', 0.6, 8)} AS k FROM documents)",
         "polarity": f"SELECT conv_id, turn, {polarity('text')} AS polarity FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT c0, c1, c3 FROM ({_values(fx.TURNS)}) f(c0, c1, c2, c3))",
         "event_fallback": f"WITH {TURNS}, {events('verses')} SELECT * FROM events",
@@ -334,17 +457,21 @@ SELECT max(k) AS chrono_idx, name AS event_name, arg_max(refs, k) AS refs FROM p
 links AS (SELECT doc_id || '_tl' || seq AS id, doc_id, rel_type, event_id, related_to_event FROM narr WHERE related_to_event IS NOT NULL),
 e AS (SELECT group_id, ev_a AS ev FROM groups UNION ALL SELECT group_id, ev_b FROM groups)
 SELECT DISTINCT group_id, l.* FROM e JOIN links l ON ev = event_id OR ev = related_to_event""",
-        "conflicts": f"""WITH l(group_id, a, b, rel, doc, ord) AS ({_values(fx.GROUP_LINKS)}),
+        "align_with_pericopes": f"WITH {match(_NEAR)} SELECT * FROM best",
+        "conflicts": f"""WITH l(group_id, a, b, rel, doc, ord) AS ({_values(fx.GROUP_LINKS)} UNION ALL
+  SELECT 'u' || user_id, event_type, n, rel, 'd' || (event_id % 4), event_id FROM (
+    SELECT *, lead(event_type) OVER w AS n, CASE WHEN value <= lead(value) OVER w THEN 'BEFORE' ELSE 'AFTER' END AS rel FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n IS NOT NULL),
 t AS (SELECT group_id, a, b, doc, arg_max(rel, ord) AS rel, min(ord) AS at FROM l GROUP BY 1, 2, 3, 4)
 SELECT x.group_id, x.a AS event_a, x.b AS event_b, x.rel AS rel_a, y.rel AS rel_b, x.doc AS doc_1, y.doc AS doc_2 FROM t x JOIN t y ON x.group_id = y.group_id AND x.a = y.a AND x.b = y.b AND x.at < y.at
 WHERE (x.rel, y.rel) IN ({", ".join(f"('{p}', '{q}')" for p, q in CONTRADICTIONS)})""",
+        "part_ranges": f"WITH {PARTED} SELECT k AS chronology_index, doc_id, coalesce(text, '') AS text, coalesce(event_ids, '') AS event_ids FROM told FULL JOIN had USING (k, doc_id)",
+        "chapter_verse": f"""WITH refs(ref) AS ({_values([(r,) for r in fx.REFERENCES + fx.ODD_REFERENCES])} UNION ALL
+  SELECT unnest([(conv_id + 1) || ':1b-' || (conv_id + 2) || ':2a', (conv_id + 1) || ':2a']) FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT ref, {strip('ref')} AS t FROM refs), {parsed()}, n AS (SELECT ref, sc, sv, regexp_extract(ref, '^(\\d+):(\\d+)', 1) AS c, regexp_extract(ref, '^(\\d+):(\\d+)', 2) AS v FROM parsed)
+SELECT ref, coalesce(sc, CAST(nullif(c, '') AS INT), 0) AS chapter, coalesce(sv, CAST(nullif(v, '') AS INT), 0) AS verse FROM n""",
+        "macro_events_fixture": f"WITH {FIXMACRO}",
         "verse_ref_parse": f"WITH {PARSED} SELECT * FROM parsed",
-        "verse_range_expand": f"""WITH {PARSED},
-x AS (
-  SELECT ref, 0 AS range_no, sc AS chapter, sv AS v_start, CASE WHEN sc = ec THEN ev ELSE 999 END AS v_end FROM parsed WHERE ec <= sc + 3
-  UNION ALL SELECT ref, CAST(c - sc AS INT), CAST(c AS INT), 1, 999 FROM (SELECT *, unnest(range(sc + 1, ec)) AS c FROM parsed WHERE ec <= sc + 3)
-  UNION ALL SELECT ref, greatest(ec - sc, 1), ec, 1, ev FROM parsed WHERE ec <= sc + 3 AND sc <> ec)
-SELECT * FROM x""",
+        "verse_range_expand": f"WITH {PARSED}, x AS ({ranges('ref')}) SELECT * FROM x",
         "verse_range_join": "SELECT CAST(o_orderkey AS INT) AS chronology_index, count(*) AS n_verses, sum(l_quantity) AS sum_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN 2 AND 5 GROUP BY 1",
         "part_slice": f"SELECT conv_id, turn, {slice_part('text', 'part')} AS text FROM (SELECT *, CASE turn % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS part FROM conversations)",
         "macro_events": f"WITH {MACRO} SELECT id, text, description, original_events, chronology_index, num_source_texts, source_docs, day FROM macro",
@@ -365,10 +492,16 @@ SELECT id, seg_rank, label, day_key, chronology_index FROM k JOIN s USING (day_k
         "segment_runs": f"""WITH {TABLE}, k AS (SELECT k, {strip("coalesce(nullif(day, ''), 'Unknown')")} AS label FROM tt),
 n AS (SELECT *, CASE WHEN label = lag(label) OVER (ORDER BY k) THEN 0 ELSE 1 END AS new FROM k)
 SELECT k AS chronology_index, CAST(sum(new) OVER (ORDER BY k) AS INT) AS seg_rank, label FROM n""",
-        "topo_order": f"""WITH RECURSIVE nodes(id, no) AS ({_values(fx.NODES)}), edges(src, dst) AS ({_values(fx.EDGES)}),
-walk AS (SELECT id, 0 AS level FROM nodes UNION ALL SELECT dst, level + 1 FROM walk JOIN edges ON src = id),
+        "topo_order": f"""WITH RECURSIVE {MACRO},
+nodes(id, no) AS ({_values(fx.NODES)} UNION ALL SELECT id, chronology_index + 100 FROM macro),
+edges(src, dst) AS ({_values(fx.EDGES)} UNION ALL SELECT id, n FROM (SELECT id, lead(id) OVER (ORDER BY chronology_index) AS n FROM macro) WHERE n IS NOT NULL),
+walk AS (SELECT id, 0 AS level FROM nodes WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = id),
 l AS (SELECT id, max(level) AS level FROM walk GROUP BY 1)
 SELECT id, CAST(row_number() OVER (ORDER BY level, no) AS INT) AS position FROM l JOIN nodes USING (id)""",
+        "extractive_consolidate": f"WITH {MACRO}, {extracted('(SELECT id, text FROM macro)')} SELECT id, text FROM extract",
+        "consolidation_log": f"WITH {LOG} SELECT *, length(consolidated_text) AS output_chars FROM log",
+        "narrative": f"""WITH {LOG}, whole AS (SELECT seg_rank, string_agg(consolidated_text, ' ' ORDER BY chronology_index) AS text FROM log GROUP BY 1), {reduced('whole', 'seg_rank', 'parts')},
+one AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY seg_rank) AS t FROM parts) SELECT {clean_final('t')} AS narrative FROM one""",
         "temporal_ordering_accuracy": f"WITH {TIMELINE} SELECT *, CASE WHEN evaluated > 0 THEN correct / evaluated::double ELSE 0 END AS accuracy FROM (SELECT count(*) AS evaluated, count(*) FILTER (p.rel = g.rel) AS correct FROM pred p JOIN gold g USING (event_id, n))",
         "adjacent_pair_accuracy": f"WITH {TIMELINE} SELECT *, CASE WHEN evaluated > 0 THEN correct / evaluated::double ELSE 0 END AS accuracy FROM (SELECT count(*) AS evaluated, count(*) FILTER (p.rel = g.rel) AS correct FROM pred p JOIN gold g USING (event_id, n) WHERE source = 'narrative_order')",
         "temporal_f1": f"""WITH {TIMELINE}, a AS (SELECT DISTINCT event_id, n, rel FROM pred), b AS (SELECT DISTINCT event_id, n, rel FROM gold),
@@ -395,9 +528,13 @@ SELECT conv_id, turn, n_sentences, coalesce(n_repeated, 0) AS n_repeated, CASE W
 SELECT doc_id, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct, CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g)::double ELSE 0 END AS ratio FROM g""",
         "rouge_1": rouge(1),
         "rouge_2": rouge(2),
+        "rouge_l": f"WITH {LCS}",
+        "meteor": f"WITH {METEOR}",
         "kendall_tau": """WITH p AS (SELECT x.user_id, count(*) FILTER (x.value > y.value) AS concordant, count(*) FILTER (x.value < y.value) AS discordant FROM events x JOIN events y ON x.user_id = y.user_id AND x.ts > y.ts GROUP BY 1),
-n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
-SELECT user_id, n, coalesce(concordant, 0) AS concordant, coalesce(discordant, 0) AS discordant, CASE WHEN n > 1 THEN (concordant - discordant) / (n::double * (n::double - 1) / 2) ELSE 0 END AS tau FROM n LEFT JOIN p USING (user_id)""",
+n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+tx AS (SELECT user_id, sum(c * (c - 1) / 2)::double AS tx FROM (SELECT user_id, ts, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1), ty AS (SELECT user_id, sum(c * (c - 1) / 2)::double AS ty FROM (SELECT user_id, value, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT user_id, n, coalesce(concordant, 0) AS concordant, coalesce(discordant, 0) AS discordant, sqrt((n::double * (n::double - 1) / 2 - tx) * (n::double * (n::double - 1) / 2 - ty)) AS size FROM n LEFT JOIN p USING (user_id) JOIN tx USING (user_id) JOIN ty USING (user_id))
+SELECT user_id, n, concordant, discordant, CASE WHEN size > 0 THEN (concordant - discordant) / size ELSE 0 END AS tau FROM z""",
         "rank_pair_accuracy": "SELECT user_id, count(*) AS total_pairs, count(*) FILTER (b < value) AS correct_pairs, count(*) FILTER (b < value) / count(*)::double AS accuracy FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NOT NULL GROUP BY 1",
         "greedy_matching": """WITH v AS (SELECT label, vec_id, embedding::double[] AS e FROM embeddings),
 c AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),

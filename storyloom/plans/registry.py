@@ -17,6 +17,7 @@ from storyloom.functions import text as tx
 from storyloom.functions import timex
 from storyloom.functions import vectors as vx
 from storyloom.operators import align, annotate, consolidate, evaluate, generate, graph, segments
+from storyloom.operators.tables import settle
 from storyloom.plans import fixtures as fx
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,7 +106,7 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_offsets(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "documents").select("doc_id", tx.places("text", tx.WORD).alias("p"))
+    rows = _table(spark, d, "documents").select("doc_id", tx.word_places("text").alias("p"))
     total = lambda f: F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x[f])
     return rows.select("doc_id", F.size("p").cast("long").alias("n"), total("start").alias("sum_start"), total("end").alias("sum_end"))
 
@@ -334,9 +335,21 @@ def tlink_gather(spark: SparkSession, d: str) -> DataFrame:
     return align.gather_links(align.group_ids(align.best_matches(events), events), links)
 
 
+@query
+def align_with_pericopes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that some row of the timetable has in common are near; the timetable knows two of the three."""
+    pericopes = align.parallel_pericopes(_timetable(spark, d), ["user", "assistant"], "description")
+    return align.best_matches(annotate.events(_roles(spark, d)), pericopes)
+
+
 @query
 def conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return align.conflicts(spark.createDataFrame(fx.GROUP_LINKS, fx.GROUP_LINKS_SCHEMA))
+    """Fixtures, and a user's kinds of events that follow each other, as four accounts tell them."""
+    links = _timeline(spark, d).select("event_id", "event_type", "rel_type", F.col("related_to_event").cast("long").alias("_next"), "ord")
+    events = _table(spark, d, "events").select(F.col("event_id").alias("_next"), F.col("event_type").alias("next_type"), "user_id")
+    links = links.join(events, "_next").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("group_id"), F.col("event_type").alias("event_id"), F.col("next_type").alias("related_to_event"), "rel_type", F.concat(F.lit("d"), (F.col("ord") % 4).cast("string")).alias("doc_id"), F.col("ord").cast("long").alias("ord"))
+    fixed = spark.createDataFrame(fx.GROUP_LINKS, fx.GROUP_LINKS_SCHEMA).withColumn("ord", F.col("ord").cast("long"))
+    return align.conflicts(fixed.unionByName(links))
 
 
 # Consolidation
@@ -375,6 +388,29 @@ def macro_events(spark: SparkSession, d: str) -> DataFrame:
     return _macro(spark, d).select("id", "text", "description", _joined("original_events").alias("original_events"), "chronology_index", "num_source_texts", _joined("source_docs").alias("source_docs"), "day")
 
 
+def _parted(spark: SparkSession, d: str) -> DataFrame:
+    """References with parts: users from the second half of a conversation's first verse into the next one's second, assistants
+    the first half of a verse."""
+    at = (F.col("conv_id") + 1).cast("string")
+    refs_of = {"user": F.concat(at, F.lit(":1b-"), (F.col("conv_id") + 2).cast("string"), F.lit(":2a")), "assistant": F.concat(at, F.lit(":2a"))}
+    rows = _table(spark, d, "conversations").select("conv_id").distinct()
+    cells = F.array(*(F.struct(F.lit(r).alias("doc_id"), F.lit(i).alias("doc_ord"), ref.alias("ref")) for i, (r, ref) in enumerate(refs_of.items())))
+    return rows.select(F.col("conv_id").cast("int").alias("chronology_index"), F.explode(cells).alias("c")).select("chronology_index", "c.*")
+
+
+@query
+def part_ranges(spark: SparkSession, d: str) -> DataFrame:
+    verses = _roles(spark, d)
+    rows = consolidate.accounts(_parted(spark, d), annotate.events(verses), consolidate.verse_texts(verses))
+    return rows.select("chronology_index", "doc_id", "text", _joined("event_ids").alias("event_ids"))
+
+
+@query
+def chapter_verse(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(r,) for r in fx.REFERENCES + fx.ODD_REFERENCES], "ref string").unionByName(_parted(spark, d).select("ref"))
+    return rows.select("ref", refs.chapter_verse(F.col("ref")).alias("p")).select("ref", "p.*")
+
+
 @query
 def macro_events_fixture(spark: SparkSession, d: str) -> DataFrame:
     verses, table = _fixture_verses(spark), spark.createDataFrame(fx.TIMETABLE, fx.TIMETABLE_SCHEMA)
@@ -415,8 +451,11 @@ def segment_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def topo_order(spark: SparkSession, d: str) -> DataFrame:
+    """The fixture's graph, and behind it the chain of the macro-events."""
+    macro = settle(_macro(spark, d).select("id", "chronology_index"))
     nodes, edges = spark.createDataFrame(fx.NODES, "id string, no int"), spark.createDataFrame(fx.EDGES, "src string, dst string")
-    return segments.narrative_order(nodes, edges, "no")
+    nodes = nodes.unionByName(macro.select("id", (F.col("chronology_index") + 100).alias("no")))
+    return segments.narrative_order(nodes, edges.unionByName(consolidate.chain_edges(macro).select("src", "dst")), "no")
 
 
 @query
@@ -592,7 +631,7 @@ def preview_rows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rgat_forward(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _ring(spark, d)
-    net = graph.network(64, len(consolidate.EDGE_TYPES), 8, hidden=16, layers=2, heads=4)
+    net = graph.network(64, len(consolidate.EDGE_TYPES), 8)
     out = graph.forward(nodes.select("no", "x"), edges, net)
     return out.select("no", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
@@ -600,13 +639,13 @@ def rgat_forward(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rgat_train(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the macro-events along their chain, by a network trained on it."""
-    macro = _macro(spark, d)
+    macro = settle(_macro(spark, d).select("id", "text", "chronology_index"))
     numbers = consolidate.number_nodes(macro, "chronology_index")
-    vecs = vx.hashed_dense(macro, ["id"]).join(numbers, "id").select("no", vx.pad(F.col("vec"), 64).alias("x"))
-    return graph.embed_nodes(vecs, consolidate.index_edges(numbers, consolidate.chain_edges(macro)), len(consolidate.EDGE_TYPES), hidden=32, layers=2, epochs=20)
+    vecs = vx.hashed_dense(macro, ["id"]).join(numbers, "id").select("no", vx.pad(F.col("vec"), vx.NODE_WIDTH).alias("x"))
+    return graph.embed_nodes(vecs, consolidate.index_edges(numbers, consolidate.chain_edges(macro)), len(consolidate.EDGE_TYPES))
 
 
 @query
 def index_edges(spark: SparkSession, d: str) -> DataFrame:
-    macro = _macro(spark, d)
+    macro = settle(_macro(spark, d).select("id", "chronology_index"))
     return consolidate.index_edges(consolidate.number_nodes(macro, "chronology_index"), consolidate.chain_edges(macro))

@@ -22,7 +22,7 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 def annotate_verses(verses: DataFrame) -> DataFrame:
     """verses with polarity, times and signals as arrays: a stateless projection of any stream or table."""
     times = F.concat(*(F.transform(tx.places("text", "(?iU)" + p), lambda s, k=k: F.struct(s["text"].alias("text"), F.lit(k).alias("timex3_type"), timex.normalise(s["text"]).alias("value"))) for p, k in timex.TIMEX_PATTERNS))
-    return verses.withColumn("polarity", tx.polarity("text")).withColumn("times", times).withColumn("signals", tx.places("text", annotate._SIGNAL))
+    return verses.withColumn("polarity", tx.polarity("text")).withColumn("times", times).withColumn("signals", tx.places("text", "(?iU)" + timex.SIGNAL_PATTERN))
 
 
 def windowed_counts(events: DataFrame, time_col: str, kind_col: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -116,6 +116,13 @@ def test_places_are_python_s(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.places("t", tx.WORD).alias("p"))
     want = {i: [(m.start(), m.end(), m.group()) for m in re.finditer(r"\w+", t)] for i, t in enumerate(texts)}
     assert {r.i: [tuple(x) for x in r.p] for r in df.collect()} == want
+    words = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", tx.word_places("t").alias("p"))
+    assert {r.i: [tuple(x) for x in r.p] for r in words.collect()} == want | {-1: []}
+
+
+def test_chapters_and_verses(spark):
+    for ref, want in [("21:19a", (21, 19)), ("15:18-16:4", (15, 18)), (" 3:5 ", (3, 5)), ("3:16 and more", (3, 16)), ("x 3:16", (0, 0)), ("", (0, 0)), (None, (0, 0))]:
+        assert tuple(one(spark, ref, lambda c: refs.chapter_verse(F.col(c) if isinstance(c, str) else c))) == want
 
 
 def test_sentences(spark):

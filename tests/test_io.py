@@ -1,5 +1,7 @@
 """Readers, writers and streams over small files of invented text."""
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,15 @@ def test_windows_drop_what_is_late(spark, tmp_path):
     assert got == {("2024-01-01 00:00:00", 2), ("2024-01-01 05:00:00", 2)}
 
 
+def test_the_entry_module_without_what_training_text_needs(monkeypatch):
+    import __spark_entry__ as entry
+    from storyloom.plans import oracle, registry
+
+    monkeypatch.setitem(sys.modules, "storyloom.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(registry.queries()) and set(entry.oracle_sql()) == set(oracle.oracle_sql())
+
+
 @pytest.mark.parametrize("name", ["entry", "queries", "oracle_sql"])
 def test_the_entry_module(name):
     import __spark_entry__ as entry

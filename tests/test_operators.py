@@ -135,6 +135,32 @@ def test_topological_order_and_cycles(spark):
     assert [r.id for r in segments.narrative_order(nodes, cycle, "no").orderBy("position").collect()] == list("abcdef")
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    """Ten thousand nodes in a row, with a detour, a branch and a second chain that joins."""
+    n = 10_000
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(n - 1)] + [("n10", "n13"), ("x0", "x1"), ("x1", "n5000"), ("n9999", "y")]
+    ids = [f"n{i}" for i in range(n)] + ["x0", "x1", "y", "alone"]
+    level = {f"n{i}": i for i in range(n)} | {"x0": 0, "x1": 1, "y": n, "alone": 0}
+    got = segments.topological_levels(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "src string, dst string"))
+    assert {r.id: r.level for r in got.collect()} == level
+
+
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(5)
+    for size in (1, 7, 40):
+        edges = [(a, b) for a in range(size) for b in range(a + 1, size) if rng.random() < 2 / size]
+        level = dict.fromkeys(range(size), 0)
+        for a, b in sorted(edges):
+            level[b] = max(level[b], level[a] + 1)
+        for _ in range(size):
+            for a, b in edges:
+                level[b] = max(level[b], level[a] + 1)
+        ring = [(100, 101), (101, 102), (102, 100)] if size == 7 else []
+        nodes = spark.createDataFrame([(i,) for i in [*range(size), *(a for a, _ in ring)]], "id int")
+        got = segments.topological_levels(nodes, spark.createDataFrame([*edges, *ring, (0, 0)], "src int, dst int"))
+        assert {r.id: r.level for r in got.collect()} == level
+
+
 def plain_distinct(sentences, threshold, most=None):
     kept = []
     for s in sentences:
@@ -230,6 +256,75 @@ def test_kendall_and_pairs(spark):
     assert (pair.total_pairs, pair.correct_pairs) == (4, 3)
 
 
+def test_kendall_is_all_pairs_whatever_the_tiles(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(60), rng.randrange(40)) for _ in range(700)] + [(None, i, -i) for i in range(5)] + [("one", 1, 1), ("tied", 1, 2), ("tied", 1, 3)]
+    frame = spark.createDataFrame([*rows, ("one", None, 3)], "g string, x int, y int")
+    for tile in (50, 65_536):
+        got = {r.g: r for r in evaluate.kendall_tau(frame, ["g"], "x", "y", tile).collect()}
+        for g in ("hot", "one", "tied"):
+            own = [(x, y) for k, x, y in rows if k == g]
+            pairs = [((a[0] - b[0]), (a[1] - b[1])) for i, a in enumerate(own) for b in own[:i]]
+            up, down = sum(p * q > 0 for p, q in pairs), sum(p * q < 0 for p, q in pairs)
+            size = (sum(p != 0 for p, _ in pairs) * sum(q != 0 for _, q in pairs)) ** 0.5
+            assert (got[g].n, got[g].concordant, got[g].discordant) == (len(own), up, down) and np.isclose(got[g].tau, (up - down) / size if size else 0)
+    whole = evaluate.kendall_tau(frame.filter("g = 'hot'"), [], "x", "y", 100).collect()
+    assert len(whole) == 1 and whole[0].concordant == got["hot"].concordant
+
+
+def test_greedy_matching_by_tiles_and_rescaled(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(30, 4)), rng.normal(size=(20, 4))
+    a[3] = 0
+    one = spark.createDataFrame([("g", v.tolist()) for v in a] + [("lone", [1.0] * 4), ("g", None)], "g string, vec array<double>").repartition(3)
+    two = spark.createDataFrame([("g", v.tolist()) for v in b], "g string, vec array<float>")
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    like = unit(a) @ unit(b.astype(np.float32).astype(float)).T
+    p, r = like.max(axis=1).mean(), like.max(axis=0).mean()
+    for tile in (7, 2048):
+        row, *more = evaluate.greedy_matching(one, two, ["g"], tile_rows=tile).collect()
+        assert not more and np.allclose([row.precision, row.recall, row.f1], [p, r, 2 * p * r / (p + r)])
+    row = evaluate.greedy_matching(one, two, ["g"], baseline=(0.2, 0.3, 0.25)).first()
+    assert np.allclose([row.precision, row.recall, row.f1], [(p - 0.2) / 0.8, (r - 0.3) / 0.7, (2 * p * r / (p + r) - 0.25) / 0.75])
+    assert evaluate.greedy_matching(one.filter("g = 'g'").drop("g"), two.drop("g"), []).count() == 1
+
+
+def test_a_language_model_can_be_plugged_into_annotation(spark):
+    def load():
+        def verbs(texts):
+            known = {"He will go. He said it. He said it.": [("He will go.", "go", "go", None, None, True), ("He said it.", "said", "say", "Past", "", False), (" He said it.", "said", "say", "Past", "", False)], "They are singing.": [("They are singing.", "are", "be", "Pres", "Prog", False)]}
+            return [known.get(t) for t in texts]
+
+        return verbs
+
+    rows = spark.createDataFrame([("d", 0, 1, 1, "He will go. He said it. He said it."), ("d", 1, 1, 2, "No verbs"), ("d", 2, 1, 3, "They are singing."), ("e", 0, 1, 1, None)], VERSE)
+    got = [(r.id, r.text, r.event_class, r.tense, r.aspect, r.verb_lemma) for r in annotate.model_events(rows, load).orderBy("id").collect()]
+    assert got == [("d_e0", "He will go.", "OCCURRENCE", "FUTURE", "NONE", "go"), ("d_e1", "He said it.", "REPORTING", "PAST", "PERFECTIVE", "say"), ("d_e2", "They are singing.", "STATE", "PRESENT", "PROGRESSIVE", "be")]
+    assert annotate.subordination_links(annotate.model_events(rows, load)).count() == 0
+
+
+def test_named_entities_come_before_patterns(spark):
+    def load():
+        return lambda texts: [[(3, 15, "DATE"), (3, 15, "TIME"), (0, 2, "PERSON"), (20, 24, "TIME")] if t.startswith("On") else None for t in texts]
+
+    rows = spark.createDataFrame([("d", 0, 1, 1, "On the next day and noon, after three days"), ("d", 1, 1, 2, "in the morning")], VERSE)
+    got = [(r.id, r.text, r.timex3_type, r.value) for r in annotate.time_expressions(rows, load).orderBy("seq").collect()]
+    assert got == [("d_t0", "the next day", "DATE", "+P1D"), ("d_t1", "noon", "TIME", None), ("d_t2", "three days", "DURATION", "P3D"), ("d_t3", "morning", "DATE", None)]
+
+
+def test_generators_are_tried_one_after_the_other(spark):
+    text = "A " + "word " * 900 + f"end. {generate.tx.DOC_SEP} Another account is here."
+    rows = spark.createDataFrame([(i, 1, "Monday", i, "d", "Monday", 2 if i < 4 else 1, ["a", "b"], text if i < 4 else "alone") for i in range(5)], "id int, seg_rank int, label string, chronology_index int, description string, day string, num_source_texts int, source_docs array<string>, text string")
+    rows = rows.withColumn("id", F.col("id").cast("string"))
+    n = F.col("chronology_index")
+    first = lambda c: F.when(n == 0, F.lit("merge them. it was so")).when(n == 1, F.lit("  "))
+    second = lambda c: F.when((n < 3) & c.isNotNull(), F.concat(F.lit("Short "), F.length(c).cast("string")))
+    got = {r.event_id: r for r in generate.consolidation_log(rows, [first, second]).collect()}
+    assert [got[str(i)].actual_method for i in range(5)] == ["generator", "generator_2", "generator_2", "extractive", "single_source"]
+    assert got["1"].consolidated_text == "Short 4000." and got["3"].consolidated_text.startswith("A") and got["4"].consolidated_text == "alone"
+    assert all(r.consolidated_text for r in got.values())
+
+
 def test_graph_layer_is_the_plain_one(spark):
     rng = np.random.default_rng(0)
     n, width = 6, 8
@@ -283,7 +378,7 @@ def test_gradients_are_the_slopes():
             assert np.isclose((slopes[0] - slopes[1]) / 2e-5, g[at], rtol=1e-3, atol=1e-7)
 
 
-def test_training_lowers_the_loss_and_runs_as_frames(spark):
+def test_training_lowers_the_loss_and_runs_as_frames(spark, monkeypatch):
     x, edges = _small_graph()
     net, course = graph.train(x, edges, 9, hidden=16, layers=2, heads=4, epochs=30)
     again, _ = graph.train(x, edges, 9, hidden=16, layers=2, heads=4, epochs=30)
@@ -295,6 +390,9 @@ def test_training_lowers_the_loss_and_runs_as_frames(spark):
     assert all(np.allclose(got[i], want[i]) for i in range(10))
     made = {r.no: r.x for r in graph.embed_nodes(nodes, links, 9, hidden=16, layers=2, heads=4, epochs=30).collect()}
     assert all(np.allclose(made[i], want[i]) for i in range(10))
+    with pytest.raises(ValueError, match="train on a part"):
+        monkeypatch.setattr(graph, "MOST_NODES", 9)
+        graph.embed_nodes(nodes, links, 9)
     score = graph.losses(nodes, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(want)], "no int, x array<double>"), links).first()
     assert np.isclose(score.loss, graph.loss_and_gradients(net, x, edges)[0])
 
