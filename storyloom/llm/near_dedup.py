@@ -5,8 +5,9 @@
 2. The forest: TREES orders, each by DEPTH minima of its own. Rows are sorted by (tree, minima); rows that share at least
    the first minimum form a region, and their neighbours by longest common prefix are candidates. A region of more than
    REGION_ROWS goes down to the depth at which its parts are smaller, so copies in any number cost a bounded buffer; a
-   shorter one is never cut. Rows of a cut region are compared once more, in the orders that start with each of their
-   other minima, where those regions are short (FURTHER).
+   shorter one is never cut. A region that is cut is gone through twice, with other cuts and other borders between tasks,
+   so neighbours on both sides of one meet in the other; and its rows are compared once more, in the orders that start
+   with each of their other minima, where those regions are short (FURTHER).
 3. In a region, rows whose signatures agree enough (SIGMAS standard deviations below the threshold) are candidates: a
    maximum spanning forest and each row's nearest others, not all pairs. Their components are the clusters, outside of
    which no two texts can be linked.
@@ -166,9 +167,9 @@ def candidates(firsts: DataFrame, least: float) -> DataFrame:
         """tree, head of the regions that are too long: one in REGION_ROWS of the rows at most."""
         return written(rows.groupBy("tree", "head").agg(F.count("*").alias("n")).filter(F.col("n") > REGION_ROWS).select("tree", "head"), "regions")
 
-    def pairs(rows: DataFrame) -> DataFrame:
+    def pairs(rows: DataFrame, shifted: bool = False) -> DataFrame:
         rows = rows.select("tree", "order", "marks", "doc_id").sortWithinPartitions("tree", "order", "doc_id")
-        return rows.mapInArrow(tidy(_region_rows(least)), "a bigint, b bigint")
+        return rows.mapInArrow(tidy(_region_rows(least, shifted)), "a bigint, b bigint")
 
     firsts = firsts.select("doc_id", "orders", "marks").filter(F.length("orders") == size)
     tree = dealt(firsts, list(range(0, TREES * DEPTH, DEPTH)))
@@ -178,7 +179,10 @@ def candidates(firsts: DataFrame, least: float) -> DataFrame:
     parts = tree.join(cut, ["tree", "head"], "left_semi")
     more = dealt(firsts.join(parts.select("doc_id").distinct(), "doc_id", "left_semi"), FURTHER)
     whole = tree.join(cut, ["tree", "head"], "left_anti").unionByName(more.join(long(more), ["tree", "head"], "left_anti"))
-    return pairs(whole.repartition("tree", "head")).unionByName(pairs(parts.repartitionByRange("tree", "order")))
+    n = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = pairs(parts.repartitionByRange(n, "tree", "order"))
+    two = pairs(parts.repartitionByRange(2 * n + 1, "tree", "order"), shifted=True)  # other borders, other cuts
+    return pairs(whole.repartition("tree", "head")).unionByName(one).unionByName(two)
 
 
 def _near_pairs(ids: np.ndarray, marks: np.ndarray, least: float) -> set[tuple[int, int]]:
@@ -205,18 +209,25 @@ def _near_pairs(ids: np.ndarray, marks: np.ndarray, least: float) -> set[tuple[i
     return {(min(names[a], names[b]), max(names[a], names[b])) for a, b in pairs}
 
 
-def _region_rows(least: float):
-    """Rows sorted by tree and order: the candidates a < b of each region."""
+def _region_rows(least: float, shifted: bool = False):
+    """Rows sorted by tree and order: the candidates a < b of each region.
+
+    shifted: the first part of a region that is cut is half as long, so its cuts lie elsewhere.
+    """
     most = REGION_ROWS
+    begun: tuple[int, int] | None = None  # the region that was cut last
 
     def cut(rows: tuple[np.ndarray, ...], final: bool) -> tuple[list, tuple[np.ndarray, ...]]:
         """Pairs of the regions that have ended, and the rows of the one that may go on."""
+        nonlocal begun
         key, ids, marks = rows
         found: list[tuple[int, int]] = []
         starts = np.concatenate([[0], np.flatnonzero((key[1:, :2] != key[:-1, :2]).any(axis=1)) + 1, [len(ids)]]).tolist()
         for a, b in zip(starts, starts[1:], strict=False):
             while b - a > most:  # go down to the depth at which the part that is still open is shorter
-                c = a + most
+                here = (int(key[a, 0]), int(key[a, 1]))
+                c = a + (most // 2 if shifted and begun != here else most)
+                begun = here
                 width = next((d for d in range(3, key.shape[1] + 1) if (key[a, :d] != key[c, :d]).any()), 0)
                 if width:
                     c = a + int(np.flatnonzero((key[a : c + 1, :width] != key[c, :width]).any(axis=1))[-1]) + 1

@@ -150,7 +150,11 @@ def hits(text: str, automaton: LexiconAutomaton) -> tuple[int, list[tuple[str, i
     if all(automaton.match(w)[0] < 0 for w in set(words)):
         return len(words), []
     spans = [m.span() for m in _WORD.finditer(low)]
-    same = len(low) == len(text)  # lower-casing may change lengths
+    if len(low) != len(text):  # lower-casing changes lengths: where each of its characters comes from
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+        places = [(origin[a], origin[b - 1] + 1) for a, b in spans]
+    else:
+        places = spans
     marks = [i for i, c in enumerate(low) if c in _QUOTES]
     out = []
     for i, w in enumerate(words):
@@ -160,7 +164,7 @@ def hits(text: str, automaton: LexiconAutomaton) -> tuple[int, list[tuple[str, i
             before = bisect_left(marks, spans[i][0]) - bisect_left(marks, spans[a][0])
             after = bisect_right(marks, spans[b - 1][1]) - bisect_left(marks, spans[i][1])
             quoted = bool(before % 2 and after) or not _QUOTING.isdisjoint(words[a:b])
-            out.append((term, *(spans[i] if same else (-1, -1)), e, quoted))
+            out.append((term, *places[i], e, quoted))
     return len(words), out
 
 
@@ -317,7 +321,7 @@ def _score_rows(model: Model):
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), terms (term, start, end, edits, quoted; -1 where lower-casing moves characters)."""
+    """doc_id, score (0 to 1), terms (term, start, end, edits, quoted; places in the text as it is)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(tidy(_score_rows(model)), f"doc_id {kind}, score double, terms array<struct<term:string,start:int,end:int,edits:int,quoted:boolean>>")

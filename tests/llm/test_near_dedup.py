@@ -146,3 +146,41 @@ def test_keep_first_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, text, "a", "b", "c", "d"), (2, text, "e", "f", "g", "h"), (3, "own words", *"ijkl")], "doc_id long, text string, _part string, _words string, _maybe string, _gone string")
     out = nd.keep_first(docs)
     assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [(1, text, *"abcd"), (3, "own words", *"ijkl")]
+
+
+def _rows_of_one_region(n, pairs, rng):
+    """Rows that share their first minimum; some have a partner whose marks are alike in 85 %, and other minima at random."""
+    ids = list(range(n))
+    rng.shuffle(ids)
+    marks = {i: np.array([rng.randrange(256) for _ in range(nd.MINIMA)], np.uint8) for i in ids}
+    order = {i: [7] + [rng.randrange(1 << 20) for _ in range(nd.DEPTH - 1)] for i in ids}
+    mates = [(ids[2 * k], ids[2 * k + 1]) for k in range(pairs)]
+    for a, b in mates:
+        marks[b] = np.where([rng.random() < 0.85 for _ in range(nd.MINIMA)], marks[a], marks[b]).astype(np.uint8)
+        if rng.random() < 0.8:
+            order[b][1] = order[a][1] + 2500  # two or three rows further
+    return sorted((0, *order[i], i) for i in ids), marks, {(min(p), max(p)) for p in mates if order[p[0]][1] + 2500 == order[p[1]][1]}
+
+
+def test_neighbours_across_cuts_and_borders_meet(monkeypatch):
+    """A region of 20 times the rows that are compared at once, in two partitions: with one way of cutting, pairs on both
+    sides are lost; with the other, too, but not the same."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nd, "REGION_ROWS", 48)
+    rng = random.Random(8)
+    rows, marks, mates = _rows_of_one_region(960, 400, rng)
+
+    def found(shifted, borders):
+        out = set()
+        for a, b in zip([0, *borders], [*borders, len(rows)], strict=True):
+            part = rows[a:b]
+            order = [np.array(r[1:-1], ">u4").tobytes() for r in part]
+            batch = pa.RecordBatch.from_arrays([pa.array([0] * len(part), pa.int32()), pa.array(order, pa.binary()), pa.array([marks[r[-1]].tobytes() for r in part], pa.binary()), pa.array([r[-1] for r in part], pa.int64())], names=["tree", "order", "marks", "doc_id"])
+            for got in nd._region_rows(nd.margin(0.8), shifted)(iter([batch])):
+                out |= set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+        return out
+
+    one, two = found(False, [500]), found(True, [333, 700])
+    assert len(mates - one) > 0 and len(mates - two) > 0
+    assert len(mates - one - two) <= 0.01 * len(mates)

@@ -99,3 +99,10 @@ def test_held_out_accuracy_on_the_table(spark):
     import zlib
 
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.select("doc_id", "held_out").collect())
+
+
+def test_places_where_lower_casing_changes_lengths():
+    automaton = tx.LexiconAutomaton({"grobbler": (1.0, 1)})
+    text = "İİ Grobbler İ, grobblr"
+    _, found = tx.hits(text, automaton)
+    assert [(text[a:b], e) for _, a, b, e, _ in found] == [("Grobbler", 0), ("grobblr", 1)]
