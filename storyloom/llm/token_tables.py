@@ -36,7 +36,7 @@ import math
 import struct
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,9 @@ _ID_BYTES = 0.6
 _INDEX, _TAIL, _FOOTER = struct.Struct("<8sQIIB"), struct.Struct("<IQB"), struct.Struct("<QQIIQQIB")
 #: Words whose ids a worker remembers before it starts over.
 _CACHE_WORDS = 1_000_000
+#: Characters of text whose words are learned together.
+_TOGETHER = 1_000_000
+_MARKS = ".,;:!?"
 
 
 def key_of(doc_id: int) -> bytes:
@@ -247,8 +250,10 @@ class _Encoder:
     """Ids of texts as bytes. Words between spaces and line ends are encoded once while a worker remembers them: white
     space parts the tokenizer's words, so a text's ids are those of its words one after the other.
 
-    New words of letters alone are given to the tokenizer many at a time, and told apart by the tokens that end a word;
-    if their number isn't that of the words, or the vocabulary has no such tokens, each is encoded by itself.
+    New words of many texts are learned together. Those of letters alone are given to the tokenizer many at a time, and
+    told apart by the tokens that end a word; if their number isn't that of the words, or the vocabulary has no such tokens,
+    each is encoded by itself. A word of letters with marks behind it is put together from both, where the tokenizer parts
+    them so.
     """
 
     _last: _Encoder | None = None
@@ -265,6 +270,8 @@ class _Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool) if suffix else None
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.parts_marks = all(one(w + m) == one(w) + one(m) for w in ("word", "Étés", "漢字") for m in (*_MARKS, "...", "?!"))
 
     @classmethod
     def of(cls, tokenizer: str, width: int) -> _Encoder:
@@ -277,10 +284,21 @@ class _Encoder:
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.array(got.ids, self.kind).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
-        self._apart([w for w in words if not w.isalpha()] if letters else words)
-        groups = [letters[i : i + 100] for i in range(0, len(letters), 100)]
+    def _learn(self, words: Iterable[str]) -> None:
+        letters, marked, rest = set(), [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if self.ends is not None and w.isalpha():
+                letters.add(w)
+            elif self.ends is not None and self.parts_marks and core != w and core.isalpha() and core.lower().isalpha():
+                marked.append((w, core, w[len(core) :]))
+                letters.add(core)
+                rest.append(w[len(core) :])
+            else:
+                rest.append(w)
+        self._apart([w for w in set(rest) if w not in self.known])
+        plain = [w for w in letters if w not in self.known]
+        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
@@ -289,17 +307,29 @@ class _Encoder:
                 continue
             raw, size = ids.tobytes(), ids.itemsize
             self.known.update(zip(group, [raw[a * size : b * size] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-
-    def __call__(self, texts: Iterator[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > _CACHE_WORDS:
-                    self.known, new = {}, set(words)
-                self._learn(list(new))
+        known = self.known
+        known.update((w, known[core] + known[marks]) for w, core, marks in marked)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        parted = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*parted).difference(self.known)
+        if new and len(self.known) + len(new) > _CACHE_WORDS:
+            self.known, new = {}, set().union(*parted)
+        self._learn(new)
+        for words in parted:
             yield b"".join(map(self.known.__getitem__, words))
 
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        held, chars = [], 0
+        for t in texts:
+            held.append(t)
+            chars += len(t)
+            if chars >= _TOGETHER:
+                yield from self._together(held)
+                held, chars = [], 0
+        if held:
+            yield from self._together(held)
+
 
 def _check(tokenizer) -> None:
     """Refuses a tokenizer for which a text's ids aren't those of its words one after the other."""
