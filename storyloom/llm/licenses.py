@@ -3,9 +3,9 @@
 1. A text's segments (lines and sentences) that hold an anchor word, as every template does, are compared with the
    templates: different segments once, token by token, by an equi-join with the templates' weights. The cosine is over all
    tokens of a segment; tokens that no template has weigh as the rarest. The best template of MIN_COSINE or more counts.
-2. A file's own license is that of its best segment. A license file is one that bears a license name, or that has an own
-   license and at most FILE_WORDS words: its directory and what lies below have its license. Of several in a directory,
-   that with the smallest name counts.
+2. A file's own license is that of its best segment. A license file is one with an own license that bears a license name:
+   its directory and what lies below have its license. Where names tell nothing, the caller may let texts with an own
+   license and at most `file_words` words count, too. Of several in a directory, that with the smallest name counts.
 3. Other files take the license of the nearest directory above them that has one: different directories are exploded into
    their ancestors, joined with the licensed ones, and the deepest kept, so a directory of many files is one row.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import written
 
-MIN_COSINE, FILE_WORDS = 0.6, 80
+MIN_COSINE = 0.6
 ANCHOR = r"licen[cs]e|copyright|copying|permission|public domain|warrant|redistribut"
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 SPLIT = r"[.!?][ \t\r\n]+|\n"
@@ -97,7 +97,7 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, file_words: int = 0) -> DataFrame:
     """doc_id, path, own_license, own_score, license, origin (own, directory or none), license_dir (if inherited)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = F.filter(F.split(text, SPLIT), lambda s: F.lower(s).rlike(ANCHOR))
@@ -111,7 +111,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     own = written(own.select("doc_id", "path", "words", "own_license", "own_score", _directory(F.col("path")).alias("dir")), "own")
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    bears = F.col("own_license").isNotNull() & F.col("path").isNotNull() & ((F.col("words") <= FILE_WORDS) | name.rlike(LICENSE_NAME))
+    bears = F.col("own_license").isNotNull() & F.col("path").isNotNull() & ((F.col("words") <= file_words) | name.rlike(LICENSE_NAME))
     licensed = own.filter(bears).groupBy("dir").agg(F.min(F.struct("path", "own_license")).alias("b")).select(F.col("dir").alias("at"), F.col("b.own_license").alias("inherited"))
     dirs = own.filter("path is not null and own_license is null").select("dir").distinct()
     parts = F.split("dir", "/")
@@ -124,7 +124,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     return out.select("doc_id", "path", "own_license", "own_score", F.when(takes, F.col("inherited")).otherwise(F.col("own_license")).alias("license"), origin.alias("origin"), F.when(takes, F.col("license_dir")).alias("license_dir"))
 
 
-def oracle(templates: list[tuple[str, str]] = TEMPLATES) -> str:
+def oracle(file_words: int, templates: list[tuple[str, str]] = TEMPLATES) -> str:
     """The same rows for DuckDB, over documents with the paths of document_path()."""
     rows, unknown = template_weights(templates)
     quoted = ", ".join(f"('{n}', {i}, '{t}', {idf!r}::double, {w!r}::double)" for n, i, t, idf, w in rows)
@@ -149,7 +149,7 @@ own AS (
 f AS (
   SELECT doc_id, path, own_license, own_score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS words
   FROM files LEFT JOIN own USING (doc_id)),
-lic AS (SELECT dir AS spot, min_by(own_license, path) AS inherited FROM f WHERE own_license IS NOT NULL AND words <= {FILE_WORDS} GROUP BY 1),
+lic AS (SELECT dir AS spot, min_by(own_license, path) AS inherited FROM f WHERE own_license IS NOT NULL AND words <= {file_words} GROUP BY 1),
 near AS (
   SELECT dir, spot, inherited, row_number() OVER (PARTITION BY dir ORDER BY length(spot) DESC) AS r
   FROM (SELECT DISTINCT dir FROM f) d JOIN lic ON d.dir = lic.spot OR starts_with(d.dir, lic.spot || '/'))

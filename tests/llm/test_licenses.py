@@ -40,6 +40,12 @@ def test_own_and_inherited(spark):
     }
 
 
+def test_short_texts_are_license_files_only_if_asked(spark):
+    files = spark.createDataFrame([(1, "/a/note", "Released under the MIT License."), (2, "/a/b/c", "x")], "doc_id long, path string, text string")
+    licensed = lambda n: {r.doc_id: r.license for r in licenses.scan(files, file_words=n).collect()}
+    assert licensed(0) == {1: "MIT", 2: None} and licensed(80) == {1: "MIT", 2: "MIT"}
+
+
 def test_scores_are_those_of_all_templates(spark):
     segments = ["Licensed under CC BY-SA 4.0", "Released under MIT License by me", "licence of nothing at all", "Permission granted, free of charge, to any person", "license license license MIT"]
     got = {r.segment: (r.license, r.score) for r in licenses.score_segments(spark.createDataFrame([(s,) for s in segments], "segment string")).collect()}
