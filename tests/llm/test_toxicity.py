@@ -1,7 +1,12 @@
+import math
+import re
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.llm import toxicity as tx
+from storyloom.llm.queries import op1_toxicity
 
 from .conftest import words
 
@@ -106,3 +111,45 @@ def test_places_where_lower_casing_changes_lengths():
     text = "İİ Grobbler İ, grobblr"
     _, found = tx.hits(text, automaton)
     assert [(text[a:b], e) for _, a, b, e, _ in found] == [("Grobbler", 0), ("grobblr", 1)]
+
+
+def nearest(word, terms):
+    near = []
+    for term, (weight, room) in terms.items():
+        if term.endswith("*"):
+            near += [(0, term, weight)] if word.startswith(term[:-1]) else []
+        elif abs(len(term) - len(word)) <= room and (e := distance(word, term)) <= room:
+            near.append((e, term, weight))
+    return min(near, default=None)
+
+
+def plain_score(text, model, known):
+    """The score of a text, with every word held against every term, and windows and quotation marks counted by hand."""
+    low = (text or "").lower()
+    words = list(re.finditer(r"\w+", low))
+    used = quoted = 0.0
+    for i, m in enumerate(words):
+        if m[0] not in known:
+            known[m[0]] = nearest(m[0], model.terms)
+        if known[m[0]]:
+            e, _, weight = known[m[0]]
+            around = words[max(0, i - 6) : i + 7]
+            marks = lambda a, b: sum(c in "\"“”„«»‹›" for c in low[a:b])
+            said = (marks(around[0].start(), m.start()) % 2 == 1 and marks(m.end(), around[-1].end()) > 0) or any(w[0] in tx._QUOTING for w in around)
+            value = weight * (0.5 if e else 1)
+            used, quoted = used + value * (not said), quoted + value * said
+    x = (math.log1p(used), math.log1p(quoted), math.log1p(300 * used / max(50, len(words))))
+    z = model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], x, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_of_a_whole_table_are_those_of_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    model = tx.learn(docs, labels.filter(~tx.held_out()))
+    assert model.terms and model.weights
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows, known = op1_toxicity(spark, SF).collect(), {}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.score, plain_score(texts[r.doc_id], model, known), abs_tol=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
