@@ -176,7 +176,7 @@ def candidates(firsts: DataFrame, least: float) -> DataFrame:
     cut = long(tree)
     if cut.isEmpty():
         return pairs(tree.repartition("tree", "head"))
-    parts = tree.join(cut, ["tree", "head"], "left_semi")
+    parts = written(tree.join(cut, ["tree", "head"], "left_semi"), "parts")  # read three times
     more = dealt(firsts.join(parts.select("doc_id").distinct(), "doc_id", "left_semi"), FURTHER)
     whole = tree.join(cut, ["tree", "head"], "left_anti").unionByName(more.join(long(more), ["tree", "head"], "left_anti"))
     n = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
