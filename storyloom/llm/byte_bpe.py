@@ -7,9 +7,13 @@ by position. A word that is everywhere is one entry a block, so no task is hot.
 bucket in one row, ids as 16 bits where the vocabulary allows, positions by descending frequency, all under zstd. A block
 has at most BUCKETS rows of words, whatever the number of tasks.
 
-Texts are read and parted once: positions go along through the shuffle of words. A block's key is a digest of its words,
-so a lost task that is run again gives the same rows; if the input isn't deterministic, the last step finds ids missing and
-fails rather than giving wrong ids.
+Texts are read and parted once, and positions are shuffled once: they are dealt by block in the same exchange as the words,
+of which one side reads the words and sends their ids on, by block, and the other reads the positions where they lie. Where
+spark.sql.exchange.reuse is off, each side parts the texts for itself.
+
+A block's key is a digest of its words and its place in the input, so a lost task that is run again gives the same rows; if
+the input isn't deterministic, the last step finds ids missing and fails rather than giving wrong ids. Blocks of the same
+words have keys of their own, so they aren't gathered in one task.
 
 Edge cases: null text counts as empty, empty text has no ids; null identifiers and repeated rows are kept row by row; an
 empty table gives an empty result; other columns are ignored.
@@ -21,17 +25,19 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import tidy, values
+from storyloom.llm.common import give_back, tidy, values
 
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 4_000_000
@@ -39,7 +45,7 @@ BLOCK_CHARS = 4_000_000
 BUCKETS = 2048
 #: Words of a bucket that a task remembers; beyond that it starts over, and words that come again are encoded again.
 KNOWN_WORDS = 1_000_000
-#: Bucket number of a block's documents: they sort behind its words.
+#: Bucket number of a block's documents.
 _DOCS = 1 << 30
 
 
@@ -83,7 +89,7 @@ def _bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
 class _Block:
     """The words of one block in order of frequency, and its documents as positions in that list."""
 
-    def __init__(self, ids: list, texts: list[str], pattern: regex.Pattern):
+    def __init__(self, ids: list, texts: list[str], pattern: regex.Pattern, place: tuple[int, int]):
         index: dict[str, int] = {}
         found = [np.fromiter((index.setdefault(w, len(index)) for w in pattern.findall(t)), np.int32) for t in texts]
         flat = np.concatenate(found) if found else np.zeros(0, np.int32)
@@ -96,7 +102,7 @@ class _Block:
         del found
         self.positions = rank[flat]
         self.words = [names[i].encode("utf-8") for i in by.tolist()]
-        digest = hashlib.blake2b(digest_size=16)
+        digest = hashlib.blake2b(b"%d %d " % place, digest_size=16)
         lengths = np.fromiter(map(len, self.words), np.uint32, len(self.words))
         digest.update(lengths.tobytes())
         digest.update(b"".join(self.words))
@@ -105,19 +111,21 @@ class _Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]:
     compiled = regex.compile(pattern)
+    task = TaskContext.get()
+    places = ((task.partitionId() if task else 0, n) for n in count())
     ids, texts, chars = [], [], 0
     for batch in batches:
         for i, t in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             t = t or ""
             if texts and chars + len(t) > BLOCK_CHARS:
-                block = _Block(ids, texts, compiled)
+                block = _Block(ids, texts, compiled, next(places))
                 ids, texts, chars = [], [], 0  # the block doesn't need the texts
                 yield block
             ids.append(i)
             texts.append(t)
             chars += len(t)
     if texts:
-        block = _Block(ids, texts, compiled)
+        block = _Block(ids, texts, compiled, next(places))
         del ids, texts
         yield block
 
@@ -140,7 +148,8 @@ def _unpack_words(blob: bytes) -> list[bytes]:
 
 def _block_rows(pattern: str, buckets: int, id_type: pa.DataType) -> Callable:
     """For each block a row for each bucket of its words, the most frequent first, and one with the bucket of each word, the
-    positions, and the documents with their numbers of words. `deal` is what rows are dealt to tasks by."""
+    positions, and the documents with their numbers of words. `deal` is what rows are dealt to tasks by: the bucket of words,
+    the block of documents."""
     docs_type, sizes_type = pa.list_(id_type), pa.list_(pa.int32())
     names = ["block", "bucket", "deal", "payload", "docs", "sizes"]
 
@@ -151,12 +160,12 @@ def _block_rows(pattern: str, buckets: int, id_type: pa.DataType) -> Callable:
             kinds, starts = np.unique(bucket[by], return_index=True)
             ends, n = [*starts[1:].tolist(), len(by)], len(kinds)
             blobs = [_pack_words([block.words[i] for i in by[a:b].tolist()]) for a, b in zip(starts.tolist(), ends, strict=False)]
+            deal = pa.array([k.to_bytes(4, "little") for k in kinds.tolist()], pa.binary())
             kinds = pa.array(kinds.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([block.key] * n, pa.binary()), kinds, kinds, pa.array(blobs, pa.binary()), pa.nulls(n, docs_type), pa.nulls(n, sizes_type)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([block.key] * n, pa.binary()), kinds, deal, pa.array(blobs, pa.binary()), pa.nulls(n, docs_type), pa.nulls(n, sizes_type)], names=names)
             head = _planes(bucket)
             payload = len(head).to_bytes(4, "little") + head + _planes(block.positions)
-            deal = int.from_bytes(block.key[:3], "little")
-            cols = [pa.array([block.key], pa.binary()), pa.array([_DOCS], pa.int32()), pa.array([deal], pa.int32()), pa.array([payload], pa.binary()), pa.array([block.ids], docs_type), pa.array([block.sizes], sizes_type)]
+            cols = [pa.array([block.key], pa.binary()), pa.array([_DOCS], pa.int32()), pa.array([block.key], pa.binary()), pa.array([payload], pa.binary()), pa.array([block.ids], docs_type), pa.array([block.sizes], sizes_type)]
             del block, bucket, blobs
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -164,23 +173,18 @@ def _block_rows(pattern: str, buckets: int, id_type: pa.DataType) -> Callable:
 
 
 def _encode_rows(ranks) -> Callable:
-    """Rows sorted by bucket: each distinct word of a bucket is encoded once, whatever the number of its blocks; rows of
-    documents stay as they are."""
+    """Rows of words sorted by bucket: each distinct word of a bucket is encoded once, whatever the number of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={})
         at, known = None, {}
         for batch in batches:
             out = []
-            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                blob = blob.as_py()
-                if bucket == _DOCS:
-                    out.append(blob)
-                    continue
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 if bucket != at or len(known) > KNOWN_WORDS:
                     at, known = bucket, {}
                 got = []
-                for w in _unpack_words(blob):
+                for w in _unpack_words(blob.as_py()):
                     ids = known.get(w)
                     if ids is None:
                         ids = known[w] = core.encode_ordinary(w.decode("utf-8"))
@@ -189,7 +193,7 @@ def _encode_rows(ranks) -> Callable:
                 flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
                 head = _planes(sizes)
                 out.append(len(head).to_bytes(4, "little") + head + _planes(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(3), batch.column(4)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     return run
 
@@ -222,23 +226,19 @@ def _put_together(blob: bytes, sizes: list[int], parts: dict[int, tuple[np.ndarr
 
 
 def _finish_rows(finish: Callable, context) -> Callable:
-    """Rows sorted by block with the ids of its words first: finish(identifiers, id arrays, context) makes the result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, {}
-        for batch in batches:
-            key, bucket, payload, docs, sizes = (batch.column(i) for i in range(5))
-            for r in range(batch.num_rows):
-                if key[r].as_py() != at:
-                    at, parts = key[r].as_py(), {}
-                if bucket[r].as_py() != _DOCS:
-                    parts[bucket[r].as_py()] = _two(payload[r].as_py())
-                else:
-                    n = sizes[r].as_py()
-                    ids = _put_together(payload[r].as_py(), n, parts)
-                    names = docs[r].values
-                    for a in range(0, len(n), 500):
-                        yield finish(names[a : a + 500], ids[a : a + 500], context)
+    """The ids of a block's words and its row of documents: finish(identifiers, id arrays, context) makes the result."""
+
+    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
+        try:
+            if docs.num_rows != 1:
+                raise RuntimeError("documents of some words are missing: the input changed between two reads; write it to a table first")
+            parts = {bucket: _two(blob.as_py()) for bucket, blob in zip(words["bucket"].to_pylist(), words["ids"], strict=True)}
+            n, names = docs["sizes"][0].as_py(), docs["docs"][0].values
+            ids = _put_together(docs["payload"][0].as_py(), n, parts)
+            del parts
+            return pa.Table.from_batches([finish(names[a : a + 500], ids[a : a + 500], context) for a in range(0, len(n), 500)])
+        finally:
+            give_back()
 
     return run
 
@@ -271,6 +271,11 @@ def _decimals(n: int) -> list[bytes]:
     return _DECIMALS
 
 
+def _kept_above(condition):
+    """condition as one that the optimizer can't move below an exchange, so that filters of the same rows share theirs."""
+    return F.when(F.monotonically_increasing_id() >= 0, condition)
+
+
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, buckets: int | None, finish: Callable, context, columns: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -280,12 +285,11 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     arrow_id, id_sql = to_arrow_type(id_type[0].dataType), id_type[0].dataType.simpleString()
     buckets = buckets or min(BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: it doesn't grow with the corpus
-    rest = f"payload binary, docs array<{id_sql}>, sizes array<int>"
-    rows = docs.mapInArrow(tidy(_block_rows(pattern, buckets, arrow_id)), f"block binary, bucket int, deal int, {rest}")
-    rows = rows.repartition("deal").sortWithinPartitions("bucket").drop("deal")
-    rows = rows.mapInArrow(tidy(_encode_rows(shared)), f"block binary, bucket int, {rest}")
-    rows = rows.repartition("block").sortWithinPartitions("block", "bucket")
-    return rows.mapInArrow(tidy(_finish_rows(finish, context)), f"doc_id {id_sql}, {columns}")
+    schema = f"block binary, bucket int, deal binary, payload binary, docs array<{id_sql}>, sizes array<int>"
+    rows = docs.mapInArrow(tidy(_block_rows(pattern, buckets, arrow_id)), schema).repartition("deal")
+    words, texts = (rows.filter(_kept_above(x)) for x in (F.col("bucket") != _DOCS, F.col("bucket") == _DOCS))  # all columns of both, or the exchange isn't one
+    ids = words.sortWithinPartitions("bucket").mapInArrow(tidy(_encode_rows(shared)), "block binary, bucket int, ids binary")
+    return ids.groupBy("block").cogroup(texts.groupBy("deal")).applyInArrow(_finish_rows(finish, context), f"doc_id {id_sql}, {columns}")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:

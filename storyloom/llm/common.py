@@ -88,20 +88,25 @@ def fresh_names(columns: list[str], *stems: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Give freed memory back: Python workers live on, and what their allocators keep would add up over the stages of a long
+    job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc keeps what it likes
+        pass
+
+
 def tidy(run: Callable) -> Callable:
-    """run, a function of record batches, giving freed memory back when a task ends: Python workers live on, and what
-    their allocators keep would add up over the stages of a long job."""
+    """run, a function of record batches, giving freed memory back when a task ends."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another libc keeps what it likes
-                pass
+            give_back()
 
     return tidied
 

@@ -59,3 +59,41 @@ def test_missing_ids_are_an_error():
     payload = len(blob).to_bytes(4, "little") + blob + byte_bpe._planes(np.array([0, 1]))
     with pytest.raises(RuntimeError, match="missing"):
         byte_bpe._put_together(payload, [2], {0: (np.array([1], np.uint32), np.array([7], np.uint32))})
+
+
+def test_positions_are_shuffled_once(documents, ranks):
+    encoded = byte_bpe.encode(documents, ranks, P.PATTERN)
+    rows = encoded.collect()
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "ReusedExchange" in line]
+    dealt = [line for line in exchanges if "hashpartitioning(deal" in line or "payload" in line]
+    assert len(rows) == documents.count()
+    assert len(dealt) == 2 and sum("ReusedExchange" in line for line in dealt) == 1  # both sides read one exchange of texts, parted once
+    assert not any(name in line for line in plan.splitlines() if "hashpartitioning(block" in line for name in ("payload", "docs"))
+
+
+def test_blocks_of_the_same_words_have_keys_of_their_own(spark, ranks, plain, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 10)
+    same = pa.RecordBatch.from_arrays([pa.array([1, 1, None, 2]), pa.array(["the same text"] * 3 + [None])], names=["doc_id", "text"])
+    keys = [block.key for block in byte_bpe._blocks(iter([same]), P.PATTERN)]
+    assert len(keys) == len(set(keys)) == 4
+    again = [block.key for block in byte_bpe._blocks(iter([same]), P.PATTERN)]
+    assert again == keys  # a task that is run again
+    docs = spark.createDataFrame([(i % 3, "the same text") for i in range(12)], "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in byte_bpe.encode(docs, ranks, P.PATTERN).collect())
+    assert got == {(i, tuple(plain.encode_ordinary("the same text"))): 4 for i in range(3)}
+
+
+def test_texts_without_words(spark, ranks):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, ""), (1, None)], "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in byte_bpe.encode(docs, ranks, P.PATTERN).collect()) == ["(1, 0, [])", "(1, 0, [])", "(2, 0, [])", "(None, 0, [])"]
+
+
+def test_words_without_their_documents_are_an_error():
+    import pyarrow as pa
+
+    words = pa.table({"block": [b"k"], "bucket": pa.array([0], pa.int32()), "ids": [b""]})
+    with pytest.raises(RuntimeError, match="missing"):
+        byte_bpe._finish_rows(byte_bpe._as_ids, None)(words, pa.table({"payload": pa.array([], pa.binary())}))
