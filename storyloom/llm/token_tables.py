@@ -59,7 +59,8 @@ _INDEX, _TAIL, _FOOTER = struct.Struct("<8sQIIB"), struct.Struct("<IQB"), struct
 _CACHE_WORDS = 1_000_000
 #: Characters of text whose words are learned together.
 _TOGETHER = 1_000_000
-_MARKS = ".,;:!?"
+#: All of ASCII's marks but the apostrophe, with which letters go together.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def key_of(doc_id: int) -> bytes:
@@ -246,14 +247,23 @@ class Table:
         return np.frombuffer(value, f"<u{self.width}")
 
 
+def _lowers(normalizer: dict | None) -> bool:
+    """Whether the tokenizer lower-cases, and does nothing before that which tells a word of letters from its lower case."""
+    steps = (normalizer or {}).get("normalizers", [normalizer or {}])
+    spaces = lambda s: s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " "
+    known = all(s.get("type") in ("NFC", "Lowercase") or s.get("type") == "Replace" and spaces(s) for s in steps)
+    return known and any(s["type"] == "Lowercase" for s in steps)
+
+
 class _Encoder:
     """Ids of texts as bytes. Words between spaces and line ends are encoded once while a worker remembers them: white
     space parts the tokenizer's words, so a text's ids are those of its words one after the other.
 
-    New words of many texts are learned together. Those of letters alone are given to the tokenizer many at a time, and
-    told apart by the tokens that end a word; if their number isn't that of the words, or the vocabulary has no such tokens,
-    each is encoded by itself. A word of letters with marks behind it is put together from both, where the tokenizer parts
-    them so.
+    Many texts are taken together: Arrow numbers their distinct words, and each of these alone is a Python string and is
+    looked for among the known ones. New words of letters alone are given to the tokenizer many at a time, A-Z as a-z where
+    it lower-cases anyway, and told apart by the tokens that end a word; if their number isn't that of the words, or the
+    vocabulary has no such tokens, each is encoded by itself. A word of letters with marks behind it is put together from
+    both, where the tokenizer parts them so and normalizing leaves it letters alone.
     """
 
     _last: _Encoder | None = None
@@ -265,13 +275,16 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.source, self.tokenizer, self.kind, self.known = tokenizer, Tokenizer.from_str(tokenizer), f"<u{width}", {}
-        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix")
+        made = json.loads(tokenizer)
+        suffix = made["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool) if suffix else None
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.parts_marks = all(one(w + m) == one(w) + one(m) for w in ("word", "Étés", "漢字") for m in (*_MARKS, "...", "?!"))
+        named = any(t["content"][:1].isalpha() for t in made.get("added_tokens", []))  # found in one case alone, and before words are parted
+        self.parts_marks = not named and all(one(w + m) == one(w) + one(m) for w in ("word", "Étés", "漢字") for m in (*_MARKS, "...", "?!", "$$$", ",\"", _MARKS))
+        self.lowers = not named and _lowers(made.get("normalizer"))
 
     @classmethod
     def of(cls, tokenizer: str, width: int) -> _Encoder:
@@ -284,20 +297,28 @@ class _Encoder:
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.array(got.ids, self.kind).tobytes()
 
-    def _learn(self, words: Iterable[str]) -> None:
-        letters, marked, rest = set(), [], []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if self.ends is not None and w.isalpha():
-                letters.add(w)
-            elif self.ends is not None and self.parts_marks and core != w and core.isalpha() and core.lower().isalpha():
-                marked.append((w, core, w[len(core) :]))
-                letters.add(core)
-                rest.append(w[len(core) :])
-            else:
-                rest.append(w)
-        self._apart([w for w in set(rest) if w not in self.known])
-        plain = [w for w in letters if w not in self.known]
+    def _stay_letters(self, cores: list[str]) -> set[str]:
+        """Those of letters alone once they are normalized, too: else what they end in may go together with marks behind."""
+        if not cores or not self.tokenizer.normalizer:
+            return set(cores)
+        after = self.tokenizer.normalizer.normalize_str(" ".join(cores)).split(" ")
+        return {core for core, a in zip(cores, after, strict=True) if a.isalpha()} if len(after) == len(cores) else set()
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words that aren't known yet; they are known from now on."""
+        known = self.known
+        if self.ends is None or not words:
+            self._apart(words)
+            return [known[w] for w in words]
+        lower = " ".join(words).encode().lower().decode().split(" ") if self.lowers else words  # A-Z alone
+        cores = [w.rstrip(_MARKS) for w in lower] if self.parts_marks else list(lower)
+        marks = [w[len(core) :] for w, core in zip(lower, cores, strict=True)]
+        stay = self._stay_letters([core for core, m in zip(cores, marks, strict=True) if m and not core.isascii() and core.isalpha()])
+        for n, core in enumerate(cores):
+            if not core.isalpha() or marks[n] and not core.isascii() and core not in stay:
+                cores[n], marks[n] = "", words[n]  # by itself
+        self._apart([m for m in {"", *marks} if m not in known])
+        plain = [w for w in set(cores) if w not in known]
         groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.kind)
@@ -306,18 +327,31 @@ class _Encoder:
                 self._apart(group)
                 continue
             raw, size = ids.tobytes(), ids.itemsize
-            self.known.update(zip(group, [raw[a * size : b * size] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        known = self.known
-        known.update((w, known[core] + known[marks]) for w, core, marks in marked)
+            known.update(zip(group, [raw[a * size : b * size] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        out = [known[core] + known[m] for core, m in zip(cores, marks, strict=True)]
+        known.update(zip(words, out, strict=True))
+        return out
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
-        parted = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parted).difference(self.known)
+        raw = [t.encode() for t in texts]
+        line = b" ".join([*raw, b""]).replace(b"\n", b" ")
+        ends = np.flatnonzero(np.frombuffer(line, np.uint8) == ord(" ")) + 1  # of the words, each with the space behind it
+        cuts = np.concatenate([np.zeros(1, np.int64), ends])
+        words = pa.Array.from_buffers(pa.large_utf8(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(line)]).dictionary_encode()
+        distinct = str(words.dictionary.buffers()[2], "utf-8").split(" ")[:-1]  # Python strings at once, not one by one
+        got = list(map(self.known.get, distinct))
+        new = [n for n, ids in enumerate(got) if ids is None]
         if new and len(self.known) + len(new) > _CACHE_WORDS:
-            self.known, new = {}, set().union(*parted)
-        self._learn(new)
-        for words in parted:
-            yield b"".join(map(self.known.__getitem__, words))
+            self.known = {w: ids for w, ids in zip(distinct, got, strict=True) if ids is not None}
+        for n, ids in zip(new, self._learn([distinct[n] for n in new]), strict=True):
+            got[n] = ids
+        ids = pa.array(got, pa.large_binary()).take(words.indices)
+        found, places = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], np.int64)
+        after = np.searchsorted(ends, np.cumsum([len(r) + 1 for r in raw])) + 1  # words up to the end of each text
+        at = 0
+        for to in places[after].tolist():
+            yield bytes(found[at:to])
+            at = to
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         held, chars = [], 0

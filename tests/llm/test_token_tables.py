@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -104,3 +105,67 @@ def test_encoder_is_the_library_on_odd_letters(plain):
     encoder = tt._Encoder(open(PATH, encoding="utf-8").read(), 2)
     for text, got in zip(texts, encoder(iter(texts)), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_cases_and_marks_of_a_word_are_encoded_once(plain):
+    """A word in other cases of A-Z or with marks behind it isn't given to the tokenizer again; ids are the library's."""
+
+    class Counted:
+        seen = 0
+
+        def __init__(self, whole):
+            self.whole = whole
+
+        def __getattr__(self, name):
+            return getattr(self.whole, name)
+
+        def encode_batch_fast(self, texts, **how):
+            Counted.seen += sum(map(len, texts))
+            return self.whole.encode_batch_fast(texts, **how)
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcdeéñ") for _ in range(8)) for _ in range(500)})
+    forms = [w for word in words for w in (word, word.capitalize() if word[0].isascii() else word, word + ".", word + "$$$", word + ",***", f"{word}!!")]
+    texts = [" ".join(rng.sample(forms, 300)) for _ in range(40)]
+    encoder = tt._Encoder(open(PATH, encoding="utf-8").read(), 2)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    for text, got in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert Counted.seen < 1.3 * sum(len(w) + 1 for w in words)
+
+
+def test_encoder_is_the_library_where_case_and_marks_matter(plain):
+    """Letters that compose in one case only, letters that normalizing takes apart, added tokens, endings behind an apostrophe."""
+    middles = ("", "\u0331", "\u0308", "\u030c", "\u0130", "\u212a", "\u03a3", "\u0958", "\ufb1d", "'", "'S", "<|endoftext|>", "<|ENDOFTEXT|>")
+    texts = [w + c + m for c in middles for w in ("H", "WT", "j", "Él", "") for m in ("", ".", "$$$", ',"', "|>", "\t", "\u2028", "\x1c")]
+    texts += ["", " ", "\n", "a  b\n", "", " a", "x" * 5000 + ".", " ".join(texts)]
+    encoder = tt._Encoder(open(PATH, encoding="utf-8").read(), 2)
+    for text, got in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+    assert list(encoder([])) == []
+
+
+def test_words_are_forgotten_and_learned_again(plain, monkeypatch):
+    monkeypatch.setattr(tt, "_CACHE_WORDS", 50)
+    monkeypatch.setattr(tt, "_TOGETHER", 200)
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.choice('aBc')}{chr(97 + rng.randrange(26))}{rng.choice(['', '.', '&&&'])}" for _ in range(20)) for _ in range(100)]
+    encoder = tt._Encoder(open(PATH, encoding="utf-8").read(), 2)
+    for text, got in zip(texts, encoder(iter(texts)), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("cased", [False, True])
+@pytest.mark.parametrize("parted", [False, True])
+def test_encoder_keeps_case_and_marks_together_where_the_tokenizer_does(cased, parted):
+    made = json.load(open(PATH, encoding="utf-8"))
+    if cased:
+        made["normalizer"] = None
+    if not parted:
+        made["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, made["pre_tokenizer"]["pretokenizers"][-1]]}
+    whole, encoder = Tokenizer.from_str(json.dumps(made)), tt._Encoder(json.dumps(made), 2)
+    assert (encoder.lowers, encoder.parts_marks) == (not cased, parted)
+    texts = ["One two. TWO ONE, (one) two$$$ one", "two. Two 12 it's\n\nÉté. été", "", "one. two one", "H\u0958. ẖ H\u0331."]
+    for _ in range(2):  # learned, then known
+        for text, got in zip(texts, encoder(texts), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
