@@ -1,7 +1,11 @@
 """Operators against values worked out by hand and plain models of the greedy steps."""
 
+import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,6 +185,16 @@ def test_greedy_steps_are_the_plain_ones():
         assert generate.distinct_sentences(found, 0.6, 3) == plain_distinct(found, 0.6, 3)
 
 
+def test_frequent_words_are_not_looked_up():
+    """Ten thousand sentences that all share their frequent words; by lists of every word these were a comparison a pair."""
+    rng = random.Random(6)
+    sentences = [" ".join([*"the and of to in".split(), *(f"w{rng.randrange(20_000)}" for _ in range(6))]) for _ in range(10_000)]
+    copies = [s + " again" for s in rng.sample(sentences, 500)]
+    began = time.time()
+    assert generate.distinct_sentences([*sentences, *copies], 0.65) == sentences
+    assert time.time() - began < 10
+
+
 def test_reduce_redundancy(spark):
     df = spark.createDataFrame([("He went up the hill. He went up the hill! They slept",), ("",), (None,), ("Go!",)], "t string")
     assert [r.r for r in df.select(generate.reduce_redundancy("t").alias("r")).collect()] == ["He went up the hill. They slept.", "", None, "Go!."]
