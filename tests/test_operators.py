@@ -84,6 +84,42 @@ def test_alignment_forms_agree(spark):
     assert len({r[:3] for r in want}) == len(want)
 
 
+def test_alignment_is_that_of_all_pairs(spark, monkeypatch):
+    """Every pair by plain sets and counts, over copies, blanks, nulls and frequent words, whatever the tiles and blocks."""
+    rng = random.Random(7)
+    words = "the of Jesus Peter to hill Jerusalem they Bethany bread Mary saw it a Élan naïve".split() + [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 14))) for _ in range(70)] + ["to the hill"] * 20 + [None, "", "Mary " * 300]
+    rows = [(d, i, 1, i + 1, rng.choice(texts)) for d, n in (("a", 90), ("b", 70), ("c", 3)) for i in range(n)]
+    events = annotate.events(spark.createDataFrame(rows, VERSE))
+    of = []
+    for d, i, *_, t in rows:
+        bag = Counter(int(hashlib.md5(w.encode()).hexdigest(), 16) % 300 for w in re.findall(r"\w+", (t or "").lower()))
+        of.append((d, i, bag, {w for w in re.findall(r"\w+", t or "") if re.fullmatch("[A-Z][a-z]+", w)}))
+    want = {}
+    for d, i, x, p in of:
+        for e, j, y, q in of:
+            if d < e:
+                dot, size = sum(n * y[b] for b, n in x.items()), sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+                score = round(0.45 * (dot / math.sqrt(size) if size else 0) + 0.3 * (len(p & q) / len(p | q) if p & q else 0) + 0.25 * 0.5, 9)
+                if score > 0.35:
+                    want[d, i, e] = min(want.get((d, i, e), (9, 0)), (-score, j))
+    monkeypatch.setattr(align, "_LEFT", 16)
+    monkeypatch.setattr(align, "_RIGHT", 32)
+    for found in (align.best_matches(events), align.best_matches(events, tile_rows=37), align.best_matches_by_index(events), align.best_matches_by_index(events, tile_rows=20)):
+        got = {(r.doc_a, int(r.ev_a.split("_e")[1]), r.doc_b): (-r.score, int(r.ev_b.split("_e")[1])) for r in found.collect()}
+        assert got == want
+
+
+def test_alignment_makes_no_row_a_pair(spark):
+    """Two accounts of 6,000 events with many words in common: no step may have more rows than events, and it doesn't take long."""
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(2)
+    rows = [(d, i, 1, i + 1, " ".join(rng.choices(words, k=30))) for d in "ab" for i in range(6000)]
+    began = time.time()
+    assert align.best_matches_by_index(annotate.events(spark.createDataFrame(rows, VERSE))).count() == 6000
+    assert time.time() - began < 60
+
+
 def test_alignment_score_and_proximity(spark):
     rows = [("a", 0, 1, 1, "Jesus went to Jerusalem."), ("b", 0, 1, 1, "Then Jesus entered Jerusalem.")]
     events = annotate.events(spark.createDataFrame(rows, VERSE))
