@@ -463,3 +463,19 @@ def test_a_generator_can_be_plugged_in(spark, verses, timetable):
     story = pipeline.build(verses, timetable, ["matthew", "mark", "luke"], generator=lambda c: F.concat(F.lit("Merge the story. he told: "), F.left(c, F.lit(20))))
     row = story.log.filter("event_id = 'macro_0'").first()
     assert row.actual_method == "generator" and row.consolidated_text.startswith("He told:")
+
+
+def test_arrow_functions_of_the_network_work_on_few_rows():
+    """Whatever a session's batches hold, a layer's values are made for SLICE rows at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], names=["no"])
+    parts = list(graph._slices(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= graph.SLICE and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1300))
+
+
+def test_coherence_holds_one_text_at_a_time(spark):
+    """Sentences come as Arrow lists, not as a column of Python objects; the words that a worker remembers are bounded."""
+    assert evaluate._WORDS_KEPT <= 100_000
+    texts = spark.createDataFrame([(i, "Jesus went to Jerusalem. Then Jesus entered Jerusalem." if i % 3 else None) for i in range(50)], "id int, text string")
+    frame = evaluate.coherence(texts, ["id"])
+    assert {r.id: r.coherence for r in frame.collect()} == {i: 0.5 if i % 3 else 0.0 for i in range(50)}
+    assert "ArrowEvalPython" in frame._jdf.queryExecution().toString() and "pandas" not in evaluate.coherence.__code__.co_names
