@@ -3,12 +3,14 @@
 Messages are a join of edges with node features and a product with the edge type's weights; attention is a softmax over
 each node's incoming edges; both are DataFrame steps, so the graph may be of any size. Nodes, edges and the result of each
 step are settled: nothing is computed again for the next. Weights are small and travel in the plan's Arrow functions.
-Training follows the whole graph's gradient on the driver and is for graphs of up to MOST_NODES and MOST_EDGES, as the
-timetable's chain is; the network it gives can be run over any graph.
+Training follows the whole graph's gradient. train() does so on the driver, for graphs of up to MOST_NODES and MOST_EDGES.
+train_parts() sums it over parts of the graph in tasks, for graphs of any number of nodes: a part is up to PART_NODES nodes with all
+from which values reach them, so a task's memory is bounded where nodes have few predecessors, as in a timetable's chain.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 from storyloom.operators.tables import settle
 
 SLOPE, HEADS, HIDDEN, LAYERS, TINY = 0.2, 4, 256, 3, 1e-12
-#: Graphs up to so large are trained on.
+#: Rows that an Arrow function works on at once.
+SLICE = 512
+#: Nodes of a part of a graph that is trained on in tasks.
+PART_NODES = 4096
+#: Graphs up to so large are trained on by the driver.
 MOST_NODES, MOST_EDGES = 50_000, 200_000
 
 
@@ -84,14 +90,21 @@ def _vectors(column: pa.Array, n: int) -> np.ndarray:
 
 
 def _lists(x: np.ndarray) -> pa.Array:
-    return pa.array(list(x), pa.list_(pa.float64())) if len(x) else pa.array([], pa.list_(pa.float64()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0)), pa.array(x.ravel(), pa.float64()))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that a layer's values for them take little memory, whatever the session's batches are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def linear(nodes: DataFrame, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
     """nodes (no, x) with x times weight plus bias."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_vectors(batch.column(1), batch.num_rows) @ weight + bias)], names=["no", "x"])
 
@@ -105,10 +118,8 @@ def layer_forward(nodes: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame
     ends = ends.select("dst_no", "src_no", "type_no", "xs", "xd")
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.num_rows
-            if not n:
-                continue
             kinds = batch.column(2).to_numpy()
             xs, xd = _vectors(batch.column(3), n), _vectors(batch.column(4), n)
             hs, hd = np.zeros_like(xs), np.zeros_like(xd)
@@ -126,11 +137,12 @@ def layer_forward(nodes: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame
     rows = nodes.select("no", "x").join(out, "no")
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.num_rows
             if n:
                 x = _vectors(batch.column(1), n)
-                more = np.array([np.zeros(heads * depth) if v is None else v for v in batch.column(2).to_pylist()], float)
+                more, has = np.zeros((n, heads * depth)), np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+                more[has] = _vectors(batch.column(2), len(has)) if len(has) else 0
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(normalise(x + more, layer.gain, layer.shift))], names=["no", "x"])
 
     return rows.select("no", "x", "out").mapInArrow(norm, "no int, x array<double>")
@@ -160,6 +172,16 @@ def losses(features: DataFrame, outputs: DataFrame, edges: DataFrame) -> DataFra
     return out.withColumn("loss", F.col("reconstruction") + 0.5 * F.col("consistency"))
 
 
+def _sums(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of values summed by their places among n."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        begins = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        out[at[order][begins]] = np.add.reduceat(values[order], begins, axis=0)
+    return out
+
+
 class _Forward:
     """One layer's values on the driver, kept for the way back."""
 
@@ -179,11 +201,9 @@ class _Forward:
         top = np.zeros((n, heads))
         np.maximum.at(top, dst, bent)
         e = np.exp(bent - top[dst])
-        total = np.full((n, heads), TINY)
-        np.add.at(total, dst, e)
+        total = _sums(n, dst, e) + TINY
         self.weight = e / total[dst]
-        out = np.zeros((n, heads, depth))
-        np.add.at(out, dst, self.weight[..., None] * self.hs)
+        out = _sums(n, dst, self.weight[..., None] * self.hs)
         y = x + out.reshape(n, -1)
         self.spread = np.sqrt(y.var(axis=1, keepdims=True) + 1e-5)
         self.normed = (y - y.mean(axis=1, keepdims=True)) / self.spread
@@ -198,16 +218,14 @@ class _Forward:
         g = (g - g.mean(axis=1, keepdims=True) - self.normed * (g * self.normed).mean(axis=1, keepdims=True)) / self.spread
         by_message = g.reshape(-1, heads, depth)[dst]
         by_weight = (by_message * self.hs).sum(-1)
-        mixed = np.zeros((len(self.x), heads))
-        np.add.at(mixed, dst, self.weight * by_weight)
+        mixed = _sums(len(self.x), dst, self.weight * by_weight)
         by_score = self.weight * (by_weight - mixed[dst]) * np.where(self.score > 0, 1, SLOPE)
         by_hs = by_message * self.weight[..., None] + by_score[..., None] * layer.source
         by_hd = by_score[..., None] * layer.target
         by_x, by_weights = g.copy(), np.zeros_like(layer.weights)
         for k in self.kinds:
-            at, moved = kind == k, np.zeros_like(self.x)
-            np.add.at(moved, src[at], by_hs[at].reshape(-1, heads * depth))
-            np.add.at(moved, dst[at], by_hd[at].reshape(-1, heads * depth))
+            at = kind == k
+            moved = _sums(len(self.x), src[at], by_hs[at].reshape(-1, heads * depth)) + _sums(len(self.x), dst[at], by_hd[at].reshape(-1, heads * depth))
             by_weights[k] = self.x.T @ moved
             by_x += moved @ layer.weights[k].T
         return by_x, [by_weights, (by_score[..., None] * self.hs).sum(0), (by_score[..., None] * self.hd).sum(0), by_gain, by_shift]
@@ -217,19 +235,26 @@ def _parameters(net: Network) -> list[np.ndarray]:
     return [*net.start, *(p for l in net.layers for p in (l.weights, l.source, l.target, l.gain, l.shift)), *net.end]
 
 
-def loss_and_gradients(net: Network, x: np.ndarray, edges: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
-    """The loss, its gradient by each parameter, and the outputs. edges: rows (src, dst, type)."""
+def loss_and_gradients(net: Network, x: np.ndarray, edges: np.ndarray, part: tuple[np.ndarray, np.ndarray, int, int] | None = None) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """The loss, its gradient by each parameter, and the outputs. edges: rows (src, dst, type).
+
+    part: where x and edges are a part of a graph, which nodes and edges count here (true or false for each), and how many
+    nodes and edges the whole graph has. Losses and gradients of parts add up to those of the graph.
+    """
     steps, h = [], x @ net.start[0] + net.start[1]
     for layer in net.layers:
         steps.append(_Forward(h, edges, layer))
         h = steps[-1].out
     out = h @ net.end[0] + net.end[1]
     wrong, gap = out - x, out[edges[:, 0]] - out[edges[:, 1]]
-    loss = float(np.mean(wrong**2) + (0.5 * np.mean(gap**2) if len(edges) else 0))
-    g = 2 * wrong / wrong.size
-    if len(edges):
-        np.add.at(g, edges[:, 0], gap / gap.size)
-        np.add.at(g, edges[:, 1], -gap / gap.size)
+    n, m = wrong.size, gap.size
+    if part is not None:
+        wrong, gap = wrong * part[0][:, None], gap * part[1][:, None]
+        n, m = part[2] * x.shape[1], part[3] * x.shape[1]
+    loss = float((wrong**2).sum() / n + (0.5 * (gap**2).sum() / m if m else 0))
+    g = 2 * wrong / n
+    if len(edges) and m:
+        g += _sums(len(g), edges[:, 0], gap / m) - _sums(len(g), edges[:, 1], gap / m)
     ends = [h.T @ g, g.sum(axis=0)]
     g = g @ net.end[0].T
     middle: list[np.ndarray] = []
@@ -239,6 +264,21 @@ def loss_and_gradients(net: Network, x: np.ndarray, edges: np.ndarray) -> tuple[
     return loss, [x.T @ g, g.sum(axis=0), *middle, *ends], out
 
 
+class _Adam:
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.step = params, rate, 0
+        self.first, self.second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def follow(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        for p, g, a, b in zip(self.params, grads, self.first, self.second, strict=True):
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.999
+            b += 0.001 * g * g
+            p -= self.rate * (a / (1 - 0.9**self.step)) / (np.sqrt(b / (1 - 0.999**self.step)) + 1e-8)
+
+
 def train(x: np.ndarray, edges: np.ndarray, types: int, hidden: int = HIDDEN, layers: int = LAYERS, heads: int = HEADS, epochs: int = 50, rate: float = 0.005, seed: int = 0) -> tuple[Network, list[float]]:
     """A network that reproduces its features while linked nodes stay alike, by Adam on the driver; the loss of each epoch.
 
@@ -247,20 +287,92 @@ def train(x: np.ndarray, edges: np.ndarray, types: int, hidden: int = HIDDEN, la
     """
     net = network(x.shape[1], types, x.shape[1], hidden, layers, heads, seed)
     edges = np.asarray(edges, int).reshape(-1, 3)
-    params = _parameters(net)
-    first, second, course = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], []
-    for step in range(1, epochs + 1):
+    adam, course = _Adam(_parameters(net), rate), []
+    for _ in range(epochs):
         loss, grads, _ = loss_and_gradients(net, x, edges)
         course.append(loss)
-        for p, g, a, b in zip(params, grads, first, second, strict=True):
-            a *= 0.9
-            a += 0.1 * g
-            b *= 0.999
-            b += 0.001 * g * g
-            p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+        adam.follow(grads)
+    return net, course
+
+
+def _parts(nodes: DataFrame, edges: DataFrame, hops: int, part_nodes: int) -> DataFrame:
+    """part, blob: each part's nodes with those from which values reach them in so many hops, and the edges between.
+
+    An edge counts in the part of its target, so its source's output is needed there, too: a hop more.
+    """
+    need = settle(nodes.select(F.floor(F.col("no") / part_nodes).cast("int").alias("part"), "no", F.lit(0).alias("hop")))
+    edge, step = edges.toDF("src", "no", "type"), need
+    for hop in range(1, hops + 2):
+        step = step.select("part", "no").join(edge.select("src", "no"), "no").select("part", F.col("src").alias("no")).distinct()
+        step = settle(step.join(need, ["part", "no"], "left_anti").withColumn("hop", F.lit(hop)))
+        if step.isEmpty():
+            break
+        need = settle(need.unionByName(step))
+    x = need.join(nodes.select("no", "x"), "no").select("part", "no", "hop", "x")
+    # of the outermost only the features are needed; all edges into the others are there
+    links = need.filter(F.col("hop") <= hops).join(edge, "no").select("part", "src", F.col("no").alias("dst"), "type", "hop")
+
+    def pack(key: tuple, own: pa.Table, between: pa.Table) -> pa.Table:
+        own, between = own.sort_by("no"), between.sort_by([("src", "ascending"), ("dst", "ascending"), ("type", "ascending")])
+        no = own["no"].to_numpy()
+        links = np.array([np.searchsorted(no, between["src"].to_numpy()), np.searchsorted(no, between["dst"].to_numpy()), between["type"].to_numpy()], np.int64).T
+        values = _vectors(own["x"].combine_chunks(), own.num_rows)
+        blob = pickle.dumps((values, links.reshape(-1, 3), own["hop"].to_numpy() == 0, between["hop"].to_numpy() == 0))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.large_binary() if len(blob) > 2**31 - 1 else pa.binary())], names=["part", "blob"])
+
+    x, links = x.toDF("part", "no", "hop", "x"), links.toDF("to_part", "src", "dst", "type", "hop")
+    return x.groupBy("part").cogroup(links.groupBy("to_part")).applyInArrow(pack, "part int, blob binary")
+
+
+def train_parts(nodes: DataFrame, edges: DataFrame, types: int, hidden: int = HIDDEN, layers: int = LAYERS, heads: int = HEADS, epochs: int = 50, rate: float = 0.005, seed: int = 0, part_nodes: int = 0) -> tuple[Network, list[float]]:
+    """As train(), over DataFrames of any size: nodes (no from 0, x), edges (src_no, dst_no, type_no).
+
+    Each epoch is a job in which each task sums the gradients of its parts; the driver adds one sum a task, as many as cores.
+    """
+    nodes, edges = settle(nodes.select("no", "x")), settle(edges.select("src_no", "dst_no", "type_no"))
+    n, m, width = nodes.count(), edges.count(), nodes.select(F.max(F.size("x"))).first()[0]
+    net = network(width, types, width, hidden, layers, heads, seed)
+    adam, course, kinds = _Adam(_parameters(net), rate), [], [r[0] for r in edges.select("type_no").distinct().collect()]  # `types` at most
+    context = nodes.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    if not part_nodes:  # as many parts for each core
+        part_nodes = max(512, -(-n // (cores * -(-n // (cores * PART_NODES)))))
+    tasks = max(1, min(-(-n // part_nodes), cores))
+    parts = settle(_parts(nodes, edges, layers, part_nodes).repartitionByRange(tasks, "part")).select("blob")
+    for _ in range(epochs):
+        sent = context.broadcast(net)  # of a fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            loss, total = 0.0, None
+            for batch in batches:
+                for blob in batch.column(0):
+                    x, links, own, counted = pickle.loads(blob.as_py())
+                    more, grads, _ = loss_and_gradients(sent.value, x, links, (own, counted, n, m))
+                    loss, total = loss + more, grads if total is None else [a + b for a, b in zip(total, grads, strict=True)]
+            if total is not None:
+                total = [g[kinds] if g.ndim == 3 else g for g in total]  # types that no edge has stay as they are
+                yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([pickle.dumps(total)], pa.binary())], names=["loss", "grads"])
+
+        sums, loss = [np.zeros_like(p) for p in adam.params], 0.0
+        for row in parts.mapInArrow(run, "loss double, grads binary").collect():  # a row a task
+            loss += row.loss
+            for s, g in zip(sums, pickle.loads(row.grads), strict=True):
+                if s.ndim == 3:
+                    s[kinds] += g
+                else:
+                    s += g
+        course.append(loss)
+        adam.follow(sums)
+        sent.destroy()
     return net, course
 
 
+def embed_all_nodes(nodes: DataFrame, edges: DataFrame, types: int, **options) -> DataFrame:
+    """As embed_nodes(), by train_parts(): for graphs of any size."""
+    nodes, edges = settle(nodes.select("no", "x")), settle(edges.select("src_no", "dst_no", "type_no"))
+    return forward(nodes, edges, train_parts(nodes, edges, types, **options)[0])
+
+
 def embed_nodes(nodes: DataFrame, edges: DataFrame, types: int, **options) -> DataFrame:
     """no, x: outputs of a network trained on the graph itself. nodes: no, x; edges: src_no, dst_no, type_no."""
     nodes, edges = settle(nodes.select("no", "x")), settle(edges.select("src_no", "dst_no", "type_no"))

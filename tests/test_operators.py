@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,22 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert {r.id: r.level for r in got.collect()} == level
 
 
+def test_chains_are_followed_within_ranges(spark, monkeypatch):
+    """A timetable's chain needs few rounds of doubling (by single steps 13), whatever is held at once; a ring has no levels."""
+    n, calls, real = 5000, [], segments.settle
+    monkeypatch.setattr(segments, "settle", lambda df: calls.append(1) or real(df))
+    ids = [f"n{i:05}" for i in range(n)]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "r1", "r2", "r3", "alone"]], "id string")
+    links = spark.createDataFrame([*zip(ids, ids[1:]), ("r1", "r2"), ("r2", "r3")], "src string, dst string")
+    want = {x: (ids[0], i) for i, x in enumerate(ids)} | {f"r{i + 1}": ("r1", i) for i in range(3)} | {"alone": ("alone", 0)}
+    assert {r.id: (r.head, r["at"]) for r in segments._chains(nodes, links).collect()} == want
+    assert len(calls) <= 5
+    ring = links.unionByName(spark.createDataFrame([("r3", "r1")], "src string, dst string"))
+    assert not {r.id for r in segments._chains(nodes, ring).collect()} & {"r1", "r2", "r3"}
+    small = [pa.RecordBatch.from_arrays([pa.array(["c", "b", "z"]), pa.array(["b", "a", None])], names=["id", "up"])]
+    assert next(segments._steps_within(iter(small))).to_pylist() == [{"id": "c", "up": "a", "at": 2, "head": "a"}, {"id": "b", "up": "a", "at": 1, "head": "a"}, {"id": "z", "up": None, "at": 0, "head": "z"}]
+
+
 def test_levels_of_random_graphs(spark):
     rng = random.Random(5)
     for size in (1, 7, 40):
@@ -447,6 +464,24 @@ def test_training_lowers_the_loss_and_runs_as_frames(spark, monkeypatch):
     assert np.isclose(score.loss, graph.loss_and_gradients(net, x, edges)[0])
 
 
+def test_training_by_parts_is_that_of_the_whole_graph(spark, monkeypatch):
+    """Parts of three nodes, of all, and a graph that the driver would refuse."""
+    x, edges = _small_graph()
+    monkeypatch.setattr(graph, "MOST_NODES", 5)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "no int, x array<double>")
+    links = spark.createDataFrame([tuple(map(int, e)) for e in edges], "src_no int, dst_no int, type_no int")
+    options = {"hidden": 16, "layers": 2, "heads": 4, "epochs": 6}
+    net, course = graph.train(x, edges, 9, **options)
+    for size in (3, 4096):
+        got, losses = graph.train_parts(nodes, links, 9, part_nodes=size, **options)
+        assert np.allclose(losses, course) and all(np.allclose(a, b, atol=1e-9) for a, b in zip(graph._parameters(got), graph._parameters(net), strict=True))
+    want = graph.loss_and_gradients(net, x, edges)[2]
+    made = {r.no: r.x for r in graph.embed_all_nodes(nodes, links, 9, **options).collect()}
+    assert all(np.allclose(made[i], want[i]) for i in range(10))
+    alone, none = graph.train_parts(nodes, links.limit(0), 9, **options), graph.train(x, np.zeros((0, 3)), 9, **options)
+    assert np.allclose(alone[1], none[1])
+
+
 def test_whole_story(spark, verses, timetable):
     story = pipeline.build(verses, timetable, ["matthew", "mark", "luke"])
     log = {r.event_id: r for r in story.log.collect()}
